@@ -1,0 +1,9 @@
+"""Streaming.
+
+The analysis this library re-expresses is batch only: cohorts are framed from
+complete tables and effects are estimated on a fixed population.  There is no
+watermark, windowed or stateful stream operator to carry over, so this package
+deliberately holds none.  Every operator takes ordinary DataFrames, so the
+event-extraction steps (``operators.events``) can be applied to a streaming
+DataFrame inside ``foreachBatch`` if inputs arrive incrementally.
+"""
