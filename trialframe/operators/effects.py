@@ -53,15 +53,17 @@ def frechet_bounds(df: DataFrame, a: str = "a", y: str = "y") -> DataFrame:
     return t.select(lo.alias("lower"), hi.alias("upper"), (hi - lo).alias("width"))
 
 
-def diff_means(df: DataFrame, a: str = "a", y: str = "y", z: float = 1.96) -> DataFrame:
-    """K3 (S15): difference in means; ``se = sqrt(var_pop0/(n0-1) + var_pop1/(n1-1))``."""
-    t = df.groupBy().agg(
+def diff_means(df: DataFrame, a: str = "a", y: str = "y", z: float = 1.96, by: Sequence[str] = ()) -> DataFrame:
+    """K3 (S15): difference in means; ``se = sqrt(var_pop0/(n0-1) + var_pop1/(n1-1))``.
+    ``by`` estimates one row per group in the same aggregation."""
+    t = df.groupBy(*by).agg(
         F.avg(F.when(F.col(a) == 1, F.col(y))).alias("m1"), F.avg(F.when(F.col(a) == 0, F.col(y))).alias("m0"),
         F.var_pop(F.when(F.col(a) == 1, F.col(y))).alias("v1"), F.var_pop(F.when(F.col(a) == 0, F.col(y))).alias("v0"),
         F.count_if(F.col(a) == 1).alias("n1"), F.count_if(F.col(a) == 0).alias("n0"))
     ate = F.col("m1") - F.col("m0")
     se = F.sqrt(F.col("v0") / (F.col("n0") - 1) + F.col("v1") / (F.col("n1") - 1))
-    return t.select(ate.alias("ATE"), se.alias("se"), (ate - z * se).alias("ATE_lower"), (ate + z * se).alias("ATE_upper"))
+    return t.select(*by, ate.alias("ATE"), se.alias("se"), (ate - z * se).alias("ATE_lower"),
+                    (ate + z * se).alias("ATE_upper"))
 
 
 # ------------------------------------------------------------------ K4-K7
