@@ -93,6 +93,15 @@ def first_event_in_window(events: DataFrame, stays: DataFrame, window_days: floa
              .select("stay_id", out_col))
 
 
+def include_in_window(stays: DataFrame, first_col: str, window_days: float, intime_col: str = "intime",
+                      out_col: str = "inclusion_start") -> DataFrame:
+    """H2 on a stay table that already carries the first qualifying time
+    (``first_col``, e.g. from one fused per-stay aggregation)."""
+    delta = seconds_between(first_col, intime_col)
+    return (stays.filter((delta >= 0) & (delta <= F.lit(window_days * 86400.0)))
+                 .withColumnRenamed(first_col, out_col))
+
+
 # ------------------------------------------------------------------ H3
 
 def roll_inclusion(stays: DataFrame, criteria: "OrderedDict[str, DataFrame] | Mapping[str, DataFrame]",
@@ -158,12 +167,18 @@ def assign_intervention(population: DataFrame, treatment_events: DataFrame, wind
     first = (first_last(treatment_events.join(population.select("stay_id"), "stay_id", "left_semi"),
                         "stay_id", [time_col, *tiebreak], [time_col])
              .withColumnRenamed(time_col, "_first_trt"))
-    j = population.join(first, "stay_id", "left")
-    delta = seconds_between("_first_trt", intime_col)
-    ok = (delta >= 0) & (delta <= F.lit(window_days * 86400.0)) & (F.col("_first_trt") > F.col(inclusion_col))
-    return (j.withColumn("intervention_start", F.when(ok, F.col("_first_trt")))
-             .withColumn("intervention_status", F.col("intervention_start").isNotNull().cast("int"))
-             .drop("_first_trt"))
+    return assign_from_first(population.join(first, "stay_id", "left"), "_first_trt", window_days,
+                             intime_col, inclusion_col)
+
+
+def assign_from_first(population: DataFrame, first_col: str, window_days: float, intime_col: str = "intime",
+                      inclusion_col: str = "inclusion_start") -> DataFrame:
+    """H4 when the first treatment time per stay is already a column."""
+    delta = seconds_between(first_col, intime_col)
+    ok = (delta >= 0) & (delta <= F.lit(window_days * 86400.0)) & (F.col(first_col) > F.col(inclusion_col))
+    return (population.withColumn("intervention_start", F.when(ok, F.col(first_col)))
+                      .withColumn("intervention_status", F.col("intervention_start").isNotNull().cast("int"))
+                      .drop(first_col))
 
 
 # ------------------------------------------------------------------ H5

@@ -154,13 +154,24 @@ def impute_median(df: DataFrame, cols: Sequence[str], stats: DataFrame | None =
 
 def design_matrix(df: DataFrame, numerical: Sequence[str] = (), binary: Sequence[str] = (),
                   categorical: Mapping[str, Sequence] | None = None, passthrough: Sequence[str] = ()) -> DataFrame:
-    """J8 (S10): numerical -> standardise then median-impute (statistics of the
-    standardised column), binary -> null to 0, categorical -> one-hot with
-    unknown ignored, passthrough untouched."""
+    """J8 (S10): numerical -> standardise then median-impute (the median of
+    the standardised column), binary -> null to 0, categorical -> one-hot with
+    unknown ignored, passthrough untouched.
+
+    One aggregation gives every statistic: standardising is monotone and
+    affine, so the median of the standardised column is
+    ``(median - mean) / std``."""
     out = df
     if numerical:
-        out = standardise(out, numerical)
-        out = impute_median(out, numerical)
+        st = column_stats(df, numerical)
+        j = attach_row(df, st)
+        z = {}
+        for c in numerical:
+            sd = F.when(F.col(f"{c}__std") == 0, 1.0).otherwise(F.col(f"{c}__std"))
+            zc = (F.col(c) - F.col(f"{c}__mean")) / sd
+            zmed = (F.col(f"{c}__median") - F.col(f"{c}__mean")) / sd
+            z[c] = F.coalesce(zc, zmed)
+        out = j.withColumns(z).drop(*[f"{c}__{k}" for c in numerical for k in ("mean", "std", "median")])
     if binary:
         out = out.fillna({b: 0 for b in binary})
     for col, cats in (categorical or {}).items():

@@ -61,10 +61,11 @@ def analysis_frame(spark: SparkSession, sf_dir: str, aggs: Sequence[str], subset
                    outcome: str = "mortality_1day", n_folds: int = 5, fold_seed: int = 0) -> tuple[DataFrame, list]:
     """Unit x feature matrix (J1 -> J8), assembled, with folds; cut lineage."""
     codes = FEATURE_SUBSETS[subset]
-    units = units_e(spark, sf_dir)
+    pop = cut_lineage(cohort_e_population(spark, sf_dir))       # used twice below
+    units = units_e(spark, sf_dir, pop)
     if codes:
         from trialframe.plans.q_primitives import _obs_events_spark
-        ev = FE.feature_subset(_obs_events_spark(spark, sf_dir), codes)
+        ev = FE.feature_subset(_obs_events_spark(spark, sf_dir, pop), codes)
         m = FE.patient_matrix(ev, units, codes, list(aggs), order=["starttime", "event_id"])
         num = [f"{agg}_code_{c}" for c in codes for agg in aggs] + STATICS_NUM
     else:
@@ -150,8 +151,7 @@ def predictive_failure(spark: SparkSession, sf_dir: str, seeds: Sequence[int] =
     on pre-treatment features (up to inclusion) of held-out units; one score
     row per seed (validation and test metrics, as the reference's file)."""
     from trialframe.plans.q_primitives import cohort_e_events
-    pop = cohort_e_population(spark, sf_dir)
-    pop = pop.withColumn("y", F.col(outcome).cast("double"))
+    pop = cut_lineage(cohort_e_population(spark, sf_dir).withColumn("y", F.col(outcome).cast("double")))
     ev = cohort_e_events(spark, sf_dir)
     units = units_e(spark, sf_dir).select("stay_id", "c_acctbal", "building")
 
@@ -162,8 +162,8 @@ def predictive_failure(spark: SparkSession, sf_dir: str, seeds: Sequence[int] =
         return piv.join(units, "stay_id").join(pop.select("stay_id", "y"), "stay_id")
 
     feats = [f"last_code_{c}" for c in E_CODES] + ["c_acctbal", "building"]
-    train_m = matrix(shift("intime", hours=period_hours)).fillna(0.0, subset=feats)
-    test_m = matrix(F.col("inclusion_start")).fillna(0.0, subset=feats)
+    train_m = cut_lineage(matrix(shift("intime", hours=period_hours)).fillna(0.0, subset=feats))
+    test_m = cut_lineage(matrix(F.col("inclusion_start")).fillna(0.0, subset=feats))
     rows = []
     for seed in seeds:
         t0 = time.time()

@@ -43,24 +43,30 @@ def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
               .withColumn("hadm_id", F.col("user_id") * 10 + F.floor(F.col("_b") / STAYS_PER_ADMISSION).cast("bigint")))
 
 
-def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stays(spark: SparkSession, sf_dir: str, firsts: dict | None = None) -> DataFrame:
     """One row per stay: keys, intime (block start), outtime (last event) and
     the first ``error`` at or after the stay start (``dod``).
 
+    ``firsts`` maps output names to event predicates; the first time of each
+    is computed in the *same* aggregation (one scan of the events for the
+    stays, the inclusion event and the first treatment).
+
     ``dod`` is a suffix minimum over the user's stays (a window over one row
     per stay, never over raw events), so a user with most of the events does
     not land in one task.
     """
     ev = keyed_events(spark, sf_dir)
+    extra = [F.min(F.when(cond, F.col("ts"))).alias(name) for name, cond in (firsts or {}).items()]
     st = (ev.groupBy("subject_id", "hadm_id", "stay_id", "_b")
             .agg(F.max("ts").alias("outtime"),
-                 F.min(F.when(F.col("event_type") == "error", F.col("ts"))).alias("_err_min"))
+                 F.min(F.when(F.col("event_type") == "error", F.col("ts"))).alias("_err_min"), *extra)
             .withColumn("intime", F.timestamp_add("DAY", F.col("_b") * 5, F.lit(ORIGIN).cast("timestamp_ntz"))))
     later = Window.partitionBy("subject_id").orderBy(F.col("_b").desc())
     return (st.withColumn("_next_err", F.min("_err_min").over(
                 later.rowsBetween(Window.unboundedPreceding, -1)))
               .withColumn("dod", F.least("_err_min", "_next_err"))
-              .select("subject_id", "hadm_id", "stay_id", "intime", "outtime", "dod", "_err_min", "_next_err"))
+              .select("subject_id", "hadm_id", "stay_id", "intime", "outtime", "dod", "_err_min", "_next_err",
+                      *(firsts or {}).keys()))
 
 
 def stay_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,15 +98,18 @@ def death_after(spark: SparkSession, sf_dir: str, population: DataFrame,
                 start_col: str = "inclusion_start") -> DataFrame:
     """Adds ``dod`` = first ``error`` of the user at or after ``start_col``
     (which lies inside the stay): the stay's own errors after the start, else
-    the first error of a later stay."""
-    st = stays(spark, sf_dir).select("stay_id", "_next_err")
+    the first error of a later stay (``_next_err``, taken from the population
+    when it carries it, else from the stays)."""
     ev = keyed_events(spark, sf_dir).filter(F.col("event_type") == "error").select("stay_id", "ts")
     own = (population.select("stay_id", start_col).join(ev, "stay_id")
                      .filter(F.col("ts") >= F.col(start_col))
                      .groupBy("stay_id").agg(F.min("ts").alias("_own_err")))
-    return (population.join(own, "stay_id", "left").join(st, "stay_id", "left")
-                      .withColumn("dod", F.least("_own_err", "_next_err"))
-                      .drop("_own_err", "_next_err"))
+    pop = population
+    if "_next_err" not in pop.columns:
+        pop = pop.join(stays(spark, sf_dir).select("stay_id", "_next_err"), "stay_id", "left")
+    return (pop.join(own, "stay_id", "left")
+               .withColumn("dod", F.least("_own_err", "_next_err"))
+               .drop("_own_err", "_next_err"))
 
 
 # ----------------------------------------------------------------- cohort O

@@ -21,17 +21,21 @@ sec = X.sec_sql
 
 def cohort_e_population(spark, sf_dir, window_days: float = W_E, extra_criteria=None):
     """Flagship cohort (H6): first ``view`` in the window -> criteria roll ->
-    first ``purchase`` -> death (first ``error``) -> 1-day / 3-day outcomes."""
-    kev = X.keyed_events(spark, sf_dir)
-    st = X.stays(spark, sf_dir).select("subject_id", "hadm_id", "stay_id", "intime")
-    views = kev.filter(F.col("event_type") == "view").select("stay_id", F.col("ts").alias("starttime"), "event_id")
-    incl = C.first_event_in_window(views, st, window_days, tiebreak=["event_id"])
-    criteria = OrderedDict(extra_criteria or {})
-    criteria[C.INCLUSION_EVENT] = incl
-    pop, steps = C.roll_inclusion(st, criteria)
-    trt = kev.filter(F.col("event_type") == "purchase").select("stay_id", F.col("ts").alias("starttime"), "event_id")
-    pop = C.assign_intervention(pop, trt, window_days, tiebreak=["event_id"])
-    pop = X.death_after(spark, sf_dir, pop)
+    first ``purchase`` -> death (first ``error``) -> 1-day / 3-day outcomes.
+
+    The stay table, the first view and the first purchase come from one
+    aggregation over the events; the errors are read once more for the death
+    date.  Extra criteria (frames of ``stay_id``) are rolled in by inner joins.
+    """
+    st = X.stays(spark, sf_dir, firsts={"_first_view": F.col("event_type") == "view",
+                                        "_first_trt": F.col("event_type") == "purchase"})
+    pop = C.include_in_window(st, "_first_view", window_days)
+    if extra_criteria:
+        criteria = OrderedDict(extra_criteria)
+        criteria[C.INCLUSION_EVENT] = pop.select("stay_id", "inclusion_start")
+        pop, _ = C.roll_inclusion(st.drop("_first_view"), criteria)
+    pop = C.assign_from_first(pop, "_first_trt", window_days)
+    pop = X.death_after(spark, sf_dir, pop.drop("dod", "_err_min"))
     pop = C.outcome_horizon(pop, {"mortality_1day": 1, "mortality_3days": 3})
     return pop.select("subject_id", "hadm_id", "stay_id", "intime", "inclusion_start",
                       "intervention_start", "intervention_status", "dod",

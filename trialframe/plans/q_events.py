@@ -243,8 +243,8 @@ UNITS_E_SQL = """units AS (SELECT p.stay_id, p.intervention_status, p.mortality_
   FROM pop p LEFT JOIN customer c ON c.c_custkey = p.subject_id)"""
 
 
-def units_e(spark, sf_dir):
-    pop = cohort_e_population(spark, sf_dir)
+def units_e(spark, sf_dir, pop=None):
+    pop = pop if pop is not None else cohort_e_population(spark, sf_dir)
     cust = _T(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"), "c_acctbal", "c_mktsegment")
     return (pop.join(cust, "subject_id", "left")
                .select("stay_id", "intervention_status", "mortality_1day", "c_acctbal",
@@ -252,9 +252,9 @@ def units_e(spark, sf_dir):
                        "c_mktsegment"))
 
 
-def patient_matrix_e(spark, sf_dir, aggs=("first", "last")):
-    ev = _obs_events_spark(spark, sf_dir)
-    return FE.patient_matrix(ev, units_e(spark, sf_dir), E_CODES, list(aggs), order=["starttime", "event_id"])
+def patient_matrix_e(spark, sf_dir, aggs=("first", "last"), pop=None):
+    ev = _obs_events_spark(spark, sf_dir, pop)
+    return FE.patient_matrix(ev, units_e(spark, sf_dir, pop), E_CODES, list(aggs), order=["starttime", "event_id"])
 
 
 @register("patient_matrix", f"""WITH {OBS_EVENTS_SQL}, {UNITS_E_SQL},

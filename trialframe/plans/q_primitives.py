@@ -544,9 +544,9 @@ def _pivot_sql(aggs: list[str]) -> str:
     return ", ".join(parts)
 
 
-def _obs_events_spark(spark, sf_dir):
+def _obs_events_spark(spark, sf_dir, pop=None):
     kev = X.keyed_events(spark, sf_dir)
-    pop = cohort_e_population(spark, sf_dir)
+    pop = pop if pop is not None else cohort_e_population(spark, sf_dir)
     ev = kev.select("subject_id", "hadm_id", "stay_id", F.col("ts").alias("starttime"),
                     F.col("event_type").alias("code"), "value", "event_id")
     return R.observation_window(ev, pop, event_cols=["subject_id", "hadm_id", "stay_id", "starttime", "code",
