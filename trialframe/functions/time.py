@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_EPOCH = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
 MICROS_PER_SECOND = 1_000_000
 SECONDS_PER_DAY = 86_400
 
@@ -21,7 +20,8 @@ def _c(x) -> Column:
 
 def epoch_micros(ts) -> Column:
     """Microseconds since 1970-01-01 of a TIMESTAMP_NTZ (no zone shift)."""
-    return F.timestamp_diff("MICROSECOND", _EPOCH, _c(ts).cast("timestamp_ntz"))
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                            _c(ts).cast("timestamp_ntz"))
 
 
 def seconds_between(end, start) -> Column:

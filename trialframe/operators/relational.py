@@ -55,6 +55,24 @@ def top1_per_group(df: DataFrame, by, order) -> DataFrame:
     return first_last(df, by, order, rest, "first").select(*df.columns)
 
 
+# ------------------------------------------------------------ range buckets
+
+def quantile_buckets(df: DataFrame, col: str, n_buckets: int, out: str = "_bucket",
+                     rel_err: float = 1e-4) -> DataFrame:
+    """Cut ``col`` into about ``n_buckets`` ranges holding equal row counts
+    (approximate quantiles: ``n_buckets - 1`` numbers reach the driver) and add
+    the bucket index (``Bucketizer``: binary search, JVM side).  Used to split
+    an order-dependent computation (prefix sums, nearest neighbours) into
+    bounded, independent partitions instead of one global sort."""
+    from pyspark.ml.feature import Bucketizer
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    cuts = df.approxQuantile(col, probs, rel_err) if probs else []
+    splits = [float("-inf")] + sorted(set(float(c) for c in cuts)) + [float("inf")]
+    if len(splits) < 3:
+        return df.withColumn(out, F.lit(0.0))
+    return Bucketizer(splits=splits, inputCol=col, outputCol=out).transform(df)
+
+
 # ------------------------------------------------------------ duplicates
 
 def drop_all_duplicated(df: DataFrame, subset: Sequence[str] | None = None) -> DataFrame:
