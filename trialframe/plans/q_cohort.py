@@ -354,3 +354,68 @@ def q_arms_by_status(spark, sf_dir):
     control = cust.join(treated, "subject_id", "left_anti")
     return (treated.select(F.lit("urgent_or_high").alias("arm"), "subject_id")
                    .unionByName(control.select(F.lit("other").alias("arm"), "subject_id")))
+
+
+# ------------------------------------------------------------ cohort O (orders)
+
+W_O = X.COHORT_O_WINDOW_DAYS
+W_O_SEC = W_O * 86400.0
+
+
+def cohort_o_population(spark, sf_dir):
+    """Second target population on the large tables: unit = order, inclusion
+    = first open line shipped within 730 days of the order, treatment = first
+    returned line (first overall, then in window and after inclusion),
+    outcome = order fulfilled.  Both first times come from one aggregation
+    over the line items."""
+    li = read_table(spark, sf_dir, "lineitem")
+    firsts = li.groupBy(F.col("l_orderkey").alias("stay_id")).agg(
+        F.min(F.when(F.col("l_linestatus") == "O", F.col("l_shipdate"))).alias("_first_open"),
+        F.min(F.when(F.col("l_returnflag") == "R", F.col("l_shipdate"))).alias("_first_return"))
+    st = X.order_stays(spark, sf_dir).join(firsts, "stay_id")
+    pop = C.include_in_window(st, "_first_open", W_O)
+    pop = C.assign_from_first(pop, "_first_return", W_O)
+    return pop.select("subject_id", "hadm_id", "stay_id", "intime", "inclusion_start", "intervention_start",
+                      "intervention_status", (F.col("o_orderstatus") == "F").cast("int").alias("fulfilled"),
+                      "o_orderpriority", "o_totalprice")
+
+
+POP_O_SQL = f"""
+incl_o AS (
+  SELECT o.o_custkey AS subject_id, o.o_orderkey AS hadm_id, o.o_orderkey AS stay_id, o.o_orderdate AS intime,
+         f.inclusion_start, o.o_orderstatus, o.o_orderpriority, o.o_totalprice
+  FROM orders o JOIN (SELECT l_orderkey, min(l_shipdate) AS inclusion_start FROM lineitem WHERE l_linestatus = 'O'
+                      GROUP BY l_orderkey) f ON f.l_orderkey = o.o_orderkey
+  WHERE {sec('f.inclusion_start', 'o.o_orderdate')} BETWEEN 0 AND {W_O_SEC}
+),
+trt_o AS (SELECT l_orderkey AS stay_id, min(l_shipdate) AS first_trt FROM lineitem WHERE l_returnflag = 'R'
+          GROUP BY l_orderkey),
+pop_o AS (
+  SELECT i.subject_id, i.hadm_id, i.stay_id, i.intime, i.inclusion_start,
+         CASE WHEN {sec('t.first_trt', 'i.intime')} BETWEEN 0 AND {W_O_SEC} AND t.first_trt > i.inclusion_start
+              THEN t.first_trt END AS intervention_start,
+         CAST(({sec('t.first_trt', 'i.intime')} BETWEEN 0 AND {W_O_SEC} AND t.first_trt > i.inclusion_start)
+              IS TRUE AS INTEGER) AS intervention_status,
+         CAST(i.o_orderstatus = 'F' AS INTEGER) AS fulfilled, i.o_orderpriority, i.o_totalprice
+  FROM incl_o i LEFT JOIN trt_o t USING (stay_id)
+)"""
+
+
+@register("target_population_orders", f"WITH {POP_O_SQL} SELECT * FROM pop_o")
+def q_target_population_orders(spark, sf_dir):
+    return cohort_o_population(spark, sf_dir)
+
+
+@register("observation_window", f"""WITH {POP_O_SQL}
+SELECT p.subject_id, l.l_orderkey AS hadm_id, l.l_orderkey AS stay_id, l.l_shipdate AS starttime,
+       CAST(NULL AS TIMESTAMP) AS endtime, 'lineitem' AS domain, l.l_returnflag AS code, l.l_returnflag AS label,
+       l.l_quantity AS value
+FROM lineitem l JOIN pop_o p ON p.stay_id = l.l_orderkey WHERE l.l_shipdate <= p.inclusion_start""")
+def q_observation_window(spark, sf_dir):
+    from trialframe.operators.relational import observation_window, to_event_schema
+    li = read_table(spark, sf_dir, "lineitem")
+    ev = to_event_schema(li.select(F.col("l_orderkey").alias("stay_id"), F.col("l_orderkey").alias("hadm_id"),
+                                   F.col("l_shipdate").alias("starttime"), F.col("l_returnflag").alias("code"),
+                                   F.col("l_returnflag").alias("label"), F.col("l_quantity").alias("value")),
+                         domain="lineitem").drop("subject_id")
+    return observation_window(ev, cohort_o_population(spark, sf_dir))
