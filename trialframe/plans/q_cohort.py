@@ -10,6 +10,7 @@ from trialframe.operators import cohort as C
 from trialframe.operators.relational import except_set, intersect_all_sets
 from trialframe.plans import fixtures as X
 from trialframe.plans.registry import register, rounded
+from trialframe.session import cut_lineage
 from trialframe.sources.io import read_table
 
 W_E = X.COHORT_E_WINDOW_DAYS
@@ -27,8 +28,11 @@ def cohort_e_population(spark, sf_dir, window_days: float = W_E, extra_criteria=
     aggregation over the events; the errors are read once more for the death
     date.  Extra criteria (frames of ``stay_id``) are rolled in by inner joins.
     """
-    st = X.stays(spark, sf_dir, firsts={"_first_view": F.col("event_type") == "view",
-                                        "_first_trt": F.col("event_type") == "purchase"})
+    # one row per stay, read by three branches (inclusion, later-stay death
+    # date, own-stay death date): materialised once in the shared checkpoint
+    # folder so the events are not re-aggregated per branch
+    st = cut_lineage(X.stays(spark, sf_dir, firsts={"_first_view": F.col("event_type") == "view",
+                                                    "_first_trt": F.col("event_type") == "purchase"}))
     pop = C.include_in_window(st, "_first_view", window_days)
     if extra_criteria:
         criteria = OrderedDict(extra_criteria)

@@ -18,6 +18,7 @@ from trialframe.plans.q_effects import (
 from trialframe.plans.q_events import OBS_EVENTS_SQL, UNITS_E_SQL, patient_matrix_e
 from trialframe.plans.registry import register, rounded
 from trialframe.functions.time import seconds_between
+from trialframe.session import cut_lineage
 
 sec = X.sec_sql
 
@@ -103,20 +104,21 @@ def q_forest_table(spark, sf_dir):
 # ------------------------------------------------------------------ K21, M4
 
 def window_population(spark, sf_dir, windows=WINDOWS):
-    """The cohort under several observation windows in one pass: first view
-    and first purchase per stay are computed once, each stay is expanded to
-    the windows (bounded literal list), then filtered per window."""
-    kev = X.keyed_events(spark, sf_dir)
-    st = X.stays(spark, sf_dir)
-    views = kev.filter(F.col("event_type") == "view").select("stay_id", F.col("ts").alias("starttime"), "event_id")
-    pop = C.first_event_multi_window(views, st, windows, tiebreak=["event_id"])
-    trt = first_last(kev.filter(F.col("event_type") == "purchase"), "stay_id", ["ts", "event_id"], ["ts"]) \
-        .withColumnRenamed("ts", "_first_trt")
-    pop = pop.join(trt, "stay_id", "left")
+    """The cohort under several observation windows in one pass: the stay
+    table with first view and first purchase comes from one aggregation over
+    the events; each stay is expanded to the windows (bounded literal list)
+    and filtered per window."""
+    st = cut_lineage(X.stays(spark, sf_dir, firsts={"_first_view": F.col("event_type") == "view",
+                                                    "_first_trt": F.col("event_type") == "purchase"}))
+    w = st.select("*", F.explode(F.array(*[F.lit(float(x)) for x in windows])).alias("window_days"))
+    di = seconds_between("_first_view", "intime")
+    pop = w.filter((di >= 0) & (di <= F.col("window_days") * 86400.0)).withColumnRenamed("_first_view",
+                                                                                         "inclusion_start")
     d = seconds_between("_first_trt", "intime")
     treated = (d >= 0) & (d <= F.col("window_days") * 86400.0) & (F.col("_first_trt") > F.col("inclusion_start"))
     pop = pop.withColumn("a", F.coalesce(treated, F.lit(False)).cast("int"))
-    pop = X.death_after(spark, sf_dir, pop)
+    pop = X.death_after(spark, sf_dir, pop.select("window_days", "subject_id", "stay_id", "intime",
+                                                  "inclusion_start", "a", "_next_err"))
     return C.outcome_horizon(pop, {"y": 1})
 
 
