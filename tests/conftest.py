@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -11,8 +10,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def spark():
     from trialframe.session import local_session
     s = local_session(cores=4, shuffle_partitions=4, app="trialframe-tests")
-    if not s.conf.get("spark.checkpoint.dir", None):
-        s.conf.set("spark.checkpoint.dir", tempfile.mkdtemp(prefix="tf-test-ckpt-", dir="/tmp"))
+    from trialframe.session import checkpoint_dir
+    checkpoint_dir(s)          # the session's shared folder, or a scratch one when unset
     yield s
 
 

@@ -37,8 +37,8 @@ def risk_difference(df: DataFrame, a: str = "a", y: str = "y", z: float = Z975)
     t = (df.groupBy().agg(
         F.sum(_a(a)).alias("n1"), F.sum(1.0 - _a(a)).alias("n0"),
         F.sum(_a(a) * F.col(y)).alias("y1"), F.sum((1.0 - _a(a)) * F.col(y)).alias("y0")))
-    p1, p0 = F.col("y1") / F.col("n1"), F.col("y0") / F.col("n0")
-    se = F.sqrt(p1 * (1 - p1) / F.col("n1") + p0 * (1 - p0) / F.col("n0"))
+    p1, p0 = F.try_divide(F.col("y1"), F.col("n1")), F.try_divide(F.col("y0"), F.col("n0"))
+    se = F.sqrt(F.try_divide(p1 * (1 - p1), F.col("n1")) + F.try_divide(p0 * (1 - p0), F.col("n0")))
     return t.select(p1.alias("p1"), p0.alias("p0"), F.col("n1").cast("bigint").alias("n1"),
                     F.col("n0").cast("bigint").alias("n0"), (p1 - p0).alias("ATE"),
                     (p1 - p0 - z * se).alias("ATE_lower"), (p1 - p0 + z * se).alias("ATE_upper"))
@@ -61,7 +61,8 @@ def diff_means(df: DataFrame, a: str = "a", y: str = "y", z: float = 1.96, by: S
         F.var_pop(F.when(F.col(a) == 1, F.col(y))).alias("v1"), F.var_pop(F.when(F.col(a) == 0, F.col(y))).alias("v0"),
         F.count_if(F.col(a) == 1).alias("n1"), F.count_if(F.col(a) == 0).alias("n0"))
     ate = F.col("m1") - F.col("m0")
-    se = F.sqrt(F.col("v0") / (F.col("n0") - 1) + F.col("v1") / (F.col("n1") - 1))
+    # undefined (NULL) rather than an error when an arm has fewer than 2 units
+    se = F.sqrt(F.try_divide(F.col("v0"), F.col("n0") - 1) + F.try_divide(F.col("v1"), F.col("n1") - 1))
     return t.select(*by, ate.alias("ATE"), se.alias("se"), (ate - z * se).alias("ATE_lower"),
                     (ate + z * se).alias("ATE_upper"))
 
@@ -80,7 +81,7 @@ def ipw(df: DataFrame, a: str = "a", y: str = "y", e: str = "e", clip_to=CLIP, n
         return df.groupBy().agg(F.avg(w1 * F.col(y) - w0 * F.col(y)).alias("ATE"))
     t = df.groupBy().agg(F.sum(w1 * F.col(y)).alias("s1"), F.sum(w1).alias("w1"),
                          F.sum(w0 * F.col(y)).alias("s0"), F.sum(w0).alias("w0"))
-    return t.select((F.col("s1") / F.col("w1") - F.col("s0") / F.col("w0")).alias("ATE"))
+    return t.select((F.try_divide(F.col("s1"), F.col("w1")) - F.try_divide(F.col("s0"), F.col("w0"))).alias("ATE"))
 
 
 def g_formula(df: DataFrame, m1: str = "m1", m0: str = "m0") -> DataFrame:
@@ -166,13 +167,13 @@ def dml_ate(df: DataFrame, a: str = "a", y: str = "y", e: str = "e", m: str = "m
     r = df.select((_a(a) - F.col(e)).alias("_ar"), (F.col(y) - F.col(m)).alias("_yr"))
     t = r.groupBy().agg(F.sum(F.col("_ar") * F.col("_yr")).alias("_sxy"), F.sum(F.col("_ar") ** 2).alias("_sxx"),
                         F.count(F.lit(1)).alias("_n"))
-    theta = F.col("_sxy") / F.col("_sxx")
+    theta = F.try_divide(F.col("_sxy"), F.col("_sxx"))
     # sandwich variance: sum(a~^2 (y~ - theta a~)^2) / sum(a~^2)^2
     from trialframe.operators.features import attach_row
     with_t = attach_row(r, t.select(theta.alias("ATE"), "_sxx"))
     v = with_t.groupBy("ATE", "_sxx").agg(
         F.sum((F.col("_ar") ** 2) * (F.col("_yr") - F.col("ATE") * F.col("_ar")) ** 2).alias("_meat"))
-    se = F.sqrt(F.col("_meat")) / F.col("_sxx")
+    se = F.try_divide(F.sqrt(F.col("_meat")), F.col("_sxx"))
     return v.select("ATE", se.alias("se"), (F.col("ATE") - 1.96 * se).alias("ATE_lower"),
                     (F.col("ATE") + 1.96 * se).alias("ATE_upper"))
 
@@ -253,10 +254,10 @@ def bootstrap_ci(df: DataFrame, id_col: str, n_boot: int = 50, seed: int = 0, st
     wd = F.col("w").cast("double")
     if stat == "diff_means":
         reps = w.groupBy("b").agg(
-            (F.sum(wd * _a(a) * F.col(y)) / F.sum(wd * _a(a))
-             - F.sum(wd * (1 - _a(a)) * F.col(y)) / F.sum(wd * (1 - _a(a)))).alias("stat"))
+            (F.try_divide(F.sum(wd * _a(a) * F.col(y)), F.sum(wd * _a(a)))
+             - F.try_divide(F.sum(wd * (1 - _a(a)) * F.col(y)), F.sum(wd * (1 - _a(a))))).alias("stat"))
     elif stat == "mean":
-        reps = w.groupBy("b").agg((F.sum(wd * F.col(pseudo)) / F.sum(wd)).alias("stat"))
+        reps = w.groupBy("b").agg(F.try_divide(F.sum(wd * F.col(pseudo)), F.sum(wd)).alias("stat"))
     else:
         raise ValueError(f"unknown bootstrap statistic {stat!r}")
     return reps.groupBy().agg(

@@ -56,16 +56,17 @@ def ensure_conf(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (tests, local runs) a fresh scratch folder is
-    created and registered; a cluster always names a shared folder.
+    The context's checkpoint directory is registered from that setting once.
+    Only when the session has none (tests, local runs) a fresh scratch folder
+    is created; a cluster always names a shared folder.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="trialframe-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        d = current or tempfile.mkdtemp(prefix="trialframe-ckpt-", dir="/tmp")
+    if not current:
+        sc.setCheckpointDir(d)
     return d
 
 
