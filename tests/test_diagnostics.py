@@ -85,3 +85,33 @@ def test_check_binary_treatment(spark):
     df = spark.createDataFrame([(0,), (1,), (2,)], "a int")
     with pytest.raises(ValueError):
         FE.check_binary_treatment(df)
+
+
+def test_p_values_textbook():
+    from trialframe.functions.stats import chi2_sf, t_two_sided_p
+    assert t_two_sided_p(2.0, 10) == pytest.approx(0.07339, abs=1e-5)
+    assert t_two_sided_p(2.228, 10) == pytest.approx(0.05, abs=1e-4)
+    assert chi2_sf(3.841459, 1) == pytest.approx(0.05, abs=1e-6)
+    assert chi2_sf(9.487729, 4) == pytest.approx(0.05, abs=1e-6)
+    assert chi2_sf(0.5, 3) == pytest.approx(0.91889, abs=1e-5)
+
+
+def test_baseline_tests_and_p_values(spark):
+    from trialframe.operators import reports as RP
+    rng = np.random.default_rng(5)
+    pdf = pd.DataFrame({"arm": np.r_[np.zeros(200), np.ones(200)].astype(int),
+                        "x": np.r_[rng.normal(0, 1, 200), rng.normal(0.5, 2, 200)],
+                        "c": rng.choice(["a", "b", "c"], 400)})
+    pdf.loc[(pdf.arm == 1) & (pdf.c == "c"), "c"] = "b"          # a level seen in one arm only
+    out = RP.with_p_values(RP.baseline_tests(spark.createDataFrame(pdf), "arm", ["x"], ["c"])).toPandas()
+    x1, x0 = pdf.x[pdf.arm == 1], pdf.x[pdf.arm == 0]
+    s1, s0 = x1.var() / len(x1), x0.var() / len(x0)
+    t = (x1.mean() - x0.mean()) / np.sqrt(s1 + s0)
+    row = out[out.variable == "x"].iloc[0]
+    assert row.statistic == pytest.approx(t)
+    tab = pd.crosstab(pdf.c, pdf.arm).to_numpy().astype(float)
+    exp = tab.sum(1, keepdims=True) * tab.sum(0, keepdims=True) / tab.sum()
+    chi = ((tab - exp) ** 2 / exp).sum()
+    crow = out[out.variable == "c"].iloc[0]
+    assert crow.statistic == pytest.approx(chi) and crow.dof == 2
+    assert 0 <= crow.p_value <= 1 and 0 <= row.p_value <= 1

@@ -6,6 +6,8 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
+import pandas as pd
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,3 +75,64 @@ def metrics_long(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) ->
     """M6: wide score rows -> (keys..., metric, value)."""
     return df.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]) \
              .unpivot(list(keys), list(metrics), "metric", "value")
+
+
+def baseline_tests(df: DataFrame, arm: str, numerical: Sequence[str] = (),
+                   categorical: Sequence[str] = ()) -> DataFrame:
+    """M1 tests: Welch's t (numerical) and Pearson's chi-square without
+    continuity correction (categorical) between the two arms (0/1).
+
+    Per-arm moments and per-level counts are one aggregation each; the test
+    statistic and degrees of freedom are column expressions over the few
+    aggregated rows.  Zero cells (a level seen in one arm only) are counted.
+    """
+    out = None
+    if numerical:
+        long = df.select(F.col(arm).cast("int").alias("_arm"), *[F.col(c).cast("double").alias(c) for c in numerical]) \
+                 .unpivot(["_arm"], list(numerical), "variable", "x")
+        m = long.groupBy("variable").agg(
+            F.count(F.when(F.col("_arm") == 1, F.col("x"))).alias("n1"),
+            F.count(F.when(F.col("_arm") == 0, F.col("x"))).alias("n0"),
+            F.avg(F.when(F.col("_arm") == 1, F.col("x"))).alias("m1"),
+            F.avg(F.when(F.col("_arm") == 0, F.col("x"))).alias("m0"),
+            F.var_samp(F.when(F.col("_arm") == 1, F.col("x"))).alias("v1"),
+            F.var_samp(F.when(F.col("_arm") == 0, F.col("x"))).alias("v0"))
+        s1, s0 = F.try_divide(F.col("v1"), F.col("n1")), F.try_divide(F.col("v0"), F.col("n0"))
+        t = F.try_divide(F.col("m1") - F.col("m0"), F.sqrt(s1 + s0))
+        dof = F.try_divide((s1 + s0) ** 2, F.try_divide(s1 ** 2, F.col("n1") - 1) + F.try_divide(s0 ** 2, F.col("n0") - 1))
+        out = m.select("variable", F.lit("welch_t").alias("test"), t.alias("statistic"), dof.alias("dof"))
+    if categorical:
+        long = df.select(F.col(arm).cast("int").alias("_arm"), *[F.col(c).cast("string").alias(c) for c in categorical]) \
+                 .unpivot(["_arm"], list(categorical), "variable", "level")
+        cells = long.groupBy("variable", "level").agg(F.count_if(F.col("_arm") == 1).alias("o1"),
+                                                      F.count_if(F.col("_arm") == 0).alias("o0"))
+        tot = cells.groupBy("variable").agg(F.sum("o1").alias("t1"), F.sum("o0").alias("t0"),
+                                            F.count(F.lit(1)).alias("n_levels"))
+        j = cells.join(tot, "variable")
+        n = F.col("t1") + F.col("t0")
+        e1 = (F.col("o1") + F.col("o0")) * F.col("t1") / n
+        e0 = (F.col("o1") + F.col("o0")) * F.col("t0") / n
+        contrib = F.try_divide((F.col("o1") - e1) ** 2, e1) + F.try_divide((F.col("o0") - e0) ** 2, e0)
+        chi = j.groupBy("variable").agg(F.sum(contrib).alias("statistic"),
+                                        ((F.first("n_levels") - 1) * 1.0).alias("dof"))
+        chi = chi.select("variable", F.lit("chi_square").alias("test"), "statistic", "dof")
+        out = chi if out is None else out.unionByName(chi)
+    return out
+
+
+def with_p_values(tests: DataFrame) -> DataFrame:
+    """Add ``p_value`` to ``baseline_tests`` rows (two-sided t / chi-square
+    upper tail), evaluated by an Arrow-batched pandas UDF over the few
+    aggregated rows."""
+
+    @F.pandas_udf("double")
+    def _p(test: pd.Series, stat: pd.Series, dof: pd.Series) -> pd.Series:
+        from trialframe.functions.stats import chi2_sf, t_two_sided_p
+        out = []
+        for t, s, d in zip(test, stat, dof):
+            s = None if pd.isna(s) else float(s)
+            d = None if pd.isna(d) else float(d)
+            out.append(t_two_sided_p(s, d) if t == "welch_t" else chi2_sf(s, d))
+        return pd.Series(out, dtype="float64")
+
+    return tests.withColumn("p_value", _p("test", "statistic", "dof"))

@@ -47,6 +47,40 @@ def q_table_one(spark, sf_dir):
     return rounded(RP.table_one(m, "intervention_status", T1_NUM, T1_CAT))
 
 
+TESTS_SQL = f"""WITH {OBS_EVENTS_SQL}, {UNITS_E_SQL},
+piv AS (SELECT stay_id, arg_max(value, (starttime, event_id)) FILTER (WHERE code = 'view') AS last_code_view
+        FROM obs GROUP BY stay_id),
+m AS (SELECT u.intervention_status AS arm, u.c_acctbal, p.last_code_view, u.c_mktsegment
+      FROM piv p JOIN units u USING (stay_id)),
+l AS (SELECT arm, 'c_acctbal' AS variable, c_acctbal AS x FROM m UNION ALL
+      SELECT arm, 'last_code_view', last_code_view FROM m),
+mo AS (SELECT variable, count(x) FILTER (WHERE arm = 1) AS n1, count(x) FILTER (WHERE arm = 0) AS n0,
+              avg(x) FILTER (WHERE arm = 1) AS m1, avg(x) FILTER (WHERE arm = 0) AS m0,
+              var_samp(x) FILTER (WHERE arm = 1) / count(x) FILTER (WHERE arm = 1) AS s1,
+              var_samp(x) FILTER (WHERE arm = 0) / count(x) FILTER (WHERE arm = 0) AS s0 FROM l GROUP BY variable),
+ce AS (SELECT c_mktsegment AS level, count(*) FILTER (WHERE arm = 1) AS o1, count(*) FILTER (WHERE arm = 0) AS o0
+       FROM m GROUP BY c_mktsegment),
+tt AS (SELECT sum(o1) AS t1, sum(o0) AS t0, count(*) AS nl FROM ce),
+ch AS (SELECT sum(power(o1 - (o1 + o0) * t1 / (t1 + t0), 2) / ((o1 + o0) * t1 / (t1 + t0))
+                + power(o0 - (o1 + o0) * t0 / (t1 + t0), 2) / ((o1 + o0) * t0 / (t1 + t0))) AS stat,
+              max(nl) - 1.0 AS dof FROM ce, tt)
+SELECT variable, 'welch_t' AS test, round((m1 - m0) / sqrt(s1 + s0), 6) AS statistic,
+       round(power(s1 + s0, 2) / (power(s1, 2) / (n1 - 1) + power(s0, 2) / (n0 - 1)), 6) AS dof FROM mo
+UNION ALL SELECT 'c_mktsegment', 'chi_square', round(stat, 6), round(dof, 6) FROM ch"""
+
+
+@register("table_one_tests", TESTS_SQL)
+def q_table_one_tests(spark, sf_dir):
+    m = patient_matrix_e(spark, sf_dir, ["last"])
+    return rounded(RP.baseline_tests(m, "intervention_status", T1_NUM, T1_CAT))
+
+
+@register("table_one_pvalues")
+def q_table_one_pvalues(spark, sf_dir):
+    m = patient_matrix_e(spark, sf_dir, ["last"])
+    return rounded(RP.with_p_values(RP.baseline_tests(m, "intervention_status", T1_NUM, T1_CAT)))
+
+
 # ------------------------------------------------------------------ M3
 
 # Fixed display labels, groups and order of the estimators in the forest plot.
