@@ -16,12 +16,12 @@ def test_relative_periods_first_and_last_fraction(spark):
     ev = spark.createDataFrame(rows, "subject_id int, starttime timestamp_ntz, code string, value double")
     out = FE.relative_period_aggregation(ev, [100, 10, 50, -10, -50], ["max", "count"], vocabulary=["hr"])
     r = {x.subject_id: x.asDict() for x in out.collect()}
-    assert r[1]["count_hr__p100"] == 4
-    assert r[1]["max_hr__p10"] == 2.0           # first 10 % of 10 h = first hour, inclusive
-    assert r[1]["max_hr__p50"] == 3.0
-    assert r[1]["max_hr__p-10"] == 4.0 and r[1]["count_hr__p-10"] == 1
-    assert r[1]["count_hr__p-50"] == 2
-    assert r[2]["count_hr__p10"] == 1           # zero-length trajectory keeps its event
+    assert r[1]["count_code_hr__p100"] == 4
+    assert r[1]["max_code_hr__p10"] == 2.0           # first 10 % of 10 h = first hour, inclusive
+    assert r[1]["max_code_hr__p50"] == 3.0
+    assert r[1]["max_code_hr__p-10"] == 4.0 and r[1]["count_code_hr__p-10"] == 1
+    assert r[1]["count_code_hr__p-50"] == 2
+    assert r[2]["count_code_hr__p10"] == 1           # zero-length trajectory keeps its event
     with pytest.raises(ValueError):
         FE.relative_period_aggregation(ev, [-100])
 

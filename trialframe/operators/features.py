@@ -78,7 +78,7 @@ def relative_period_aggregation(events: DataFrame, periods: str | Sequence[int]
     """Per unit, the first and last event bound the trajectory; for each
     signed percentage ``p`` the first ``p``% (or last ``|p|``%) of it is
     aggregated per code with min/max/mean/std/count; columns
-    ``{agg}_{code}__p{p}``.  All periods are evaluated in one pass: each event
+    ``{agg}_code_{code}__p{p}``.  All periods are evaluated in one pass: each event
     is exploded to the periods it belongs to (a bounded literal list), then one
     pivot.  ``vocabulary`` forces the columns to exist."""
     plist = PERIOD_MAP[periods] if isinstance(periods, str) else list(periods)
@@ -112,7 +112,7 @@ def relative_period_aggregation(events: DataFrame, periods: str | Sequence[int]
     for c in cols:
         cp, agg = c.rsplit("_", 1)
         code, p = cp.rsplit("__p", 1)
-        ren.append(F.col(f"`{c}`").alias(f"{agg}_{code}__p{p}"))
+        ren.append(F.col(f"`{c}`").alias(f"{agg}_code_{code}__p{p}"))
     return out.select(unit_key, *ren)
 
 

@@ -295,10 +295,10 @@ def _period_sql():
             else:
                 cond = f"since >= (d + {span}) - 1e-6 AND to_end <= 1e-6 + d"
             f = f"FILTER (WHERE code = '{code}' AND {cond})"
-            cols += [f"round(min(value) {f}, 6) AS \"min_{code}__p{p}\"", f"round(max(value) {f}, 6) AS \"max_{code}__p{p}\"",
-                     f"round(avg(value) {f}, 6) AS \"mean_{code}__p{p}\"",
-                     f"round(stddev_samp(value) {f}, 6) AS \"std_{code}__p{p}\"",
-                     f"nullif(count(value) {f}, 0) AS \"count_{code}__p{p}\""]
+            cols += [f"round(min(value) {f}, 6) AS \"min_code_{code}__p{p}\"", f"round(max(value) {f}, 6) AS \"max_code_{code}__p{p}\"",
+                     f"round(avg(value) {f}, 6) AS \"mean_code_{code}__p{p}\"",
+                     f"round(stddev_samp(value) {f}, 6) AS \"std_code_{code}__p{p}\"",
+                     f"nullif(count(value) {f}, 0) AS \"count_code_{code}__p{p}\""]
     codes = ", ".join(f"'{c}'" for c in PERIOD_CODES)
     return f"""b AS (SELECT stay_id, min(starttime) AS s0, max(starttime) AS s1 FROM obs WHERE code IN ({codes}) GROUP BY stay_id),
 j AS (SELECT o.stay_id, o.code, o.value, {tsec('b.s1', 'b.s0')} AS d, {tsec('o.starttime', 'b.s0')} AS since,
