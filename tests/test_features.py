@@ -34,3 +34,22 @@ def test_design_matrix_standardise_then_impute(spark):
     assert r[1]["x"] == pytest.approx(-1.0) and r[2]["x"] == pytest.approx(1.0)
     assert r[3]["x"] == pytest.approx(0.0)       # median of the standardised column
     assert r[1]["b"] == 0 and r[3]["c_A"] == 0 and r[3]["c_B"] == 0
+
+
+@pytest.mark.parametrize("n_parts", [1, 3, 7])
+def test_exact_quantiles_match_percentile(spark, n_parts):
+    from trialframe.operators.relational import exact_quantiles
+    rng = np.random.default_rng(0)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 1500, p=[.7, .2, .1]),
+                        "v": np.round(rng.normal(size=1500), 1)})
+    pdf.loc[:500, "v"] = 1.0                         # a value held by a third of the rows
+    pdf.loc[1400:, "v"] = None
+    df = spark.createDataFrame(pdf)
+    probs = {"q0": 0.0, "q05": 0.05, "q50": 0.5, "q95": 0.95, "q1": 1.0}
+    got = exact_quantiles(df, "v", probs, ["g"], n_parts=n_parts).toPandas().set_index("g").sort_index()
+    ref = (df.groupBy("g").agg(*[F.percentile("v", p).alias(k) for k, p in probs.items()])
+             .toPandas().set_index("g").sort_index())
+    assert np.allclose(got[list(probs)].to_numpy(), ref[list(probs)].to_numpy())
+    g = exact_quantiles(df, "v", probs, [], n_parts=n_parts).toPandas()
+    r = df.agg(*[F.percentile("v", p).alias(k) for k, p in probs.items()]).toPandas()
+    assert np.allclose(g[list(probs)].to_numpy(), r[list(probs)].to_numpy())

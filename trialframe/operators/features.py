@@ -126,12 +126,25 @@ def normalise_by_weight(df: DataFrame, value_col: str, weight_col: str, default_
 
 
 def column_stats(df: DataFrame, cols: Sequence[str], exact_median: bool = True) -> DataFrame:
-    """One aggregation: null-skipping mean, population std and median per column."""
+    """One row: null-skipping mean, population std and median per column.
+
+    Moments are one aggregation.  Exact medians are distributed order
+    statistics over the unpivoted columns (``exact_quantiles``: no task holds
+    a whole column); ``exact_median=False`` uses ``percentile_approx``."""
+    from trialframe.operators.relational import exact_quantiles
     exprs = []
     for c in cols:
-        exprs += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std"),
-                  (F.median(c) if exact_median else F.percentile_approx(c, 0.5, 10000)).alias(f"{c}__median")]
-    return df.groupBy().agg(*exprs)
+        exprs += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std")]
+        if not exact_median:
+            exprs.append(F.percentile_approx(c, 0.5, 10000).alias(f"{c}__median"))
+    mom = df.groupBy().agg(*exprs)
+    if not exact_median:
+        return mom
+    long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "_var", "_x")
+    med = exact_quantiles(long, "_x", {"m": 0.5}, ["_var"])
+    row = med.groupBy().pivot("_var", list(cols)).agg(F.first("m"))
+    row = row.select(*[F.col(f"`{c}`").alias(f"{c}__median") for c in cols])
+    return attach_row(mom, row)
 
 
 def standardise(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None) -> DataFrame:

@@ -61,14 +61,17 @@ def period_label(hours_col) -> F.Column:
     return F.concat(F.lpad(F.col(hours_col).cast("string"), 2, "0"), F.lit("h"))
 
 
-def subgroup_summary(df: DataFrame, value: str, features: Sequence[str], exact: bool = True) -> DataFrame:
-    """Per (binary feature, value): mean and 5 % / 95 % quantiles of a
-    per-unit quantity (e.g. the CATE)."""
+def subgroup_summary(df: DataFrame, value: str, features: Sequence[str]) -> DataFrame:
+    """Per (binary feature, value): count, mean and exact 5 % / 95 %
+    quantiles of a per-unit quantity (e.g. the CATE); the quantiles are
+    distributed order statistics (``exact_quantiles``), so a subgroup holding
+    most units is never gathered in one task."""
+    from trialframe.operators.relational import exact_quantiles
     long = df.select(F.col(value).alias("_v"), *[F.col(c).cast("int").alias(c) for c in features]) \
              .unpivot(["_v"], list(features), "feature", "feature_value")
-    q = (lambda p: F.percentile("_v", p)) if exact else (lambda p: F.percentile_approx("_v", p, 10000))
-    return long.groupBy("feature", "feature_value").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), q(0.05).alias("q05"), q(0.95).alias("q95"))
+    mom = long.groupBy("feature", "feature_value").agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
+    qs = exact_quantiles(long, "_v", {"q05": 0.05, "q95": 0.95}, ["feature", "feature_value"])
+    return mom.join(qs, ["feature", "feature_value"], "left")
 
 
 def metrics_long(df: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:

@@ -433,14 +433,16 @@ def q_count_after_distinct(spark, sf_dir):
 
 
 def describe_long(df, col: str):
-    """Count, mean, std, min, quartiles, max of one column, as long rows."""
+    """Count, mean, std, min, quartiles, max of one column, as long rows.
+    Moments are one aggregation; the quartiles are exact distributed order
+    statistics (no single task holds the column)."""
     v = F.col(col)
     one = df.groupBy().agg(
         F.count(v).cast("double").alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).cast("double").alias("min"),
-        F.percentile(v, [0.25, 0.5, 0.75]).alias("_q"), F.max(v).cast("double").alias("max"))
-    wide = one.select("count", "mean", "std", "min", F.col("_q")[0].alias("q25"), F.col("_q")[1].alias("q50"),
-                      F.col("_q")[2].alias("q75"), "max")
+        F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"))
+    qs = R.exact_quantiles(df, col, {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    from trialframe.operators.features import attach_row
+    wide = attach_row(one, qs).select("count", "mean", "std", "min", "q25", "q50", "q75", "max")
     return wide.unpivot([], ["count", "mean", "std", "min", "q25", "q50", "q75", "max"], "statistic", "value")
 
 
@@ -462,9 +464,9 @@ def q_describe_deltas(spark, sf_dir):
 FROM lineitem GROUP BY l_returnflag""")
 def q_subgroup_quantiles(spark, sf_dir):
     li = T(spark, sf_dir, "lineitem")
-    return rounded(li.groupBy("l_returnflag").agg(
-        F.percentile("l_extendedprice", 0.05).alias("q05"), F.percentile("l_extendedprice", 0.95).alias("q95"),
-        F.avg("l_extendedprice").alias("mean")))
+    qs = R.exact_quantiles(li, "l_extendedprice", {"q05": 0.05, "q95": 0.95}, ["l_returnflag"])
+    mean = li.groupBy("l_returnflag").agg(F.avg("l_extendedprice").alias("mean"))
+    return rounded(qs.join(mean, "l_returnflag").select("l_returnflag", "q05", "q95", "mean"))
 
 
 @register("prevalence", f"""WITH {POP_E_SQL}
