@@ -309,13 +309,17 @@ def q_join_left_fill(spark, sf_dir):
     return R.fill_left(c, agg, "c_custkey", {"n_orders": 0, "total_price": 0.0})
 
 
-@register("join_full_outer", """SELECT coalesce(a.k, b.k) AS subject_id, a.n_orders, b.n_events FROM
- (SELECT o_custkey AS k, count(*) AS n_orders FROM orders WHERE o_custkey < 200 GROUP BY o_custkey) a
- FULL OUTER JOIN (SELECT user_id AS k, count(*) AS n_events FROM events GROUP BY user_id) b ON a.k = b.k""")
+@register("join_full_outer", """SELECT coalesce(a.k, b.k) AS subject_id, a.n_pending, b.n_purchases FROM
+ (SELECT o_custkey AS k, count(*) AS n_pending FROM orders WHERE o_orderstatus = 'P' GROUP BY o_custkey) a
+ FULL OUTER JOIN (SELECT user_id AS k, count(*) AS n_purchases FROM events WHERE event_type = 'purchase'
+                  GROUP BY user_id) b ON a.k = b.k""")
 def q_join_full_outer(spark, sf_dir):
-    a = (T(spark, sf_dir, "orders").filter(F.col("o_custkey") < 200)
-         .groupBy(F.col("o_custkey").alias("subject_id")).agg(F.count(F.lit(1)).alias("n_orders")))
-    b = T(spark, sf_dir, "events").groupBy(F.col("user_id").alias("subject_id")).agg(F.count(F.lit(1)).alias("n_events"))
+    """C4: per-source aggregates of one unit joined full outer (units present
+    in either source; absent side null)."""
+    a = (T(spark, sf_dir, "orders").filter(F.col("o_orderstatus") == "P")
+         .groupBy(F.col("o_custkey").alias("subject_id")).agg(F.count(F.lit(1)).alias("n_pending")))
+    b = (T(spark, sf_dir, "events").filter(F.col("event_type") == "purchase")
+         .groupBy(F.col("user_id").alias("subject_id")).agg(F.count(F.lit(1)).alias("n_purchases")))
     return a.join(b, "subject_id", "full")
 
 
@@ -373,12 +377,13 @@ def q_join_dictionary(spark, sf_dir):
 
 @register("join_ontology", """SELECT o.o_custkey AS subject_id, l.l_orderkey AS hadm_id, l.l_shipdate AS starttime,
   'ontology' AS domain, p.p_type AS code, p.p_name AS label, l.l_quantity AS value, l.l_linenumber
-FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey
-WHERE starts_with(p.p_brand, 'Brand#1')""")
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey JOIN part p ON p.p_partkey = l.l_partkey""")
 def q_join_ontology(spark, sf_dir):
+    """Item -> class ontology join (every line gets its part's type as
+    the event code)."""
     lines = X.order_lines(spark, sf_dir)
-    onto = (T(spark, sf_dir, "part").filter(F.col("p_brand").startswith("Brand#1"))
-            .select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("code"), F.col("p_name").alias("label")))
+    onto = T(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("code"),
+                                           F.col("p_name").alias("label"))
     j = R.dictionary_join(lines, onto, "l_partkey", "inner")
     return j.select("subject_id", "hadm_id", F.col("l_shipdate").alias("starttime"), F.lit("ontology").alias("domain"),
                     "code", "label", F.col("l_quantity").alias("value"), "l_linenumber")
