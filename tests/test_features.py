@@ -46,10 +46,13 @@ def test_exact_quantiles_match_percentile(spark, n_parts):
     pdf.loc[1400:, "v"] = None
     df = spark.createDataFrame(pdf)
     probs = {"q0": 0.0, "q05": 0.05, "q50": 0.5, "q95": 0.95, "q1": 1.0}
-    got = exact_quantiles(df, "v", probs, ["g"], n_parts=n_parts).toPandas().set_index("g").sort_index()
+    got = exact_quantiles(df, "v", probs, ["g"], n_parts=n_parts, small_group_limit=0).toPandas() \
+        .set_index("g").sort_index()
+    fast = exact_quantiles(df, "v", probs, ["g"]).toPandas().set_index("g").sort_index()
+    assert np.allclose(fast[list(probs)].to_numpy(), got[list(probs)].to_numpy())
     ref = (df.groupBy("g").agg(*[F.percentile("v", p).alias(k) for k, p in probs.items()])
              .toPandas().set_index("g").sort_index())
     assert np.allclose(got[list(probs)].to_numpy(), ref[list(probs)].to_numpy())
-    g = exact_quantiles(df, "v", probs, [], n_parts=n_parts).toPandas()
+    g = exact_quantiles(df, "v", probs, [], n_parts=n_parts, small_group_limit=0).toPandas()
     r = df.agg(*[F.percentile("v", p).alias(k) for k, p in probs.items()]).toPandas()
     assert np.allclose(g[list(probs)].to_numpy(), r[list(probs)].to_numpy())

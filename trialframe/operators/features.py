@@ -176,15 +176,19 @@ def design_matrix(df: DataFrame, numerical: Sequence[str] = (), binary: Sequence
     ``(median - mean) / std``."""
     out = df
     if numerical:
-        st = column_stats(df, numerical)
-        j = attach_row(df, st)
+        # the statistics are one fixed-size row (3 numbers per column): taken
+        # once and inlined as literals, so the plan below does not carry (and
+        # re-run) the aggregation wherever the matrix is read
+        st = column_stats(df, numerical).first()
         z = {}
         for c in numerical:
-            sd = F.when(F.col(f"{c}__std") == 0, 1.0).otherwise(F.col(f"{c}__std"))
-            zc = (F.col(c) - F.col(f"{c}__mean")) / sd
-            zmed = (F.col(f"{c}__median") - F.col(f"{c}__mean")) / sd
+            mean, std, med = st[f"{c}__mean"], st[f"{c}__std"], st[f"{c}__median"]
+            sd = 1.0 if not std else float(std)
+            mean = 0.0 if mean is None else float(mean)
+            zc = (F.col(c) - F.lit(mean)) / F.lit(sd)
+            zmed = F.lit(None).cast("double") if med is None else F.lit((float(med) - mean) / sd)
             z[c] = F.coalesce(zc, zmed)
-        out = j.withColumns(z).drop(*[f"{c}__{k}" for c in numerical for k in ("mean", "std", "median")])
+        out = df.withColumns(z)
     if binary:
         out = out.fillna({b: 0 for b in binary})
     for col, cats in (categorical or {}).items():

@@ -255,7 +255,7 @@ def fill_left(df: DataFrame, other: DataFrame, on, fill: dict) -> DataFrame:
 # ------------------------------------------------------------ exact quantiles
 
 def exact_quantiles(df: DataFrame, col: str, probs: dict, by: Sequence[str] = (),
-                    n_parts: int | None = None) -> DataFrame:
+                    n_parts: int | None = None, small_group_limit: int = 1_000_000) -> DataFrame:
     """Exact quantiles (linear interpolation, as ``percentile`` /
     ``quantile_cont``) per group, without holding a group in one task.
 
@@ -271,14 +271,23 @@ def exact_quantiles(df: DataFrame, col: str, probs: dict, by: Sequence[str] = ()
     5. the two values are interpolated.
 
     ``probs`` maps output column names to probabilities.  Nulls are ignored.
+
+    Size-checked shortcut: when no group has more than ``small_group_limit``
+    distinct values (one count over the collapsed table), the quantiles are
+    ``percentile(value, p, frequency)`` over the collapsed table directly
+    (the final merge then holds at most that many values per group).
     """
     from trialframe.session import cut_lineage
     by = list(by)
     spark = df.sparkSession
     parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = (df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-           .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    d = cut_lineage(d.repartitionByRange(parts, *by, "_v").withColumn("_pid", F.spark_partition_id()))
+    d0 = cut_lineage(df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+                       .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    biggest = (d0.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0]) if by \
+        else d0.count()
+    if (biggest or 0) <= small_group_limit:
+        return d0.groupBy(*by).agg(*[F.percentile("_v", float(p), F.col("_c")).alias(k) for k, p in probs.items()])
+    d = cut_lineage(d0.repartitionByRange(parts, *by, "_v").withColumn("_pid", F.spark_partition_id()))
     from pyspark.sql.window import Window
     per = d.groupBy(*by, "_pid").agg(F.sum("_c").alias("_pc"))
     wo = Window.partitionBy(*by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

@@ -71,6 +71,9 @@ def analysis_frame(spark: SparkSession, sf_dir: str, aggs: Sequence[str], subset
     else:
         m = units
         num = list(STATICS_NUM)
+    # one row per unit, read by the moments, the exact medians and the
+    # projection: materialised once instead of re-pivoting the events
+    m = cut_lineage(m)
     dm = FE.design_matrix(m, numerical=num, binary=STATICS_BIN,
                           passthrough=["stay_id", "intervention_status", outcome])
     feats = num + STATICS_BIN
