@@ -130,7 +130,8 @@ def crossfit_cell_nuisances(df: DataFrame, strata: Sequence[str], fold: str = "f
     ``e``, ``m1``, ``m0``, ``m`` are cell means over the *other* folds, from
     (stratum, fold) sums minus the unit's own fold.  An empty out-of-fold
     cell falls back to the out-of-fold overall mean.  Everything is sums over
-    a table of size strata x folds; no unit-level window."""
+    a table of size strata x folds; no unit-level window.  The input is read
+    three times: pass a materialised frame when it is expensive."""
     s = list(strata)
     sums = [F.count(F.lit(1)).alias("n"), F.sum(_a(a)).alias("na"),
             F.sum(F.when(F.col(a) == 1, F.col(y).cast("double")).otherwise(0.0)).alias("y1"),

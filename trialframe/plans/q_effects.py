@@ -17,6 +17,7 @@ from trialframe.operators import matching as MT
 from trialframe.plans import fixtures as X
 from trialframe.plans.q_events import _hash_order_sql, patient_matrix_e
 from trialframe.plans.registry import register, rounded
+from trialframe.session import cut_lineage
 
 STRATA = ["s1", "s2"]
 FOLD_SEED = 11
@@ -24,7 +25,10 @@ N_FOLDS = 5
 
 
 def units_d(spark, sf_dir):
-    return X.document_units(spark, sf_dir)
+    """Cohort D units, materialised once: every estimator reads the unit table
+    several times (cell sums, overall means, join-back), which would otherwise
+    re-run the documents x labels join each time."""
+    return cut_lineage(X.document_units(spark, sf_dir))
 
 
 def cells_d(spark, sf_dir):
@@ -32,7 +36,9 @@ def cells_d(spark, sf_dir):
 
 
 def crossfit_d(spark, sf_dir):
-    u = FE.assign_folds(units_d(spark, sf_dir), "unit_id", ["a"], k=N_FOLDS, seed=FOLD_SEED)
+    """Units with folds (materialised: read by the (stratum, fold) sums, the
+    fold totals and the join-back) and their out-of-fold cell nuisances."""
+    u = cut_lineage(FE.assign_folds(units_d(spark, sf_dir), "unit_id", ["a"], k=N_FOLDS, seed=FOLD_SEED))
     return K.crossfit_cell_nuisances(u, STRATA, "fold")
 
 

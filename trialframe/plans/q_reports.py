@@ -43,7 +43,7 @@ UNION ALL
 SELECT 'c_mktsegment', c_mktsegment, arm, count(*), NULL, NULL, NULL, round(100.0 * count(*) / max(tot), 6)
 FROM m JOIN tot USING (arm) GROUP BY c_mktsegment, arm""")
 def q_table_one(spark, sf_dir):
-    m = patient_matrix_e(spark, sf_dir, ["last"])
+    m = cut_lineage(patient_matrix_e(spark, sf_dir, ["last"]))     # read by both variable kinds
     return rounded(RP.table_one(m, "intervention_status", T1_NUM, T1_CAT))
 
 
@@ -71,13 +71,13 @@ UNION ALL SELECT 'c_mktsegment', 'chi_square', round(stat, 6), round(dof, 6) FRO
 
 @register("table_one_tests", TESTS_SQL)
 def q_table_one_tests(spark, sf_dir):
-    m = patient_matrix_e(spark, sf_dir, ["last"])
+    m = cut_lineage(patient_matrix_e(spark, sf_dir, ["last"]))
     return rounded(RP.baseline_tests(m, "intervention_status", T1_NUM, T1_CAT))
 
 
 @register("table_one_pvalues")
 def q_table_one_pvalues(spark, sf_dir):
-    m = patient_matrix_e(spark, sf_dir, ["last"])
+    m = cut_lineage(patient_matrix_e(spark, sf_dir, ["last"]))
     return rounded(RP.with_p_values(RP.baseline_tests(m, "intervention_status", T1_NUM, T1_CAT)))
 
 
