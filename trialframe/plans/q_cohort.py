@@ -203,14 +203,10 @@ steps AS (
 def q_attrition(spark, sf_dir):
     base, sets = e_patient_sets(spark, sf_dir)
     crit = OrderedDict([("initial", base), *sets.items()])
-    flags = C.patient_flags(crit)
-    # bit 0 = initial population: shift the step masks by one
-    names = list(sets)
-    att = C.attrition(flags.withColumn("_mask", F.shiftright("_mask", 1))
-                      .filter((F.col("_mask") >= 0)), names)
-    # patients only in no criterion still belong to the initial set: handled by
-    # the 'initial' member; the shift keeps bit k = criterion k.
-    return att
+    # bit 0 marks the initial population (every patient gets a row); shifting
+    # it out leaves bit k = criterion k for the step masks
+    flags = C.patient_flags(crit).withColumn("_mask", F.shiftright("_mask", 1))
+    return C.attrition(flags, list(sets))
 
 
 @register("excluded_profile", f"""WITH {PATIENT_SETS_SQL},
