@@ -84,8 +84,9 @@ SCORE_SQL = """SELECT s.subject_id, s.hadm_id, s.stay_id, s.intime AS starttime,
 FROM stays s JOIN customer c ON c.c_custkey = s.subject_id"""
 
 
-def _score_events(spark, sf_dir):
-    st = X.stays(spark, sf_dir).select("subject_id", "hadm_id", "stay_id", "intime")
+def _score_events(spark, sf_dir, stays=None):
+    """First-day score events for ``stays`` (default: every stay)."""
+    st = (stays if stays is not None else X.stays(spark, sf_dir)).select("subject_id", "hadm_id", "stay_id", "intime")
     cust = _T(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"), "c_acctbal")
     return EV.first_day_score_events(cust, st, "subject_id", "c_acctbal", "acctbal_score")
 
@@ -159,7 +160,9 @@ def covariate_events_e(spark, sf_dir):
                                        F.col("event_type").alias("code"), F.col("event_type").alias("label"),
                                        "value"), domain="events")
     pop = cohort_e_population(spark, sf_dir)
-    stay_level = R.observation_window(R.union_all([raw, _score_events(spark, sf_dir)]), pop)
+    # only population stays survive the observation window: their scores are
+    # built from the population itself (no second aggregation of the events)
+    stay_level = R.observation_window(R.union_all([raw, _score_events(spark, sf_dir, pop)]), pop)
     adm_level = R.observation_window(_infection_events(spark, sf_dir), pop)
     return R.drop_all_duplicated(R.union_all([stay_level, adm_level]))
 
