@@ -58,11 +58,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     The context's checkpoint directory is registered from that setting once.
     Only when the session has none (tests, local runs) a fresh scratch folder
-    is created; a cluster always names a shared folder.
+    is created; a cluster always names a shared folder.  (With Spark Connect
+    there is no context; the server's setting is used as is.)
     """
-    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:          # Spark Connect: the server owns the checkpoint folder
+        return d or ""
     current = sc.getCheckpointDir()
-    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    d = d or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
         d = current or tempfile.mkdtemp(prefix="trialframe-ckpt-", dir="/tmp")
     if not current:
