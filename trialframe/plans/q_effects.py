@@ -232,6 +232,25 @@ def q_bootstrap_ci(spark, sf_dir):
     return rounded(K.bootstrap_ci(units_d(spark, sf_dir), "unit_id", N_BOOT, BOOT_SEED))
 
 
+@register("bootstrap_aipw_refit", f"""WITH {X.DOC_UNITS_SQL.strip()},
+bw AS (SELECT u.*, b.b, {poisson1_sql(uniform_sql('u.unit_id', str(BOOT_SEED), 'b.b'))} AS w
+       FROM units u CROSS JOIN (SELECT range AS b FROM range({N_BOOT})) b),
+cs AS (SELECT b, s1, s2, CAST(sum(w) AS DOUBLE) AS "W", CAST(sum(w * a) AS DOUBLE) AS sa,
+              CAST(sum(w * a * y) AS DOUBLE) AS say, CAST(sum(w * (1 - a)) AS DOUBLE) AS sc,
+              CAST(sum(w * (1 - a) * y) AS DOUBLE) AS scy
+       FROM bw WHERE w > 0 GROUP BY b, s1, s2),
+g AS (SELECT b, sum("W") AS n, sum(say) / sum(sa) AS g1, sum(scy) / sum(sc) AS g0 FROM cs GROUP BY b),
+j AS (SELECT cs.*, g.n, least(greatest(sa / "W", 0.001), 0.999) AS e,
+             coalesce(CASE WHEN sa > 0 THEN say / sa END, g.g1) AS m1,
+             coalesce(CASE WHEN sc > 0 THEN scy / sc END, g.g0) AS m0 FROM cs JOIN g USING (b)),
+reps AS (SELECT b, sum("W" * (m1 - m0) + (say - m1 * sa) / e - (scy - m0 * sc) / (1 - e)) / max(n) AS stat
+         FROM j GROUP BY b)
+SELECT round(avg(stat), 6) AS boot_mean, round(quantile_cont(stat, 0.025), 6) AS "ATE_lower",
+       round(quantile_cont(stat, 0.975), 6) AS "ATE_upper", count(*) AS n_boot FROM reps""")
+def q_bootstrap_aipw_refit(spark, sf_dir):
+    return rounded(K.bootstrap_aipw_cells(units_d(spark, sf_dir), STRATA, "unit_id", N_BOOT, BOOT_SEED))
+
+
 # ------------------------------------------------------------------ K22
 
 @register("trial_benchmark", f"""SELECT 'reference_trial' AS estimation_method,
