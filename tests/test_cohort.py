@@ -118,3 +118,16 @@ def test_key_precedence_and_no_lower_bound(spark):
                                "hadm_id bigint, starttime timestamp_ntz, code string, value double")
     out = R.observation_window(ev, pop).collect()
     assert [(r.subject_id, r.stay_id, r.value) for r in out] == [(1, 100, 1.0)]
+
+
+def test_flagship_with_extra_criteria_rolls(spark):
+    from trialframe.plans import fixtures as X
+    from trialframe.plans.q_cohort import cohort_e_population
+    sf = "/root/testdata/sf0.001"
+    base = cohort_e_population(spark, sf)
+    sd = X.stay_detail(spark, sf)
+    crit = {"long_stay": sd.filter(F.col("los_icu") >= 4.5).select("stay_id")}
+    rolled = cohort_e_population(spark, sf, extra_criteria=crit)
+    want = base.join(crit["long_stay"], "stay_id", "left_semi")
+    assert sorted(map(tuple, rolled.collect())) == sorted(map(tuple, want.select(*rolled.columns).collect()))
+    assert 0 < rolled.count() < base.count()

@@ -80,7 +80,9 @@ def analysis_frame(spark: SparkSession, sf_dir: str, aggs: Sequence[str], subset
     dm = dm.withColumnRenamed("intervention_status", "a").withColumnRenamed(outcome, "y") \
            .withColumn("y", F.col("y").cast("double"))
     dm = FE.assign_folds(dm, "stay_id", ["a"], k=n_folds, seed=fold_seed)
-    return cut_lineage(NU.assemble(dm, feats)), feats
+    frame = cut_lineage(NU.assemble(dm, feats))
+    FE.check_binary_treatment(frame, "a")        # J10 runtime check (reads <= 3 grouped rows)
+    return frame, feats
 
 
 def estimate(frame: DataFrame, method: str, model: str, n_folds: int = 5, n_boot: int = 20,
