@@ -6,7 +6,6 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-import pandas as pd
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,17 +124,16 @@ def baseline_tests(df: DataFrame, arm: str, numerical: Sequence[str] = (),
 
 def with_p_values(tests: DataFrame) -> DataFrame:
     """Add ``p_value`` to ``baseline_tests`` rows (two-sided t / chi-square
-    upper tail), evaluated by an Arrow-batched pandas UDF over the few
-    aggregated rows."""
-
-    @F.pandas_udf("double")
-    def _p(test: pd.Series, stat: pd.Series, dof: pd.Series) -> pd.Series:
-        from trialframe.functions.stats import chi2_sf, t_two_sided_p
-        out = []
-        for t, s, d in zip(test, stat, dof):
-            s = None if pd.isna(s) else float(s)
-            d = None if pd.isna(d) else float(d)
-            out.append(t_two_sided_p(s, d) if t == "welch_t" else chi2_sf(s, d))
-        return pd.Series(out, dtype="float64")
-
-    return tests.withColumn("p_value", _p("test", "statistic", "dof"))
+    upper tail).  The input has one row per covariate (a bounded table, a few
+    dozen rows at most), so the tail probabilities are evaluated on those rows
+    on the driver; no code has to be shipped to the executors."""
+    from trialframe.functions.stats import chi2_sf, t_two_sided_p
+    rows = tests.collect()
+    out = []
+    for r in rows:
+        stat = None if r["statistic"] is None else float(r["statistic"])
+        dof = None if r["dof"] is None else float(r["dof"])
+        p = t_two_sided_p(stat, dof) if r["test"] == "welch_t" else chi2_sf(stat, dof)
+        out.append((*r, p))
+    schema = tests.schema.add("p_value", "double")
+    return tests.sparkSession.createDataFrame(out, schema)
