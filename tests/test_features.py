@@ -56,3 +56,14 @@ def test_exact_quantiles_match_percentile(spark, n_parts):
     g = exact_quantiles(df, "v", probs, [], n_parts=n_parts, small_group_limit=0).toPandas()
     r = df.agg(*[F.percentile("v", p).alias(k) for k, p in probs.items()]).toPandas()
     assert np.allclose(g[list(probs)].to_numpy(), r[list(probs)].to_numpy())
+
+
+def test_column_stats_paths_agree(spark):
+    rng = np.random.default_rng(2)
+    pdf = pd.DataFrame({"x": rng.normal(size=500), "z": np.r_[rng.normal(size=400), [None] * 100]})
+    df = spark.createDataFrame(pdf)
+    small = FE.column_stats(df, ["x", "z"]).first().asDict()
+    big = FE.column_stats(df, ["x", "z"], small_limit=0).first().asDict()
+    for k in small:
+        assert small[k] == pytest.approx(big[k])
+    assert small["x__median"] == pytest.approx(float(np.median(pdf.x)))

@@ -125,21 +125,25 @@ def normalise_by_weight(df: DataFrame, value_col: str, weight_col: str, default_
                          F.col(value_col) / F.coalesce(F.col(weight_col), F.lit(default_weight)))
 
 
-def column_stats(df: DataFrame, cols: Sequence[str], exact_median: bool = True) -> DataFrame:
+def column_stats(df: DataFrame, cols: Sequence[str], exact_median: bool = True,
+                 small_limit: int = 1_000_000) -> DataFrame:
     """One row: null-skipping mean, population std and median per column.
 
-    Moments are one aggregation.  Exact medians are distributed order
-    statistics over the unpivoted columns (``exact_quantiles``: no task holds
-    a whole column); ``exact_median=False`` uses ``percentile_approx``."""
+    Size-checked: when the frame has at most ``small_limit`` rows (one count),
+    moments and exact medians come from a single aggregation (the median's
+    final merge then holds at most that many values).  Above it the medians
+    are distributed order statistics over the unpivoted columns
+    (``exact_quantiles``: no task holds a whole column).
+    ``exact_median=False`` uses ``percentile_approx``."""
     from trialframe.operators.relational import exact_quantiles
     exprs = []
     for c in cols:
         exprs += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std")]
-        if not exact_median:
-            exprs.append(F.percentile_approx(c, 0.5, 10000).alias(f"{c}__median"))
-    mom = df.groupBy().agg(*exprs)
     if not exact_median:
-        return mom
+        return df.groupBy().agg(*exprs, *[F.percentile_approx(c, 0.5, 10000).alias(f"{c}__median") for c in cols])
+    if df.count() <= small_limit:
+        return df.groupBy().agg(*exprs, *[F.median(c).alias(f"{c}__median") for c in cols])
+    mom = df.groupBy().agg(*exprs)
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "_var", "_x")
     med = exact_quantiles(long, "_x", {"m": 0.5}, ["_var"])
     row = med.groupBy().pivot("_var", list(cols)).agg(F.first("m"))
