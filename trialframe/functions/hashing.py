@@ -29,7 +29,7 @@ def hash_rank_key(*parts) -> Column:
 
 
 def uniform(*parts) -> Column:
-    """U[0,1) from the hash of the parts."""
+    """U[0,1) from the hash of the parts (deterministic sampling, splits, weights)."""
     return hash_rank_key(*parts) / F.lit(TWO_POW_32)
 
 

@@ -25,7 +25,7 @@ def epoch_micros(ts) -> Column:
 
 
 def seconds_between(end, start) -> Column:
-    """``end - start`` in (fractional) seconds, DOUBLE."""
+    """``end - start`` in (fractional) seconds, DOUBLE."""
     return F.timestamp_diff("MICROSECOND", _c(start).cast("timestamp_ntz"),
                             _c(end).cast("timestamp_ntz")) / F.lit(float(MICROS_PER_SECOND))
 
@@ -44,12 +44,12 @@ def days_between(end, start) -> Column:
 
 
 def floor_days_between(end, start) -> Column:
-    """Whole days, floored (a negative 1.5 days is -2, as a timedelta's days)."""
+    """Whole days, floored (a negative 1.5 days is -2, as a timedelta's days)."""
     return F.floor(days_between(end, start)).cast("bigint")
 
 
 def shift(ts, days: float = 0.0, hours: float = 0.0, seconds: float = 0.0) -> Column:
-    """``ts + duration``; the duration is converted to whole microseconds."""
+    """``ts + duration``; the duration is converted to whole microseconds."""
     micros = int(round((days * SECONDS_PER_DAY + hours * 3600 + seconds) * MICROS_PER_SECOND))
     return F.timestamp_add("MICROSECOND", F.lit(micros), _c(ts).cast("timestamp_ntz"))
 
@@ -62,12 +62,13 @@ def shift_by(ts, seconds_col) -> Column:
 
 
 def ceil_to_hour(ts) -> Column:
+    """Round a timestamp up to the hour."""
     t = _c(ts).cast("timestamp_ntz")
     trunc = F.date_trunc("hour", t).cast("timestamp_ntz")
     return F.when(trunc == t, t).otherwise(F.timestamp_add("HOUR", F.lit(1), trunc))
 
 
 def hour_grid(start, end, before_hours: int = 24) -> Column:
-    """Array of hourly timestamps from ``ceil_hour(start) - before_hours`` to ``end``."""
+    """Array of hourly timestamps from ``ceil_hour(start) - before_hours`` to ``end``."""
     first = F.timestamp_add("HOUR", F.lit(-before_hours), ceil_to_hour(start))
     return F.sequence(first, _c(end).cast("timestamp_ntz"), F.expr("INTERVAL 1 HOUR"))
