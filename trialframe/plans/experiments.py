@@ -24,7 +24,6 @@ from trialframe.operators import features as FE
 from trialframe.operators import matching as MT
 from trialframe.operators import nuisance as NU
 from trialframe.operators import relational as R
-from trialframe.plans import fixtures as X
 from trialframe.plans.q_cohort import cohort_e_population
 from trialframe.plans.q_events import units_e
 from trialframe.plans.q_primitives import E_CODES

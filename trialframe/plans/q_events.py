@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trialframe.functions.hashing import uniform_sql
 from trialframe.functions.time import shift
 from trialframe.operators import events as EV
 from trialframe.operators import features as FE

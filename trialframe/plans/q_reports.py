@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from trialframe.operators import cohort as C
 from trialframe.operators import effects as K
 from trialframe.operators import reports as RP
-from trialframe.operators.relational import first_last
 from trialframe.plans import fixtures as X
 from trialframe.plans.q_cohort import WINDOWS
 from trialframe.plans.q_effects import (
