@@ -71,3 +71,20 @@ def span_text(spans: Iterable[tuple[str, int, int]], kinds: tuple[str, ...]) ->
 def one_row_per(df: DataFrame, name: str = "row_id") -> DataFrame:
     """A row key; stable only once the result is written (see ``shared_table``)."""
     return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def outside(spans: Iterable[tuple[int, int]], taken: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Those of ``spans`` (ascending by start) that meet neither ``taken`` nor an earlier one kept."""
+    merged: list[list[int]] = []
+    for s, e in sorted(taken):
+        if merged and s <= merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], e)
+        else:
+            merged.append([s, e])
+    at, done = 0, 0
+    for s, e in spans:
+        while at < len(merged) and merged[at][1] <= s:
+            at += 1
+        if s >= done and (at == len(merged) or merged[at][0] >= e):
+            done = e
+            yield s, e

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from trialframe.llm.op1_sentencepiece import op1_sentencepiece
+from trialframe.llm.op2_pii import op2_pii
 from trialframe.llm.op5_url_filter import op5_sql, op5_url_filter
+from trialframe.llm.op10_secrets import op10_secrets
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op5_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pii, op5_url_filter, op10_secrets)}
 ORACLES = {"op5_url_filter": op5_sql()}
