@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding for merge-type vocabularies.
 
 Encoding keeps an agenda (a heap) of adjacent symbol pairs ordered by piece
-score, then position, and merges the best pair until none is a piece.  As no
-piece holds a word mark after another character, or a line break, a text falls
-apart at those places and each segment is merged on its own; short segments
-are remembered per task.  Every Arrow batch is also encoded and decoded by the
+score, then position, and merges the best pair until none is a piece.  A text
+falls apart where no piece of the vocabulary crosses (see ``cutter``); each
+segment is merged on its own, and short segments are remembered per
+worker process.  Every Arrow batch is also encoded and decoded by the
 sentencepiece library, and a difference raises.
 
 Defined cases: null text counts as empty; an empty text has the end id only
@@ -15,8 +15,12 @@ results; an empty table gives an empty table; other columns are ignored.
 from __future__ import annotations
 
 import heapq
+import math
 import re
+from collections import ChainMap
+from functools import lru_cache
 from itertools import chain
+from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,7 +28,24 @@ from trialframe.llm.common import map_rows, sha_hex, table
 
 MARK = "▁"
 CACHE_CHARS = 48          # segments up to this length are remembered
-CACHE_ENTRIES = 200_000   # then the memory of a task starts anew
+CACHE_ENTRIES = 800_000   # then the memory of a worker starts anew
+SHORT = 48                # segments up to this length keep their agenda as a list
+NO_PIECE = math.inf
+
+
+def cutter(pieces) -> re.Pattern | None:
+    """Pattern of the segments that no piece crosses; None if a piece holds an inner word mark.
+
+    Cuts are before a word mark, around line breaks, and between a letter or
+    digit and a character of ``tail``: no piece holds two such neighbours.
+    """
+    pairs = {(a, b) for p in pieces for a, b in zip(p, p[1:], strict=False)}
+    if any(b == MARK != a or "\n" in (a, b) for a, b in pairs):
+        return None
+    tail = {c for p in pieces for c in p if c.isascii() and not c.isalnum()} - {b for a, b in pairs if a.isalnum()}
+    m = re.escape(MARK)
+    words = f"{m}*[^\\W_]++(?=[{re.escape(''.join(sorted(tail)))}])|" if tail else ""
+    return re.compile(f"{words}{m}+[^{m}\n]*|[^{m}\n]+|\n")
 
 
 class Pieces:
@@ -36,31 +57,55 @@ class Pieces:
         n = self.lib.vocab_size()
         kind = [(self.lib.is_control(i) or self.lib.is_unknown(i), self.lib.is_byte(i)) for i in range(n)]
         names = [self.lib.id_to_piece(i) for i in range(n)]
-        self.names, self.kind = names, kind
         self.ids = {names[i]: i for i in range(n) if not any(kind[i])}
-        self.score = {names[i]: self.lib.get_score(i) for i in self.ids.values()}
+        self.cost = {names[i]: -self.lib.get_score(i) for i in self.ids.values()}
         self.byte_id = {int(names[i][3:5], 16): i for i in range(n) if kind[i][1]}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
+        # What an id shows: nothing for control ids, a character for bytes that are one.
+        self.high = {i for i, b in self.byte_of.items() if b > 127}
+        self.shown = ["" if c else chr(self.byte_of[i]) if b else names[i] for i, (c, b) in enumerate(kind)]
         self.eos = self.lib.eos_id()
-        # Where no piece crosses, a text may be cut.
-        inner = any(MARK in p.lstrip(MARK) for p in self.ids)
-        lines = any("\n" in p and len(p) > 1 for p in self.ids)
-        m = re.escape(MARK)
-        self.cut = None if inner else re.compile(
-            f"{m}+[^{m}]*|[^{m}]+" if lines else f"\n|{m}+[^{m}\n]*|[^{m}\n]+")
+        self.cut = cutter(self.ids)
         self.memory: dict[str, list[int]] = {}
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment by the agenda of adjacent pairs."""
-        sym: list[str] = list(segment)
+        out: list[int] = []
+        for s in self.merge_short(segment) if len(segment) <= SHORT else self.merge_long(segment):
+            i = self.ids.get(s)
+            if i is None:
+                out += [self.byte_id[x] for x in s.encode("utf-8")]
+            else:
+                out.append(i)
+        return out
+
+    def merge_short(self, segment: str) -> list[str]:
+        """The agenda as a list beside the symbols: best score first, then leftmost."""
+        sym, cost = list(segment), self.cost
+        agenda = [cost.get(x, NO_PIECE) for x in map(add, sym, sym[1:])]
+        while agenda:
+            best = min(agenda)
+            if best is NO_PIECE:
+                break
+            i = agenda.index(best)
+            sym[i] += sym.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = cost.get(sym[i - 1] + sym[i], NO_PIECE)
+            if i < len(agenda):
+                agenda[i] = cost.get(sym[i] + sym[i + 1], NO_PIECE)
+        return sym
+
+    def merge_long(self, segment: str) -> list[str]:
+        """The agenda as a heap of (cost, left, right, length) with stale entries skipped."""
+        sym, cost = list(segment), self.cost
         prev, nxt = list(range(-1, len(sym) - 1)), [*range(1, len(sym)), -1]
         agenda: list[tuple[float, int, int, int]] = []
 
         def offer(a: int, b: int) -> None:
             pair = sym[a] + sym[b]
-            score = self.score.get(pair)
-            if score is not None:
-                heapq.heappush(agenda, (-score, a, b, len(pair)))
+            if pair in cost:
+                heapq.heappush(agenda, (cost[pair], a, b, len(pair)))
 
         for a in range(len(sym) - 1):
             offer(a, a + 1)
@@ -75,11 +120,7 @@ class Pieces:
                 offer(a, c)
             if prev[a] >= 0:
                 offer(prev[a], a)
-        out: list[int] = []
-        for s in filter(None, sym):
-            i = self.ids.get(s)
-            out += [i] if i is not None else [self.byte_id[x] for x in s.encode("utf-8")]
-        return out
+        return [x for x in sym if x]
 
     def encode(self, text: str) -> list[int]:
         """Ids with the end id, without a begin id."""
@@ -88,43 +129,41 @@ class Pieces:
         whole = MARK + text.replace(" ", MARK)
         parts = self.cut.findall(whole) if self.cut else [whole]
         memory = self.memory
-        try:
-            out = list(chain.from_iterable(map(memory.__getitem__, parts)))
-        except KeyError:
-            if len(memory) > CACHE_ENTRIES:
-                memory.clear()
-            out = []
-            for p in parts:
-                ids = memory.get(p)
-                if ids is None:
-                    ids = self.merge(p)
-                    if len(p) <= CACHE_CHARS:
-                        memory[p] = ids
-                out += ids
+        if len(memory) > CACHE_ENTRIES:
+            memory.clear()
+        long = {}
+        for p in {*parts}.difference(memory):
+            (memory if len(p) <= CACHE_CHARS else long)[p] = self.merge(p)
+        get = ChainMap(memory, long).__getitem__ if long else memory.__getitem__
+        out = list(chain.from_iterable(map(get, parts)))
         out.append(self.eos)
         return out
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: word marks become spaces (the first is dropped), runs of bytes are UTF-8."""
-        byte_of, names, kind = self.byte_of, self.names, self.kind
-        if byte_of.keys().isdisjoint(ids):
-            text = "".join([names[i] for i in ids if not kind[i][0]])
+        if self.high.isdisjoint(ids):
+            text = "".join([self.shown[i] for i in ids])
         else:
             out, run = [], bytearray()
             for i in ids:
-                if i in byte_of:
-                    run.append(byte_of[i])
+                if i in self.byte_of:
+                    run.append(self.byte_of[i])
                     continue
                 if run:
                     out.append(run.decode("utf-8", "replace"))
                     run.clear()
-                if not kind[i][0]:
-                    out.append(names[i])
+                out.append(self.shown[i])
             out.append(run.decode("utf-8", "replace"))
             text = "".join(out)
         return text.removeprefix(MARK).replace(MARK, " ")
 
 
+@lru_cache(maxsize=2)
+def pieces(model: str) -> Pieces:
+    """The vocabulary with its remembered segments, once per worker process."""
+    return Pieces(model)
+
+
 def default_model() -> str:
     import public_tokenizers
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -135,7 +174,7 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, model: str, *, with_
     """``id_col, n_tokens, ids_sha256, decoded_sha256`` (and ``ids, decoded``) for every row."""
 
     def make():
-        p = Pieces(model)
+        p = pieces(model)
         number = [str(i) for i in range(p.lib.vocab_size())]
 
         def run(rows):
