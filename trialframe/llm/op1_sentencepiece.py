@@ -4,8 +4,8 @@ Encoding keeps an agenda (a heap) of adjacent symbol pairs ordered by piece
 score, then position, and merges the best pair until none is a piece.  A text
 falls apart where no piece of the vocabulary crosses (see ``cutter``); each
 segment is merged on its own, and short segments are remembered per
-worker process.  Every Arrow batch is also encoded and decoded by the
-sentencepiece library, and a difference raises.
+worker process.  In every Arrow batch the segments that were merged, and their
+decoding, are held against the sentencepiece library, and a difference raises.
 
 Defined cases: null text counts as empty; an empty text has the end id only
 and decodes to "".  Any length is processed whole; repeated rows give repeated
@@ -28,9 +28,10 @@ from trialframe.llm.common import map_rows, sha_hex, table
 
 MARK = "▁"
 CACHE_CHARS = 48          # segments up to this length are remembered
-CACHE_ENTRIES = 800_000   # then the memory of a worker starts anew
+CACHE_ENTRIES = 500_000   # then the memory of a worker starts anew
 SHORT = 48                # segments up to this length keep their agenda as a list
 NO_PIECE = math.inf
+LINES = 256               # segments in one text of the check
 
 
 def cutter(pieces) -> re.Pattern | None:
@@ -66,7 +67,9 @@ class Pieces:
         self.shown = ["" if c else chr(self.byte_of[i]) if b else names[i] for i, (c, b) in enumerate(kind)]
         self.eos = self.lib.eos_id()
         self.cut = cutter(self.ids)
-        self.memory: dict[str, list[int]] = {}
+        self.digits = [f" {i}" for i in range(n)]
+        self.memory: dict[str, tuple[list[int], str, str]] = {}
+        self.fresh: list[tuple[str, list[int]]] = []      # segments merged since the last check
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment by the agenda of adjacent pairs."""
@@ -122,40 +125,66 @@ class Pieces:
                 offer(prev[a], a)
         return [x for x in sym if x]
 
-    def encode(self, text: str) -> list[int]:
-        """Ids with the end id, without a begin id."""
-        if not text:
-            return [self.eos]
-        whole = MARK + text.replace(" ", MARK)
-        parts = self.cut.findall(whole) if self.cut else [whole]
+    def segments(self, text: str) -> list[tuple[list[int], str, str]]:
+        """(ids, their digits after a space each, decoded) of the segments of a text, in order."""
+        whole = MARK + text.replace(" ", MARK) if text else ""
+        parts = self.cut.findall(whole) if self.cut else [whole] * bool(text)
         memory = self.memory
         if len(memory) > CACHE_ENTRIES:
             memory.clear()
         long = {}
         for p in {*parts}.difference(memory):
-            (memory if len(p) <= CACHE_CHARS else long)[p] = self.merge(p)
+            ids = self.merge(p)
+            got = ids, "".join([self.digits[i] for i in ids]), self.show(ids).replace(MARK, " ")
+            (memory if len(p) <= CACHE_CHARS else long)[p] = got
+            self.fresh.append((p, ids))
         get = ChainMap(memory, long).__getitem__ if long else memory.__getitem__
-        out = list(chain.from_iterable(map(get, parts)))
-        out.append(self.eos)
-        return out
+        return [get(p) for p in parts]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids: word marks become spaces (the first is dropped), runs of bytes are UTF-8."""
+    def encode(self, text: str) -> list[int]:
+        """Ids with the end id, without a begin id."""
+        return [*chain.from_iterable(x[0] for x in self.segments(text)), self.eos]
+
+    def show(self, ids: list[int]) -> str:
+        """Pieces of ids, runs of bytes as UTF-8."""
         if self.high.isdisjoint(ids):
-            text = "".join([self.shown[i] for i in ids])
-        else:
-            out, run = [], bytearray()
-            for i in ids:
-                if i in self.byte_of:
-                    run.append(self.byte_of[i])
-                    continue
-                if run:
-                    out.append(run.decode("utf-8", "replace"))
-                    run.clear()
-                out.append(self.shown[i])
-            out.append(run.decode("utf-8", "replace"))
-            text = "".join(out)
-        return text.removeprefix(MARK).replace(MARK, " ")
+            return "".join([self.shown[i] for i in ids])
+        out, run = [], bytearray()
+        for i in ids:
+            if i in self.byte_of:
+                run.append(self.byte_of[i])
+                continue
+            if run:
+                out.append(run.decode("utf-8", "replace"))
+                run.clear()
+            out.append(self.shown[i])
+        return "".join([*out, run.decode("utf-8", "replace")])
+
+    def decode(self, ids: list[int]) -> str:
+        """Text of ids: word marks become spaces, and the first is dropped."""
+        return self.show(ids).removeprefix(MARK).replace(MARK, " ")
+
+    def check_fresh(self) -> None:
+        """Hold every segment merged since the last call, and its decoding, against the library.
+
+        The segments are laid out one to a line, so that none meets another.
+        """
+        if self.cut is None:                  # whole texts are the segments
+            whole = [p.removeprefix(MARK).replace(MARK, " ") for p, _ in self.fresh]
+            if self.lib.encode(whole, num_threads=1) != [ids for _, ids in self.fresh]:
+                raise ValueError("texts differ from the sentencepiece library")
+            self.fresh.clear()
+            return
+        line, lone = self.byte_id[10], [x for x in self.fresh if "\n" not in x[0]]
+        texts, want = [], []
+        for lo in range(0, len(lone), LINES):
+            part = lone[lo:lo + LINES]
+            texts.append("".join(["\n" + p for p, _ in part]).replace(MARK, " "))
+            want.append([self.ids[MARK], *chain.from_iterable((line, *ids) for _, ids in part)])
+        if (self.lib.encode(texts, num_threads=1) != want
+                or self.lib.decode(want, num_threads=1) != [self.decode(x) for x in want]):
+            raise ValueError("segments differ from the sentencepiece library")
+        self.fresh.clear()
 
 
 @lru_cache(maxsize=2)
@@ -170,25 +199,33 @@ def default_model() -> str:
 
 
 def encode_texts(df: DataFrame, id_col: str, text_col: str, model: str, *, with_ids: bool = False,
-                 check: bool = True) -> DataFrame:
-    """``id_col, n_tokens, ids_sha256, decoded_sha256`` (and ``ids, decoded``) for every row."""
+                 check: str = "segments") -> DataFrame:
+    """``id_col, n_tokens, ids_sha256, decoded_sha256`` (and ``ids, decoded``) for every row.
+
+    ``check`` says what each batch holds against the library: every segment
+    it had to merge, or its whole texts (``texts``).
+    """
 
     def make():
         p = pieces(model)
-        number = [str(i) for i in range(p.lib.vocab_size())]
+        end = str(p.eos)
 
         def run(rows):
             texts = [t or "" for _, t in rows]
-            ids = [p.encode(t) for t in texts]
-            decoded = [p.decode(x) for x in ids]
-            if check:
+            got = [p.segments(t) for t in texts]
+            ids = [[*chain.from_iterable(x[0] for x in g), p.eos] for g in got] if with_ids or check == "texts" else None
+            # A segment holds whole characters, so decoded segments are the decoded text; the first mark is dropped.
+            decoded = ["".join([x[2] for x in g]).removeprefix(" ") for g in got]
+            if check == "texts":
                 if ids != p.lib.encode(texts, add_eos=True, num_threads=1):
                     raise ValueError("ids differ from the sentencepiece library")
                 if decoded != p.lib.decode(ids, num_threads=1):
                     raise ValueError("decoded text differs from the sentencepiece library")
-            for (key, _), x, d in zip(rows, ids, decoded, strict=True):
-                got = (key, len(x), sha_hex(" ".join([number[i] for i in x])), sha_hex(d))
-                yield (*got, x, d) if with_ids else got
+            p.check_fresh()
+            for at, ((key, _), g, d) in enumerate(zip(rows, got, decoded, strict=True)):
+                digits = "".join([x[1] for x in g])
+                out = (key, digits.count(" ") + 1, sha_hex(f"{digits} {end}"[1:] if digits else end), sha_hex(d))
+                yield (*out, ids[at], d) if with_ids else out
         return run
 
     key = df.schema[id_col].dataType.simpleString()
