@@ -254,13 +254,19 @@ def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> l
     """The bounded sample: ``PER_LABEL`` rows in hash order of each of the ``MAX_LABELS`` most frequent languages."""
     known = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    top = [r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()]
-    # Rows are chosen by id first; only the chosen texts travel.
+    top = {r["lang"]: r["count"] for r in
+           known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()}
+    if not top:
+        return []
+    # Rows are chosen by id first; only the chosen texts travel.  A share by hash that holds about four
+    # times as many rows as are taken keeps a frequent language from being sorted whole.
+    share = F.create_map(*[F.lit(x) for lang, n in top.items() for x in (lang, min(1.0, 4 * PER_LABEL / n))])
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (known.filter(F.col("lang").isin(top)).select("id", "lang")
+    chosen = (known.filter(F.col("lang").isin([*top])).select("id", "lang")
+              .filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
               .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_LABEL))
     ids = [r["id"] for r in chosen.select("id").distinct().collect()]
-    rows = known.filter(F.col("id").isin(ids) & F.col("lang").isin(top)).dropDuplicates(["id", "lang"])
+    rows = known.filter(F.col("id").isin(ids) & F.col("lang").isin([*top])).dropDuplicates(["id", "lang"])
     return sorted(((r["text"], r["lang"]) for r in rows.select("text", "lang").collect()), key=lambda x: (zlib.crc32(
         x[0].encode("utf-8", "surrogatepass")), x))
 
