@@ -2,15 +2,29 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from trialframe.llm.common import ship
 from trialframe.llm.op1_sentencepiece import op1_sentencepiece
 from trialframe.llm.op2_pii import op2_pii
 from trialframe.llm.op3_jaccard import op3_jaccard
+from trialframe.llm.op4_decontaminate import op4_decontaminate
 from trialframe.llm.op5_url_filter import op5_sql, op5_url_filter
 from trialframe.llm.op6_html_text import op6_html_text
 from trialframe.llm.op8_ann import op8_ann
 from trialframe.llm.op9_language import op9_language
 from trialframe.llm.op10_secrets import op10_secrets
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op2_pii, op3_jaccard, op5_url_filter, op6_html_text, op8_ann, op9_language,
-                                  op10_secrets)}
+
+def shipped(query):
+    @wraps(query)
+    def run(spark, sf_dir):
+        ship(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES = {f.__name__: shipped(f) for f in (
+    op1_sentencepiece, op2_pii, op3_jaccard, op4_decontaminate, op5_url_filter, op6_html_text, op8_ann, op9_language,
+    op10_secrets)}
 ORACLES = {"op5_url_filter": op5_sql()}

@@ -1,8 +1,10 @@
-"""Sets of hashed word shingles straight from Arrow text buffers, in numpy.
+"""Hashed words and word shingles straight from Arrow text buffers, in numpy.
 
-Words are runs of bytes other than ASCII white space, with A-Z lower-cased.  A
-shingle is ``k`` words in a row; a text of fewer words is one shingle.  Words
-and shingles are 64-bit hashes.
+Words are runs of bytes other than ASCII white space, with A-Z lower-cased; or,
+with ``plain``, runs of ASCII letters and digits and of bytes beyond ASCII,
+with A-Z and the capitals of Latin-1 lower-cased.  A shingle is ``k`` words in
+a row; a text of fewer words is one shingle.  Words and shingles are 64-bit
+hashes.
 """
 
 from __future__ import annotations
@@ -24,13 +26,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(33))
 
 
-@lru_cache(maxsize=1)
-def byte_tables() -> tuple[np.ndarray, np.ndarray]:
-    """Value of each lower-cased byte, and whether it is white space."""
+@lru_cache(maxsize=2)
+def byte_tables(plain: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Value of each lower-cased byte, and whether it separates words."""
     lower = np.arange(256, dtype=np.uint64)
     lower[65:91] += U(32)
     space = np.zeros(256, bool)
-    space[[32, *range(9, 14)]] = True
+    if plain:
+        space[[i for i in range(128) if not chr(i).isalnum()]] = True
+    else:
+        space[[32, *range(9, 14)]] = True
     return mix((lower + U(1)) * U(BASE)), space
 
 
@@ -44,12 +49,16 @@ def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return run(BASE), run(pow(BASE, -1, 2 ** 64))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, plain: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word, words per text) of texts laid end to end in ``data``."""
     n = len(offsets) - 1
     if not len(data):
         return np.zeros(0, U), np.zeros(n, np.int64)
-    value, space = byte_tables()
+    value, space = byte_tables(plain)
+    if plain:                               # capitals of Latin-1 are C3 80 to C3 9E in UTF-8, but for C3 97
+        data = data.copy()
+        high = np.flatnonzero((data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)) + 1
+        data[high] += 0x20
     ink = ~space[data]
     before = np.empty_like(ink)
     before[0], before[1:] = False, ink[:-1]
