@@ -11,6 +11,7 @@ from trialframe.llm.op3_jaccard import op3_jaccard
 from trialframe.llm.op4_decontaminate import op4_decontaminate
 from trialframe.llm.op5_url_filter import op5_sql, op5_url_filter
 from trialframe.llm.op6_html_text import op6_html_text
+from trialframe.llm.op7_pseudo_likelihood import op7_pseudo_likelihood
 from trialframe.llm.op8_ann import op8_ann
 from trialframe.llm.op9_language import op9_language
 from trialframe.llm.op10_secrets import op10_secrets
@@ -25,6 +26,6 @@ def shipped(query):
 
 
 QUERIES = {f.__name__: shipped(f) for f in (
-    op1_sentencepiece, op2_pii, op3_jaccard, op4_decontaminate, op5_url_filter, op6_html_text, op8_ann, op9_language,
-    op10_secrets)}
+    op1_sentencepiece, op2_pii, op3_jaccard, op4_decontaminate, op5_url_filter, op6_html_text, op7_pseudo_likelihood,
+    op8_ann, op9_language, op10_secrets)}
 ORACLES = {"op5_url_filter": op5_sql()}
