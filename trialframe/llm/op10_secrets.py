@@ -25,10 +25,11 @@ import math
 import re
 from collections import Counter
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import map_rows, one_row_per, outside, sha_hex, shared_table, span_text, table
+from trialframe.llm.common import CHUNK, map_rows, one_row_per, outside, sha_hex, shared_table, span_text, table
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "live")
@@ -80,24 +81,28 @@ def candidates(text: str, base: list) -> list[tuple[int, int, int]]:
     return out
 
 
-def scan(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str) -> DataFrame:
-    """One row per input row: key, owner, repository, base spans and candidates."""
+def scan(df: DataFrame, row_cols: list[str], text_col: str, owner_col: str, repo_col: str,
+         hits_only: bool = False) -> DataFrame:
+    """Per input row its ``row_cols`` as ``row``, owner, repository, base spans and candidates; with ``hits_only``
+    the rows that have one of either."""
 
     def make():
         def run(rows):
-            for row_id, key, text, owner, repo in rows:
+            for row_id, row, text, owner, repo in rows:
                 text = text or ""
                 base = find_base(text)
-                yield (row_id, key, owner, repo, [{"kind": k, "start": s, "end": e} for k, s, e, *_ in base],
-                       [{"hash": h, "start": s, "end": e} for h, s, e in candidates(text, base)])
+                cands = candidates(text, base)
+                if base or cands or not hits_only:
+                    yield (row_id, row, owner, repo, [{"kind": k, "start": s, "end": e} for k, s, e, *_ in base],
+                           [{"hash": h, "start": s, "end": e} for h, s, e in cands])
         return run
 
-    src = df.select(F.col(id_col).alias("key"), F.col(text_col).alias("text"),
+    src = df.select(F.struct(*row_cols).alias("row"), F.col(text_col).alias("text"),
                     F.coalesce(F.col(owner_col).cast("string"), F.lit("")).alias("owner"),
                     F.coalesce(F.col(repo_col).cast("string"), F.lit("")).alias("repo"))
-    src = one_row_per(src).select("row_id", "key", "text", "owner", "repo")
-    key = df.schema[id_col].dataType.simpleString()
-    return map_rows(src, make, f"row_id bigint, key {key}, owner string, repo string, "
+    row = src.schema["row"].dataType.simpleString()
+    src = one_row_per(src).select("row_id", "row", "text", "owner", "repo")
+    return map_rows(src, make, f"row_id bigint, row {row}, owner string, repo string, "
                     "base array<struct<kind:string,start:int,end:int>>, "
                     "cands array<struct<hash:bigint,start:int,end:int>>")
 
@@ -110,26 +115,60 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return per_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def find_secrets(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str,
-                 example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
-    """``id_col, base, live, example`` for every row: base spans, live-looking spans and the spans of
-    widely copied examples, as arrays of (kind, start, end)."""
-    scanned = shared_table(scan(df, id_col, text_col, owner_col, repo_col), "secrets")
-    stats = ownership(scanned)
-    cand = scanned.select("row_id", F.explode("cands").alias("c")).select(
-        "row_id", "c.hash", "c.start", "c.end")
-    judged = (cand.join(stats, "hash")
-              .groupBy("row_id")
-              .agg(F.collect_list(F.when(F.col("n_owners") < example_owners, F.struct(
-                  F.lit("live").alias("kind"), "start", "end"))).alias("live"),
-                   F.collect_list(F.when(F.col("n_owners") >= example_owners, F.struct(
-                       F.lit("example").alias("kind"), "start", "end"))).alias("example")))
+def judge(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+    """``row, base, live, example`` of scanned rows (a written table): base spans, live-looking spans and the spans
+    of widely copied examples, as arrays of (kind, start, end)."""
+    cand = scanned.select("row_id", F.explode("cands").alias("c")).select("row_id", "c.hash", "c.start", "c.end")
+    span = lambda kind: F.struct(F.lit(kind).alias("kind"), "start", "end")
+    shared = F.col("n_owners") >= example_owners
+    judged = (cand.join(ownership(scanned), "hash").groupBy("row_id")
+              .agg(F.collect_list(F.when(~shared, span("live"))).alias("live"),
+                   F.collect_list(F.when(shared, span("example"))).alias("example")))
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return (scanned.filter(F.size("cands") > 0).join(judged, "row_id", "left")
-            .unionByName(scanned.filter(F.size("cands") == 0)
-                         .withColumns({"live": none, "example": none}))
-            .select(F.col("key").alias(id_col), "base",
-                    F.coalesce("live", none).alias("live"), F.coalesce("example", none).alias("example")))
+            .unionByName(scanned.filter(F.size("cands") == 0).withColumns({"live": none, "example": none}))
+            .select("row", "base", F.coalesce("live", none).alias("live"), F.coalesce("example", none).alias("example")))
+
+
+def find_secrets(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str,
+                 example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+    """``id_col, base, live, example`` for every row (see ``judge``)."""
+    scanned = shared_table(scan(df, [id_col], text_col, owner_col, repo_col), "secrets")
+    return judge(scanned, example_owners).select("row.*", "base", "live", "example")
+
+
+def masked(df: DataFrame, text_col: str, owner_col: str, repo_col: str, length_col: str | None = None,
+           example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+    """All rows; in the texts every secret, but for widely copied examples, is replaced by a mark, and
+    ``length_col`` follows the new length."""
+    hits = shared_table(scan(df, df.columns, text_col, owner_col, repo_col, hits_only=True), "secret-rows")
+    names, place = df.columns, df.columns.index(text_col)
+
+    def make():
+        def run(rows):
+            for row, base, live, example in rows:
+                row = dict(zip(names, row.values(), strict=True))
+                shared = {(x["start"], x["end"]) for x in example}
+                spans = [(x["start"], x["end"]) for x in base + live]
+                free = [(s, e) for s, e in spans if not any(s < b and a < e for a, b in shared)]
+                row[text_col] = redact(row[text_col], free)
+                if length_col:
+                    row[length_col] = len(row[text_col])
+                yield tuple(row.values())
+        return run
+
+    def clean(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(lo, CHUNK)
+                yield part.filter(pa.array([not has_secret(t or "") for t in part.column(place).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(clean, df.schema).unionByName(map_rows(judge(hits, example_owners), make, df.schema))
+
+
+def has_secret(text: str) -> bool:
+    base = find_base(text)
+    return bool(base or candidates(text, base))
 
 
 def digest(found: DataFrame, id_col: str) -> DataFrame:

@@ -25,10 +25,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import map_rows, table
+from trialframe.llm.common import CHUNK, map_rows, table
 
 UND = "und"
 PER_LABEL = 500           # training rows of each language
@@ -275,46 +276,55 @@ def held_out(key) -> F.Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
+class Predictor:
+    """Language of texts by a model; the words of a task are scored once."""
+
+    def __init__(self, model: Model | None):
+        self.model, self.number = model, {}
+        self.store = np.zeros((1024, len(model.labels) if model else 1))
+
+    def numbers(self, texts: list[list[str]]) -> dict[str, int]:
+        number = self.number
+        if len(number) > MEMORY:
+            number.clear()
+        new = list({w for x in texts for w in x if w not in number})
+        while len(number) + len(new) > len(self.store):
+            self.store = np.concatenate([self.store, np.zeros_like(self.store)])
+        for lo in range(0, len(new), 20_000):
+            part, at = new[lo:lo + 20_000], len(number)
+            number.update((w, at + i) for i, w in enumerate(part))
+            self.store[at:at + len(part)] = self.model.scores(part)
+        return number
+
+    def predict(self, raw: list[str | None]) -> list[tuple[str, float, int]]:
+        """(language, score, words) of every text."""
+        texts = [words_of(t) if self.model else [] for t in raw]
+        full = [i for i, x in enumerate(texts) if x]
+        out = [(UND, 0.0, 0)] * len(raw)
+        if full:
+            number = self.numbers(texts)
+            size = np.array([len(texts[i]) for i in full])
+            begin = np.cumsum(size) - size
+            first = np.zeros(size.sum(), bool)
+            first[begin] = True
+            e = self.store[np.fromiter((number[w] for i in full for w in texts[i]), np.int64, size.sum())]
+            mean = np.add.reduceat(self.model.probabilities(e, first), begin, axis=0) / size[:, None]
+            for i, m in zip(full, mean, strict=True):
+                top = int(np.argmax(m))
+                out[i] = self.model.labels[top], float(min(1.0, m[top])), len(texts[i])
+        return out
+
+
 def identify(df: DataFrame, id_col: str, text_col: str, model: Model | None) -> DataFrame:
     """``id_col, lang_pred, score, n_words`` for every row."""
-    spark = df.sparkSession
-    shared = spark.sparkContext.broadcast(model)      # 2^BITS x MAX_LABELS weights at most
+    shared = df.sparkSession.sparkContext.broadcast(model)      # 2^BITS x MAX_LABELS weights at most
 
     def make():
-        crf = shared.value
-        number: dict[str, int] = {}
-        store = np.zeros((1024, len(crf.labels) if crf else 1))
+        predictor = Predictor(shared.value)
 
         def run(rows):
-            nonlocal store
-            texts = [words_of(t) if crf else [] for _, t in rows]
-            if len(number) > MEMORY:
-                number.clear()
-            new = list({w for x in texts for w in x if w not in number})
-            if new:
-                while len(number) + len(new) > len(store):
-                    store = np.concatenate([store, np.zeros_like(store)])
-                for lo in range(0, len(new), 20_000):
-                    part = new[lo:lo + 20_000]
-                    at = len(number)
-                    number.update((w, at + i) for i, w in enumerate(part))
-                    store[at:at + len(part)] = crf.scores(part)
-            full = [i for i, x in enumerate(texts) if x]
-            got = {}
-            if full:
-                size = np.array([len(texts[i]) for i in full])
-                begin = np.cumsum(size) - size
-                first = np.zeros(size.sum(), bool)
-                first[begin] = True
-                e = store[np.fromiter((number[w] for i in full for w in texts[i]), np.int64, size.sum())]
-                mean = np.add.reduceat(crf.probabilities(e, first), begin, axis=0) / size[:, None]
-                got = dict(zip(full, mean, strict=True))
-            for i, (key, _) in enumerate(rows):
-                if i in got:
-                    top = int(np.argmax(got[i]))
-                    yield key, crf.labels[top], float(min(1.0, got[i][top])), len(texts[i])
-                else:
-                    yield key, UND, 0.0, 0
+            got = predictor.predict([t for _, t in rows])
+            return [(key, *x) for (key, _), x in zip(rows, got, strict=True)]
         return run
 
     key = df.schema[id_col].dataType.simpleString()
@@ -322,6 +332,22 @@ def identify(df: DataFrame, id_col: str, text_col: str, model: Model | None) ->
                     f"`{id_col}` {key}, lang_pred string, score double, n_words bigint")
 
 
+def recognised(df: DataFrame, text_col: str, model: Model | None, min_score: float) -> DataFrame:
+    """The rows whose text has a language with at least ``min_score``, unchanged."""
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    place = df.columns.index(text_col)
+
+    def run(batches):
+        predictor = Predictor(shared.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(lo, CHUNK)
+                got = predictor.predict(part.column(place).to_pylist())
+                yield part.filter(pa.array([lang != UND and score >= min_score for lang, score, _ in got], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(training_rows(docs, "doc_id", "text", "lang"))
