@@ -169,6 +169,8 @@ class Pieces:
 
         The segments are laid out one to a line, so that none meets another.
         """
+        if not self.fresh:
+            return
         if self.cut is None:                  # whole texts are the segments
             whole = [p.removeprefix(MARK).replace(MARK, " ") for p, _ in self.fresh]
             if self.lib.encode(whole, num_threads=1) != [ids for _, ids in self.fresh]:
@@ -181,8 +183,8 @@ class Pieces:
             part = lone[lo:lo + LINES]
             texts.append("".join(["\n" + p for p, _ in part]).replace(MARK, " "))
             want.append([self.ids[MARK], *chain.from_iterable((line, *ids) for _, ids in part)])
-        if (self.lib.encode(texts, num_threads=1) != want
-                or self.lib.decode(want, num_threads=1) != [self.decode(x) for x in want]):
+        if lone and (self.lib.encode(texts, num_threads=1) != want
+                     or self.lib.decode(want, num_threads=1) != [self.decode(x) for x in want]):
             raise ValueError("segments differ from the sentencepiece library")
         self.fresh.clear()
 
