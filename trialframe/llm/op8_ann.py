@@ -12,9 +12,9 @@ them are used.  Queries and rows meet by (tree, leaf, block); inner products
 of the original vectors in double precision rank them.
 
 Equal vectors are one entry with their ``k + 1`` smallest ids, enough for any
-answer, so a vector that a third of all rows share is no hot group.  The lower
-bound that a query gets from the sample drops pairs that cannot be among its
-``k`` best, no others.
+answer, so a vector that a third of all rows share is no hot group.  A lower
+bound that a query gets from the sample, in all leaves but its first, drops
+pairs that cannot be among its ``k`` best, no others.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite
 components take no part; neither do null ids.  A repeated row (same id and
@@ -204,13 +204,14 @@ def nearest(df: DataFrame, id_col: str, vec_col: str, every: int = 20, k: int =
                 g = f.iloc[lo:lo + 256]
                 q = matrix(g["vec"])
                 s = q @ sample.T.astype(np.float64)
-                # Itself and k + 1 others are in reach: the bound never cuts off an answer.
-                low = np.partition(s, -(k + 2), axis=1)[:, -(k + 2)] if s.shape[1] >= k + 2 else np.full(len(q), -np.inf)
-                rows = [(t, leaf, b, i) for i in range(len(g)) for t, leaf in first_n(forest.walk(q[i]), probes)
-                        for b in range(blocks)]
-                t, leaf, b, i = (np.array(c) for c in zip(*rows, strict=True))
+                # Itself and 3 k others reach the bound.  The first leaf goes without one, so that an answer is
+                # full even where the walk misses most of those.
+                low = np.partition(s, -(3 * k + 1), axis=1)[:, -(3 * k + 1)] if s.shape[1] > 3 * k else np.full(len(q), -np.inf)
+                rows = [(t, leaf, b, i, at) for i in range(len(g))
+                        for at, (t, leaf) in enumerate(first_n(forest.walk(q[i]), probes)) for b in range(blocks)]
+                t, leaf, b, i, at = (np.array(c) for c in zip(*rows, strict=True))
                 yield pd.DataFrame({"tree": t, "leaf": leaf, "block": b, "cid": g["cid"].to_numpy()[i],
-                                    "low": low[i] - 1e-9 * np.abs(low[i]), "vec": g["vec"].to_numpy()[i]})
+                                    "low": np.where(at == 0, -np.inf, low[i] - 1e-9 * np.abs(low[i])), "vec": g["vec"].to_numpy()[i]})
 
     def meet(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
