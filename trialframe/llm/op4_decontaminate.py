@@ -5,12 +5,13 @@ cut into units of at most ``UNIT`` words, texts into passages of ``PASSAGE``
 words every ``STEP``, so that any copied unit lies whole in a passage.  A
 posting's impact is its BM25 weight as a share of the unit's own score, so one
 threshold fits units of all lengths.  Units are numbered by length and grouped
-into blocks; per term and block the largest impact is kept.
+into ``BLOCKS`` blocks; per term and block the largest impact is kept.
 
-Every passage first sums the block maxima of its words, in numpy for all
-passages of a batch; a passage that no block bound lifts over the threshold
-has no hit.  The others are searched by block-max WAND, which returns every
-unit at or above the threshold.  A found item is a hit when the text around
+Every passage first sums the block maxima of its rarer words, in numpy for all
+passages of a batch, and gets a block's whole share of common words; a passage
+that no such bound lifts over the threshold has no hit.  The others are
+searched by block-max WAND, which returns every unit at or above the
+threshold.  A found item is a hit when the text around
 the passage holds enough of the word 4-grams of its question, and of those that reach into its
 answer.
 
@@ -46,7 +47,8 @@ K1, B = 1.2, 0.75
 THRESHOLD = 0.5           # share of a unit's own score
 OVERLAP = 0.5             # share of 4-grams of question, and of answer
 GRAM = 4
-BLOCK = 8                 # units of a block
+BLOCKS = 256              # blocks of an index
+COMMON = 0.05             # share of units beyond which a term counts as common in the first bound
 GROUP = 4000              # units of an index
 SENTENCE = re.compile(r"[.!?\n][\"')\]]*\s+")
 
@@ -127,16 +129,35 @@ class Index:
         order_t = np.argsort(terms)
         self.terms = terms[order_t]
         self.lists = [lists[int(t)] for t in self.terms.view(np.int64)]
-        self.blocks = -(-max(1, len(order)) // BLOCK)
-        # One more row, of zeros, for words that are no term.
-        self.block_max = np.zeros((len(self.terms) + 1, self.blocks), np.float32)
-        for t, post in enumerate(self.lists):
+        self.block = max(1, -(-len(order) // BLOCKS))
+        self.blocks = -(-max(1, len(order)) // self.block)
+        self.block_max: list[dict[int, float]] = []
+        for post in self.lists:
+            top: dict[int, float] = {}
             for i, w in post:
-                self.block_max[t, i // BLOCK] = max(self.block_max[t, i // BLOCK], w)
-        # A bounded number of columns for the first bound: each the largest of several blocks.
-        cut = np.linspace(0, self.blocks, min(64, self.blocks) + 1).astype(int)[:-1]
-        self.coarse = np.maximum.reduceat(self.block_max, cut, axis=1)
-        self.list_max = self.block_max.max(1)
+                top[i // self.block] = max(top.get(i // self.block, 0.0), w)
+            self.block_max.append(top)
+        self.list_max = np.array([max(x.values()) for x in self.block_max])
+        # Terms of many units bring little: a passage gets their whole share of a unit at once.  The others'
+        # block maxima are laid end to end for the first bound; words that are no term have none.
+        often = [len(x) > max(4, COMMON * len(order)) for x in self.lists]
+        rest = np.zeros(max(1, len(order)))
+        for post, common in zip(self.lists, often, strict=True):
+            for i, w in post:
+                rest[i] += w * common
+        self.rest = np.maximum.reduceat(rest, np.arange(0, len(rest), self.block))
+        rare = [{} if common else x for x, common in zip(self.block_max, often, strict=True)]
+        self.size = np.array([len(x) for x in rare] + [0])
+        self.begin = np.cumsum(self.size) - self.size
+        self.at = np.array([b for x in rare for b in x], np.int64)
+        self.gain = np.array([w for x in rare for w in x.values()])
+
+    def bounds(self, number: np.ndarray, step: np.ndarray, steps: int) -> np.ndarray:
+        """(steps, blocks) sums of the block maxima of the rarer terms by step."""
+        size = self.size[number]
+        entry = np.repeat(self.begin[number] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        cell = np.repeat(step, size) * self.blocks + self.at[entry]
+        return np.bincount(cell, self.gain[entry], steps * self.blocks).reshape(steps, self.blocks)
 
     def numbers(self, w: np.ndarray) -> np.ndarray:
         """Term number of every word; the number of terms for other words."""
@@ -164,10 +185,10 @@ class Index:
             unit = lists[pivot][0][lists[pivot][1]][0]
             while pivot + 1 < len(lists) and lists[pivot + 1][0][lists[pivot + 1][1]][0] == unit:
                 pivot += 1
-            block = unit // BLOCK
-            if sum(float(self.block_max[x[3], block]) for x in lists[:pivot + 1]) < threshold - slack:
+            block = unit // self.block
+            if sum(self.block_max[x[3]].get(block, 0.0) for x in lists[:pivot + 1]) < threshold - slack:
                 # No unit of this block before the next list begins can reach the threshold.
-                nxt = min((block + 1) * BLOCK, lists[pivot + 1][0][lists[pivot + 1][1]][0] if pivot + 1 < len(lists) else end)
+                nxt = min((block + 1) * self.block, lists[pivot + 1][0][lists[pivot + 1][1]][0] if pivot + 1 < len(lists) else end)
                 _advance(lists[:pivot + 1], nxt)
             elif lists[0][0][lists[0][1]][0] == unit:
                 score = sum(x[0][x[1]][1] for x in lists[:pivot + 1])
@@ -209,61 +230,83 @@ def text_hits(w: np.ndarray, bounds: np.ndarray, number: np.ndarray, index: Inde
     return [best[r] for r in sorted(best)]
 
 
-def find_leaks(df: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text: str,
-               threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
-    """``id_col, item_id, passage, score, question_overlap, answer_overlap``, a row per text row and item found."""
-    spark = df.sparkSession
+def indexes(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[Index]:
+    """The benchmark's indexes, one of each group of units; the next is built when it is asked for."""
     post = shared_table(units(benchmark, item_col, item_text), "postings")
     sums = post.select("item_row", "unit", "size").distinct().agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
-    kind = {"id": df.schema[id_col].dataType.simpleString(), "item": benchmark.schema[item_col].dataType.simpleString()}
-    schema = T._parse_datatype_string(f"`{id_col}` {kind['id']}, item_id {kind['item']}, passage int, score double, "
-                                      "question_overlap double, answer_overlap double")
-    if not sums["n"]:
-        return spark.createDataFrame([], schema)
     groups = -(-sums["n"] // GROUP)
     df_count = post.groupBy("term").agg(F.count("*").alias("df"))
-    post = post.join(df_count, "term").withColumn("group", F.pmod(F.xxhash64("item_row"), F.lit(groups)))
-    found = None
+    post = post.join(df_count, "term").withColumn("group", F.pmod(F.xxhash64("item_row"), F.lit(max(1, groups))))
     for g in range(groups):
-        index = spark.sparkContext.broadcast(Index(post.filter(F.col("group") == g).collect(), sums["n"], sums["mean"]))
-        hits = df.select(id_col, text_col).mapInArrow(_search(index, threshold, overlap, schema), schema)
-        found = hits if found is None else found.unionByName(hits)
+        yield Index(post.filter(F.col("group") == g).collect(), sums["n"], sums["mean"])
+
+
+def batch_hits(index: Index, column: pa.Array, threshold: float, overlap: float) -> Iterator[tuple[int, list[tuple]]]:
+    """(row, hits) of the rows of a text column that hold an item."""
+    for lo, _, data, offsets in S.text_pieces(column):
+        w, count = S.words(data, offsets, plain=True)
+        if not len(w):
+            continue
+        number = index.numbers(w)
+        begin = np.cumsum(count) - count
+        # Bounds of steps, then of the two steps of a passage.
+        steps = -(-count // STEP)
+        first = np.cumsum(steps) - steps
+        inner = np.arange(steps.sum()) - np.repeat(first, steps)
+        place = np.arange(len(w)) - np.repeat(begin, count)
+        part = index.bounds(number, np.repeat(first, count) + place // STEP, len(inner))
+        bound = part + index.rest
+        more = inner + 1 < np.repeat(steps, steps)
+        bound[:-1][more[:-1]] += part[1:][more[:-1]]
+        bound = bound.max(1)
+        owner = np.repeat(np.arange(len(count)), steps)
+        for i in np.unique(owner[bound >= threshold - 1e-4]):
+            b, n = begin[i], count[i]
+            hits = text_hits(w[b:b + n], bound[first[i]:first[i] + steps[i]], number[b:b + n], index, threshold, overlap)
+            if hits:
+                yield lo + int(i), hits
+
+
+def find_leaks(df: DataFrame, id_col: str, text_col: str, benchmark: DataFrame, item_col: str, item_text: str,
+               threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """``id_col, item_id, passage, score, question_overlap, answer_overlap``, a row per text row and item found."""
+    spark = df.sparkSession
+    key, item = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    schema = T._parse_datatype_string(f"`{id_col}` {key}, item_id {item}, passage int, score double, "
+                                      "question_overlap double, answer_overlap double")
+    found = spark.createDataFrame([], schema)
+    for index in indexes(benchmark, item_col, item_text):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches, shared=shared):
+            from pyspark.sql.pandas.types import to_arrow_schema
+            out = to_arrow_schema(schema)
+            for batch in batches:
+                rows = [(batch.column(0)[i].as_py(), *hit)
+                        for i, hits in batch_hits(shared.value, batch.column(1), threshold, overlap) for hit in hits]
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
+
+        found = found.unionByName(df.select(id_col, text_col).mapInArrow(run, schema))
     return found
 
 
-def _search(shared, threshold: float, overlap: float, schema: T.StructType):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-        out = to_arrow_schema(schema)
-        index: Index = shared.value
-        for batch in batches:
-            keys, rows = batch.column(0), []
-            for lo, _, data, offsets in S.text_pieces(batch.column(1)):
-                w, count = S.words(data, offsets, plain=True)
-                number = index.numbers(w)
-                begin = np.cumsum(count) - count
-                # Sums of block maxima over steps, then over the two steps of a passage.
-                steps = -(-count // STEP)
-                first = np.cumsum(steps) - steps
-                if not len(w):
-                    continue
-                inner = np.arange(steps.sum()) - np.repeat(first, steps)
-                at = np.repeat(begin, steps) + inner * STEP
-                gain = index.coarse[number]
-                part = np.add.reduceat(gain, at, axis=0)
-                bound = part.copy()
-                more = inner + 1 < np.repeat(steps, steps)
-                bound[:-1][more[:-1]] += part[1:][more[:-1]]
-                bound = bound.max(1)
-                owner = np.repeat(np.arange(len(count)), steps)
-                for i in np.unique(owner[bound >= threshold - 1e-4]):
-                    b, n = begin[i], count[i]
-                    rows += [(keys[lo + int(i)].as_py(), *hit) for hit in text_hits(
-                        w[b:b + n], bound[first[i]:first[i] + steps[i]], number[b:b + n], index, threshold, overlap)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)],
-                                                 schema=out)
-    return run
+def without_leaks(df: DataFrame, text_col: str, benchmark: DataFrame, item_col: str, item_text: str,
+                  threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
+    """The rows whose text holds no item, unchanged."""
+    place = df.columns.index(text_col)
+    for index in indexes(benchmark, item_col, item_text):
+        shared = df.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches, shared=shared):
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[i for i, _ in batch_hits(shared.value, batch.column(place), threshold, overlap)]] = False
+                yield batch.filter(pa.array(clean))
+
+        df = df.mapInArrow(run, df.schema)
+    return df
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
