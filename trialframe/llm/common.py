@@ -16,12 +16,17 @@ from pyspark.sql import types as T
 
 from trialframe.session import checkpoint_dir
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 CHUNK = 256      # rows a Python worker holds at a time inside an Arrow batch
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    """Send this package to the executors, once per application, so that their Python workers can import it,
+    and bound the rows of an Arrow batch where the session does not."""
     sc = spark.sparkContext
+    if spark.conf.get(ARROW_ROWS, None) is None:
+        spark.conf.set(ARROW_ROWS, "2000")          # whole texts: memory goes by rows times length
     if getattr(sc, "_trialframe_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent
@@ -41,11 +46,21 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the folder all executors share and read it back.
 
     The folder is the session's ``spark.checkpoint.dir``.  The table cuts the
-    lineage: a lost executor costs a re-read, not a recomputation.
+    lineage: a lost executor costs a re-read, not a recomputation.  Nothing
+    reads the shuffle files of the job again, so Spark may remove them.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(SHUFFLE_CLEANUP, None)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(SHUFFLE_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterable[tuple]]],
