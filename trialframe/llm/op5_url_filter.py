@@ -117,8 +117,8 @@ def op5_sql() -> str:
         for r in sorted(RULES, key=len, reverse=True) for h, _, p in [r.partition("/")])
     verdicts = " ".join(f"WHEN '{r}' THEN '{v}'" for r, v in RULES.items())
     return f"""
-WITH a AS (SELECT page_id, {low} AS low, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS at FROM pages),
-b AS (SELECT page_id, low, CASE WHEN at = 0 THEN '' ELSE substr(url, at + 3) END AS rest FROM a),
+WITH a AS (SELECT page_id, {low} AS low, coalesce(url, '') AS url, instr(coalesce(url, ''), '://') AS pos FROM pages),
+b AS (SELECT page_id, low, CASE WHEN pos = 0 THEN '' ELSE substr(url, pos + 3) END AS rest FROM a),
 c AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{UPPER.lower()}') AS host,
       regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM b),
 d AS (SELECT page_id, host, path, CASE {fits} END AS rule,
