@@ -31,14 +31,16 @@ def test_memoise_reuses_materialised_table(spark):
     root = _folder(spark, "memo")
     df = spark.range(10)
     a = IO.memoise(spark, df, "t", {"k": 1}, root=root)
-    b = IO.memoise(spark, spark.range(3), "t", {"k": 1}, root=root)     # same config: read back
-    c = IO.memoise(spark, spark.range(3), "t", {"k": 2}, root=root)
-    assert a.count() == 10 and b.count() == 10 and c.count() == 3
+    b = IO.memoise(spark, df, "t", {"k": 1}, root=root)                 # same config and input: read back
+    c = IO.memoise(spark, spark.range(3), "t", {"k": 1}, root=root)     # another input
+    d = IO.memoise(spark, df, "t", {"k": 2}, root=root)
+    assert a.count() == 10 and b.inputFiles() == a.inputFiles() and c.count() == 3
+    assert d.inputFiles() != a.inputFiles()
 
 
 def test_cohort_folder_name_and_config_table(spark):
-    cfg = {"cohort_name": "albumin", "treatment_observation_window_unit_day": 0.25, "min_age": 18}
-    assert IO.cohort_folder_name(cfg) == "albumin__obs_0f25d"
+    cfg = {"cohort_name": "study", "treatment_observation_window_unit_day": 0.25, "min_age": 18}
+    assert IO.cohort_folder_name(cfg) == "study__obs_0f25d"
     t = {r.config: r.value for r in IO.config_table(spark, cfg).collect()}
     assert t["min_age"] == "18"
 

@@ -166,17 +166,15 @@ def dml_ate(df: DataFrame, a: str = "a", y: str = "y", e: str = "e", m: str = "m
     ``sum(a~ y~) / sum(a~^2)``, ``a~ = a - e``, ``y~ = y - m`` (no clipping),
     with the heteroscedasticity-robust standard error."""
     r = df.select((_a(a) - F.col(e)).alias("_ar"), (F.col(y) - F.col(m)).alias("_yr"))
-    t = r.groupBy().agg(F.sum(F.col("_ar") * F.col("_yr")).alias("_sxy"), F.sum(F.col("_ar") ** 2).alias("_sxx"),
-                        F.count(F.lit(1)).alias("_n"))
-    theta = F.try_divide(F.col("_sxy"), F.col("_sxx"))
-    # sandwich variance: sum(a~^2 (y~ - theta a~)^2) / sum(a~^2)^2
-    from trialframe.operators.features import attach_row
-    with_t = attach_row(r, t.select(theta.alias("ATE"), "_sxx"))
-    v = with_t.groupBy("ATE", "_sxx").agg(
-        F.sum((F.col("_ar") ** 2) * (F.col("_yr") - F.col("ATE") * F.col("_ar")) ** 2).alias("_meat"))
-    se = F.try_divide(F.sqrt(F.col("_meat")), F.col("_sxx"))
-    return v.select("ATE", se.alias("se"), (F.col("ATE") - 1.96 * se).alias("ATE_lower"),
-                    (F.col("ATE") + 1.96 * se).alias("ATE_upper"))
+    ar, yr = F.col("_ar"), F.col("_yr")
+    # One pass: the sandwich's sum(a~^2 (y~ - theta a~)^2) opens into sums that do not need theta.
+    t = r.groupBy().agg(F.sum(ar * yr).alias("xy"), F.sum(ar * ar).alias("xx"), F.sum(ar * ar * yr * yr).alias("xxyy"),
+                        F.sum(ar * ar * ar * yr).alias("xxxy"), F.sum(ar * ar * ar * ar).alias("xxxx"))
+    theta = F.try_divide(F.col("xy"), F.col("xx"))
+    meat = F.col("xxyy") - 2 * theta * F.col("xxxy") + theta * theta * F.col("xxxx")
+    se = F.try_divide(F.sqrt(F.greatest(meat, F.lit(0.0))), F.col("xx"))
+    return t.select(theta.alias("ATE"), se.alias("se"), (theta - 1.96 * se).alias("ATE_lower"),
+                    (theta + 1.96 * se).alias("ATE_upper"))
 
 
 def gram_sums(df: DataFrame, z_cols: Sequence[str], target: str) -> DataFrame:

@@ -18,9 +18,9 @@ from pyspark.sql.window import Window
 from trialframe.functions.hashing import hash_rank_key
 from trialframe.operators.relational import pivot_codes
 
-PERIOD_MAP = {"all": [100, 10, 25, 50, -10, -25, -50], "100": [100]}
-DEFAULT_PERIOD_AGGS = ("min", "max", "mean", "std", "count")
-_PERIOD_FUNCS = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "count": F.count}
+# The named sets of percentages.
+PERIOD_SETS = {"all": [100, 10, 25, 50, -10, -25, -50], "100": [100]}
+SUMMARY = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_samp, "count": F.count}
 
 
 def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
@@ -72,48 +72,42 @@ def typed_aggregation(events: DataFrame, unit_key: str, rules: Mapping[str, Sequ
 # ------------------------------------------------------------------ J3
 
 def relative_period_aggregation(events: DataFrame, periods: str | Sequence[int] = "100",
-                                aggs: Sequence[str] = DEFAULT_PERIOD_AGGS,
-                                unit_key: str = "subject_id", vocabulary: Sequence[str] | None = None,
-                                time_col: str = "starttime", eps: float = 1e-6) -> DataFrame:
-    """Per unit, the first and last event bound the trajectory; for each
-    signed percentage ``p`` the first ``p``% (or last ``|p|``%) of it is
-    aggregated per code with min/max/mean/std/count; columns
-    ``{agg}_code_{code}__p{p}``.  All periods are evaluated in one pass: each event
-    is exploded to the periods it belongs to (a bounded literal list), then one
-    pivot.  ``vocabulary`` forces the columns to exist."""
-    plist = PERIOD_MAP[periods] if isinstance(periods, str) else list(periods)
-    for p in plist:
-        if p <= -100 or p > 100:
-            raise ValueError(f"period is a percentage in ]-100, 100], got {p}")
-    ev = events if vocabulary is None else events.filter(F.col("code").isin(list(vocabulary)))
-    bounds = ev.groupBy(unit_key).agg(F.min(time_col).alias("_obs_start"), F.max(time_col).alias("_obs_end"))
-    j = ev.join(bounds, unit_key)
-    # whole seconds, truncated toward zero, as a duration's total seconds
-    delta = F.timestamp_diff("SECOND", F.col("_obs_start"), F.col("_obs_end"))
-    since = F.timestamp_diff("SECOND", F.col("_obs_start"), F.col(time_col))
-    to_end = F.timestamp_diff("SECOND", F.col("_obs_end"), F.col(time_col))
-    pers = F.array(*[F.lit(p) for p in plist])
-    j = j.select("*", delta.alias("_delta"), since.alias("_since"), to_end.alias("_to_end"),
-                 F.explode(pers).alias("_p"))
-    span = (F.col("_delta") * F.col("_p") / 100.0).cast("bigint")
-    keep = F.when(F.col("_p") >= 0,
-                  (F.col("_since") >= -eps) & (F.col("_since") <= span + eps)) \
-            .otherwise((F.col("_since") >= (F.col("_delta") + span) - eps)
-                       & (F.col("_to_end") <= eps + F.col("_delta")))
-    sel = j.filter(keep)
-    codes = list(vocabulary) if vocabulary is not None else None
-    pivot_vals = [f"{c}__p{p}" for c in codes for p in plist] if codes is not None else None
-    sel = sel.withColumn("_cp", F.concat(F.col("code"), F.lit("__p"), F.col("_p").cast("string")))
-    gb = sel.groupBy(unit_key)
-    gb = gb.pivot("_cp", pivot_vals) if pivot_vals is not None else gb.pivot("_cp")
-    out = gb.agg(*[_PERIOD_FUNCS[a]("value").alias(a) for a in aggs])
-    cols = [c for c in out.columns if c != unit_key]
-    ren = []
-    for c in cols:
-        cp, agg = c.rsplit("_", 1)
-        code, p = cp.rsplit("__p", 1)
-        ren.append(F.col(f"`{c}`").alias(f"{agg}_code_{code}__p{p}"))
-    return out.select(unit_key, *ren)
+                                aggs: Sequence[str] = tuple(SUMMARY), unit_key: str = "subject_id",
+                                vocabulary: Sequence[str] | None = None, time_col: str = "starttime") -> DataFrame:
+    """Summaries of the first (p > 0) or last (p < 0) ``|p|`` percent of
+    each unit's trajectory, per code; columns ``{agg}_code_{code}__p{p}``.
+
+    A trajectory runs from a unit's first to its last event.  An event at t
+    lies in the first p % when ``100 (t - start) <= p (end - start)``, and in
+    the last p % when ``100 (end - t) <= p (end - start)``, in whole seconds.
+    The events are written once; their bounds are one aggregation and the
+    result another, with one conditional aggregate per (code, period).
+    ``vocabulary`` gives the codes; without it they are the distinct codes.
+    """
+    from trialframe.session import cut_lineage
+    percents = PERIOD_SETS[periods] if isinstance(periods, str) else list(periods)
+    outside = [p for p in percents if not -100 < p <= 100]
+    if outside:
+        raise ValueError(f"percentages must lie above -100 and at most at 100: {outside}")
+    ev = events.select(unit_key, F.col(time_col).alias("_t"), "code", "value")
+    ev = cut_lineage(ev if vocabulary is None else ev.filter(F.col("code").isin(list(vocabulary))))
+    codes = list(vocabulary) if vocabulary is not None else sorted(r["code"] for r in ev.select("code").distinct().collect())
+    bounds = ev.groupBy(unit_key).agg(F.min("_t").alias("_start"), F.max("_t").alias("_end"))
+    seconds = lambda a, b: F.timestamp_diff("SECOND", F.col(a), F.col(b))  # noqa: E731  (whole seconds, as a duration's)
+    j = ev.join(bounds, unit_key).select(unit_key, "code", "value", seconds("_start", "_t").alias("_since"),
+                                         seconds("_start", "_end").alias("_span"))
+    inside = {p: (F.col("_since") if p > 0 else F.col("_span") - F.col("_since")) * 100 <= abs(p) * F.col("_span")
+              for p in percents}
+    out = []
+    for code in codes:
+        for p in percents:
+            here = (F.col("code") == code) & inside[p]
+            value = F.when(here, F.col("value"))
+            for a in aggs:
+                x = SUMMARY[a](value)
+                # No event in the period: unknown, not 0.
+                out.append((F.when(F.max(here), x) if a == "count" else x).alias(f"{a}_code_{code}__p{p}"))
+    return j.groupBy(unit_key).agg(*out)
 
 
 # ------------------------------------------------------------------ J5-J8
@@ -125,25 +119,22 @@ def normalise_by_weight(df: DataFrame, value_col: str, weight_col: str, default_
                          F.col(value_col) / F.coalesce(F.col(weight_col), F.lit(default_weight)))
 
 
-def column_stats(df: DataFrame, cols: Sequence[str], exact_median: bool = True,
-                 small_limit: int = 1_000_000) -> DataFrame:
-    """One row: null-skipping mean, population std and median per column.
+def column_stats(df: DataFrame, cols: Sequence[str], medians: str | None = "exact") -> DataFrame:
+    """One row: null-skipping mean, population std and (unless ``medians`` is
+    None) median per column.
 
-    Size-checked: when the frame has at most ``small_limit`` rows (one count),
-    moments and exact medians come from a single aggregation (the median's
-    final merge then holds at most that many values).  Above it the medians
-    are distributed order statistics over the unpivoted columns
-    (``exact_quantiles``: no task holds a whole column).
-    ``exact_median=False`` uses ``percentile_approx``."""
+    Moments are one aggregation.  Exact medians are distributed order
+    statistics over the unpivoted columns (``exact_quantiles``: no task holds a
+    whole column); ``medians="approx"`` uses ``percentile_approx``."""
     from trialframe.operators.relational import exact_quantiles
     exprs = []
     for c in cols:
         exprs += [F.avg(c).alias(f"{c}__mean"), F.stddev_pop(c).alias(f"{c}__std")]
-    if not exact_median:
-        return df.groupBy().agg(*exprs, *[F.percentile_approx(c, 0.5, 10000).alias(f"{c}__median") for c in cols])
-    if df.count() <= small_limit:
-        return df.groupBy().agg(*exprs, *[F.median(c).alias(f"{c}__median") for c in cols])
+    if medians == "approx":
+        exprs += [F.percentile_approx(c, 0.5, 10000).alias(f"{c}__median") for c in cols]
     mom = df.groupBy().agg(*exprs)
+    if medians != "exact":
+        return mom
     long = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).unpivot([], list(cols), "_var", "_x")
     med = exact_quantiles(long, "_x", {"m": 0.5}, ["_var"])
     row = med.groupBy().pivot("_var", list(cols)).agg(F.first("m"))
@@ -154,7 +145,7 @@ def column_stats(df: DataFrame, cols: Sequence[str], exact_median: bool = True,
 def standardise(df: DataFrame, cols: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
     """``(x - mean) / std_pop`` with null-skipping statistics (a zero std
     leaves ``x - mean``, as a scaler does)."""
-    st = stats if stats is not None else column_stats(df, cols)
+    st = stats if stats is not None else column_stats(df, cols, medians=None)
     j = attach_row(df, st.select(*[f"{c}__mean" for c in cols], *[f"{c}__std" for c in cols]))
     out = j.withColumns({c: (F.col(c) - F.col(f"{c}__mean")) /
                          F.when(F.col(f"{c}__std") == 0, 1.0).otherwise(F.col(f"{c}__std")) for c in cols})

@@ -57,6 +57,14 @@ def top1_per_group(df: DataFrame, by, order) -> DataFrame:
 
 # ------------------------------------------------------------ range buckets
 
+BUCKET_ROWS = 20_000      # rows a bucket of an ordered computation is meant to hold
+
+
+def bucket_count(df: DataFrame) -> int:
+    """Buckets for a materialised table, in proportion to its rows."""
+    return 1 + df.count() // BUCKET_ROWS
+
+
 def quantile_buckets(df: DataFrame, col: str, n_buckets: int, out: str = "_bucket",
                      rel_err: float = 1e-4) -> DataFrame:
     """Cut ``col`` into about ``n_buckets`` ranges holding equal row counts
@@ -255,7 +263,7 @@ def fill_left(df: DataFrame, other: DataFrame, on, fill: dict) -> DataFrame:
 # ------------------------------------------------------------ exact quantiles
 
 def exact_quantiles(df: DataFrame, col: str, probs: dict, by: Sequence[str] = (),
-                    n_parts: int | None = None, small_group_limit: int = 1_000_000) -> DataFrame:
+                    n_parts: int | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation, as ``percentile`` /
     ``quantile_cont``) per group, without holding a group in one task.
 
@@ -271,22 +279,13 @@ def exact_quantiles(df: DataFrame, col: str, probs: dict, by: Sequence[str] = ()
     5. the two values are interpolated.
 
     ``probs`` maps output column names to probabilities.  Nulls are ignored.
-
-    Size-checked shortcut: when no group has more than ``small_group_limit``
-    distinct values (one count over the collapsed table), the quantiles are
-    ``percentile(value, p, frequency)`` over the collapsed table directly
-    (the final merge then holds at most that many values per group).
     """
     from trialframe.session import cut_lineage
     by = list(by)
     spark = df.sparkSession
     parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d0 = cut_lineage(df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-                       .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
-    biggest = (d0.groupBy(*by).agg(F.count(F.lit(1)).alias("_k")).agg(F.max("_k")).first()[0]) if by \
-        else d0.count()
-    if (biggest or 0) <= small_group_limit:
-        return d0.groupBy(*by).agg(*[F.percentile("_v", float(p), F.col("_c")).alias(k) for k, p in probs.items()])
+    d0 = (df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+          .groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c")))
     d = cut_lineage(d0.repartitionByRange(parts, *by, "_v").withColumn("_pid", F.spark_partition_id()))
     from pyspark.sql.window import Window
     per = d.groupBy(*by, "_pid").agg(F.sum("_c").alias("_pc"))
@@ -301,16 +300,16 @@ def exact_quantiles(df: DataFrame, col: str, probs: dict, by: Sequence[str] = ()
     tg = tg.select(*by, "_n", F.col("_q.name").alias("_name"), F.col("_q.p").alias("_p"),
                    (F.col("_q.p") * (F.col("_n") - 1)).alias("_pos"))
     tg = tg.select("*", F.explode(F.array(F.floor("_pos").cast("bigint"), F.ceil("_pos").cast("bigint"))).alias("_r"))
-    # both sides are small (groups x probabilities, groups x partitions)
+    # groups x probabilities, groups x partitions: broadcast by AQE where they measure small
     loc = tg.join(per, by) if by else tg.withColumn("_k", F.lit(0)).join(per.withColumn("_k", F.lit(0)), "_k")
     loc = loc.filter((F.col("_r") >= F.col("_off")) & (F.col("_r") < F.col("_off") + F.col("_pc")))
     loc = loc.select(*by, "_pid", "_off", "_name", "_p", "_pos", "_r")
     # running counts inside the partitions holding a target rank only
     keys = [*by, "_pid"]
-    sel = d.join(F.broadcast(loc.select(*keys).distinct()), keys, "left_semi")
+    sel = d.join(loc.select(*keys).distinct(), keys, "left_semi")
     wr = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     sel = sel.select(*keys, "_v", "_c", F.sum("_c").over(wr).alias("_cum"))
-    hit = sel.join(F.broadcast(loc), keys).filter(
+    hit = sel.join(loc, keys).filter(
         (F.col("_r") - F.col("_off") < F.col("_cum")) & (F.col("_r") - F.col("_off") >= F.col("_cum") - F.col("_c")))
     vals = hit.groupBy(*by, "_name", "_p", "_pos").agg(
         F.min_by("_v", "_r").alias("_lo"), F.max_by("_v", "_r").alias("_hi"))

@@ -11,12 +11,15 @@ from __future__ import annotations
 
 import itertools
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from typing import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trialframe.functions.hashing import poisson1, uniform
 from trialframe.functions.time import shift
 from trialframe.operators import diagnostics as DG
 from trialframe.operators import effects as K
@@ -84,47 +87,72 @@ def analysis_frame(spark: SparkSession, sf_dir: str, aggs: Sequence[str], subset
     return frame, feats
 
 
+METHODS = ("ipw", "psm", "t_learner", "dr", "dml", "causal_forest")
+
+
+def point(frame: DataFrame, method: str, model: str, n_folds: int = 5, weight_col: str | None = None) -> tuple:
+    """(ATE, normalised total variation of the propensity or None) of one estimator.
+
+    With ``weight_col`` every nuisance is fitted, and the estimate taken, on
+    the weighted units: one replicate of the bootstrap.
+    """
+    w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
+    a, y = F.col("a").cast("double"), F.col("y").cast("double")
+    mean = lambda x: F.sum(w * x) / F.sum(w)
+    take = lambda df, x: df.groupBy().agg(x.alias("ATE")).first()["ATE"]
+    if method in ("ipw", "psm"):
+        scored = NU.fit_predict(model, "classifier", frame, frame, "a", "e", weight_col=weight_col)
+        if method == "psm":
+            ate = MT.psm_ate(scored, "e", weight_col=weight_col).first()["ATE"]
+        else:
+            e = K.clip(F.col("e"))
+            t, c = w * a / e, w * (1 - a) / (1 - e)
+            ate = take(scored, F.sum(t * y) / F.sum(t) - F.sum(c * y) / F.sum(c))
+    elif method == "t_learner":
+        scored = None
+        ate = take(NU.t_learner(frame, model, weight_col=weight_col), mean(F.col("m1") - F.col("m0")))
+    elif method == "dr":
+        scored = NU.dr_nuisances(frame, k=n_folds, t_kind=model, y_kind=model, weight_col=weight_col)
+        ate = take(scored, mean(K.aipw_pseudo()))
+    elif method == "dml":
+        scored = NU.dml_nuisances(frame, k=n_folds, t_kind=model, y_kind=model, weight_col=weight_col)
+        ar = a - F.col("e")
+        ate = take(scored, F.sum(w * ar * (y - F.col("m"))) / F.sum(w * ar * ar))
+    else:
+        raise ValueError(f"unknown method {method!r}")
+    ntv = None if scored is None or weight_col else DG.normalized_total_variation(scored).first()["ntv"]
+    return ate, ntv
+
+
+def refit_interval(frame: DataFrame, method: str, model: str, n_boot: int, n_folds: int = 5, seed: int = 1,
+                   id_col: str = "stay_id", alpha: float = 0.05, parallelism: int = 4) -> tuple[float, float]:
+    """Percentile interval of the same estimator over ``n_boot`` Poisson-weighted refits.
+
+    A weight is a function of the unit's id and the replicate; every replicate
+    is its own distributed jobs, ``parallelism`` at a time; its one number
+    reaches the driver."""
+    def one(b):
+        rep = frame.withColumn("_w", poisson1(uniform(F.col(id_col), F.lit(seed), F.lit(b)))).filter("_w > 0")
+        return point(rep, method, model, n_folds, "_w")[0]
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        ates = [x for x in pool.map(one, range(n_boot)) if x is not None]
+    return float(np.quantile(ates, alpha / 2)), float(np.quantile(ates, 1 - alpha / 2))
+
+
 def estimate(frame: DataFrame, method: str, model: str, n_folds: int = 5, n_boot: int = 20,
              feats: Sequence[str] = ()) -> dict:
-    """One grid point -> ATE, bounds, nTV (of the propensity when one is fitted)."""
-    ntv = None
-    if method in ("ipw", "psm"):
-        scored = NU.fit_predict(model, "classifier", frame, frame, "a", "e")
-        ntv = DG.normalized_total_variation(scored).first()["ntv"]
-        if method == "ipw":
-            w = scored.select("stay_id", "a", "y", K.clip(F.col("e")).alias("ec"))
-            w = w.withColumn("_psi", F.col("a") * F.col("y") / F.col("ec") -
-                             (1 - F.col("a")) * F.col("y") / (1 - F.col("ec")))
-            ate = K.ipw(scored, normalised=True).first()["ATE"]
-            ci = K.bootstrap_ci(w, "stay_id", n_boot, seed=1, stat="mean", pseudo="_psi").first()
-            return dict(ATE=ate, lo=ci["ATE_lower"], hi=ci["ATE_upper"], ntv=ntv)
-        r = MT.psm_ate(scored, "e").first()
-        return dict(ATE=r["ATE"], lo=None, hi=None, ntv=ntv)
-    if method == "t_learner":
-        m = NU.t_learner(frame, model)
-        r = m.groupBy().agg(F.avg(F.col("m1") - F.col("m0")).alias("ATE"),
-                            F.stddev_samp(F.col("m1") - F.col("m0")).alias("sd"),
-                            F.count(F.lit(1)).alias("n")).first()
-        se = (r["sd"] or 0.0) / max(r["n"], 1) ** 0.5
-        return dict(ATE=r["ATE"], lo=r["ATE"] - 1.96 * se, hi=r["ATE"] + 1.96 * se, ntv=None)
-    if method == "dr":
-        nu = NU.dr_nuisances(frame, k=n_folds, t_kind=model, y_kind=model)
-        ntv = DG.normalized_total_variation(nu).first()["ntv"]
-        r = K.aipw(nu).first()
-        return dict(ATE=r["ATE"], lo=r["ATE_lower"], hi=r["ATE_upper"], ntv=ntv)
-    if method == "dml":
-        nu = NU.dml_nuisances(frame, k=n_folds, t_kind=model, y_kind=model)
-        ntv = DG.normalized_total_variation(nu).first()["ntv"]
-        r = K.dml_ate(nu).first()
-        return dict(ATE=r["ATE"], lo=r["ATE_lower"], hi=r["ATE_upper"], ntv=ntv)
+    """One grid point -> ATE, interval of the same estimator (refitting bootstrap), nTV of a fitted propensity."""
     if method == "causal_forest":
         nu = NU.dml_nuisances(frame, k=n_folds, t_kind=model, y_kind=model)
         res = nu.select("stay_id", *feats, (F.col("a") - F.col("e")).alias("_ar"),
                         (F.col("y") - F.col("m")).alias("_yr"))
-        _, ate = NU.causal_forest(res, feats, id_col="stay_id", n_trees=50)
+        _, ate = NU.causal_forest(res, feats, id_col="stay_id")
         r = ate.first()
         return dict(ATE=r["ATE"], lo=r["ATE_lower"], hi=r["ATE_upper"], ntv=None)
-    raise ValueError(f"unknown method {method!r}")
+    ate, ntv = point(frame, method, model, n_folds)
+    lo, hi = refit_interval(frame, method, model, n_boot, n_folds) if n_boot else (None, None)
+    return dict(ATE=ate, lo=lo, hi=hi, ntv=ntv)
 
 
 def vibration_grid(spark: SparkSession, sf_dir: str, cfg: GridConfig) -> DataFrame:
@@ -148,45 +176,47 @@ def vibration_grid(spark: SparkSession, sf_dir: str, cfg: GridConfig) -> DataFra
 
 # ------------------------------------------------------------------ L8
 
-def predictive_failure(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = (0, 1, 2),
+def predictive_failure(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = tuple(range(10)),
                        period_hours: float = 24.0, outcome: str = "mortality_3days",
-                       model: str = "boosting") -> DataFrame:
-    """train/validate on features observed up to ``intime + period``, test
-    on pre-treatment features (up to inclusion) of held-out units; one score
-    row per seed (validation and test metrics, as the reference's file)."""
+                       models: Sequence[str] = ("linear", "dummy"), n_iter: int = 0, test_fraction: float = 0.2) -> DataFrame:
+    """Prediction with and without features measured after the treatment.
+
+    One test set (``test_fraction``, seed 0) is held out for all runs and
+    scored on the features known at inclusion.  A seed only re-deals the rest
+    into training and validation.  ``features`` says whether training saw the
+    events up to ``intime + period`` (``post``) or up to inclusion (``pre``).
+    ``n_iter`` draws of the hyper-parameters are searched on the training part
+    (0: the defaults).  One score row per (seed, model, features)."""
     from trialframe.plans.q_primitives import cohort_e_events
     pop = cut_lineage(cohort_e_population(spark, sf_dir).withColumn("y", F.col(outcome).cast("double")))
     ev = cohort_e_events(spark, sf_dir)
     units = units_e(spark, sf_dir).select("stay_id", "c_acctbal", "building")
+    feats = [f"last_code_{c}" for c in E_CODES] + ["c_acctbal", "building"]
 
     def matrix(end_expr):
         p = pop.withColumn("obs_end", end_expr)
-        obs = R.observation_window(ev, p, end_col="obs_end")
-        piv = R.pivot_codes(obs, ["stay_id"], E_CODES, ["last"], order=["starttime"])
-        return piv.join(units, "stay_id").join(pop.select("stay_id", "y"), "stay_id")
-
-    feats = [f"last_code_{c}" for c in E_CODES] + ["c_acctbal", "building"]
-    train_m = cut_lineage(matrix(shift("intime", hours=period_hours)).fillna(0.0, subset=feats))
-    test_m = cut_lineage(matrix(F.col("inclusion_start")).fillna(0.0, subset=feats))
+        obs = R.observation_window(ev, p, end_col="obs_end", event_cols=["stay_id", "starttime", "event_id", "code", "value"])
+        piv = R.pivot_codes(obs, ["stay_id"], E_CODES, ["last"], order=["starttime", "event_id"])
+        m = units.join(pop.select("stay_id", "y"), "stay_id").join(piv, "stay_id", "left")
+        return cut_lineage(NU.assemble(m.fillna(0.0, subset=feats), feats))
+
+    seen = {"post": matrix(shift("intime", hours=period_hours)), "pre": matrix(F.col("inclusion_start"))}
+    split = cut_lineage(FE.stratified_split(pop.select("stay_id", "y"), "stay_id", ["y"], test_fraction, seed=0))
+    part = lambda df, s, name: df.join(s.filter(F.col("split") == name).select("stay_id"), "stay_id", "left_semi")
+    test = part(seen["pre"], split, "test")
     rows = []
-    for seed in seeds:
+    for seed, model, features in itertools.product(seeds, models, seen):
         t0 = time.time()
-        split = FE.stratified_split(pop.select("stay_id", "y"), "stay_id", ["y"], 0.3, seed=seed)
-        dev_ids = split.filter(F.col("split") == "train").select("stay_id")
-        test_ids = split.filter(F.col("split") == "test").select("stay_id")
-        dev = train_m.join(dev_ids, "stay_id", "left_semi")
-        dsplit = FE.stratified_split(dev.select("stay_id", "y"), "stay_id", ["y"], 0.2, seed=seed + 1000)
-        tr = NU.assemble(dev.join(dsplit.filter(F.col("split") == "train").select("stay_id"), "stay_id", "left_semi"), feats)
-        va = NU.assemble(dev.join(dsplit.filter(F.col("split") == "test").select("stay_id"), "stay_id", "left_semi"), feats)
-        te = NU.assemble(test_m.join(test_ids, "stay_id", "left_semi"), feats)
+        dev = split.filter(F.col("split") == "train").select("stay_id", "y")
+        again = FE.stratified_split(dev, "stay_id", ["y"], test_fraction, seed=seed + 1000)
+        tr, va = part(seen[features], again, "train"), part(seen[features], again, "test")
+        params = NU.hyper_search(tr, model, "classifier", "y", n_iter, id_col="stay_id", seed=seed)[0] if n_iter else {}
         n, sd = NU.label_stats(tr, "y")
-        fitted = NU.fit(NU.make_model(model, "classifier", "y", n, sd, {"n_estimators": 20, "max_depth": 3},
-                                      seed=seed), tr)
-        v = DG.binary_scores(NU.predict(fitted, va, "classifier", "p"), "p", "y", n_buckets=16).first().asDict()
-        t = DG.binary_scores(NU.predict(fitted, te, "classifier", "p"), "p", "y", n_buckets=16).first().asDict()
-        row = {f"val_{k}": float(x) if x is not None else None for k, x in v.items()}
-        row.update({f"test_{k}": float(x) if x is not None else None for k, x in t.items()})
-        row.update(random_seed=int(seed), model=model, compute_time=time.time() - t0)
+        fitted = NU.fit(NU.make_model(model, "classifier", "y", n, sd, params, seed=seed), tr)
+        scores = {k: DG.binary_scores(NU.predict(fitted, x, "classifier", "p"), "p", "y").first().asDict()
+                  for k, x in (("val", va), ("test", test))}
+        row = {f"{k}_{m}": float(v) if v is not None else None for k, s in scores.items() for m, v in s.items()}
+        row.update(random_seed=int(seed), model=f"{model} ({features})", compute_time=time.time() - t0)
         rows.append(row)
     cols = sorted(k for k in rows[0] if k not in ("random_seed", "model", "compute_time"))
     return spark.createDataFrame([tuple(r[c] for c in cols) + (r["random_seed"], r["model"], r["compute_time"])

@@ -25,6 +25,7 @@ from trialframe.sources.io import read_table
 
 # Fixed values of the fixture mapping.
 ORIGIN = "2024-01-01 00:00:00"
+KEY_WIDTH = 1_000_000            # blocks of a user that a key can tell apart (over 13,000 years)
 STAY_SECONDS = 432_000          # 5 days
 STAYS_PER_ADMISSION = 3         # 15-day admission block
 COHORT_E_WINDOW_DAYS = 2.5
@@ -39,8 +40,8 @@ def keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.floor(seconds_between(F.col("ts"), F.lit(ORIGIN)) / STAY_SECONDS).cast("bigint")
     return (ev.withColumn("_b", b)
               .withColumn("subject_id", F.col("user_id"))
-              .withColumn("stay_id", F.col("user_id") * 100 + F.col("_b"))
-              .withColumn("hadm_id", F.col("user_id") * 10 + F.floor(F.col("_b") / STAYS_PER_ADMISSION).cast("bigint")))
+              .withColumn("stay_id", F.col("user_id") * KEY_WIDTH + F.col("_b"))
+              .withColumn("hadm_id", F.col("user_id") * KEY_WIDTH + F.floor(F.col("_b") / STAYS_PER_ADMISSION).cast("bigint")))
 
 
 def stays(spark: SparkSession, sf_dir: str, firsts: dict | None = None) -> DataFrame:
@@ -159,8 +160,8 @@ def sec_sql(end: str, start: str) -> str:
 
 KEYED_EVENTS_SQL = f"""
 kev AS (
-  SELECT *, user_id AS subject_id, user_id*100 + _b AS stay_id,
-         user_id*10 + CAST(floor(_b / {STAYS_PER_ADMISSION}) AS BIGINT) AS hadm_id
+  SELECT *, user_id AS subject_id, user_id * {KEY_WIDTH} + _b AS stay_id,
+         user_id * {KEY_WIDTH} + CAST(floor(_b / {STAYS_PER_ADMISSION}) AS BIGINT) AS hadm_id
   FROM (SELECT *, CAST(floor({sec_sql('ts', f"TIMESTAMP '{ORIGIN}'")} / {STAY_SECONDS}) AS BIGINT) AS _b FROM events)
 )"""
 

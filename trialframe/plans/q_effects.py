@@ -81,7 +81,7 @@ SELECT round(p1, 6) AS p1, round(p0, 6) AS p0, n1, n0, round(p1 - p0, 6) AS "ATE
   round(p1 - p0 - {K.Z975} * sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0), 6) AS "ATE_lower",
   round(p1 - p0 + {K.Z975} * sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0), 6) AS "ATE_upper" FROM t""")
 def q_risk_difference(spark, sf_dir):
-    return rounded(K.risk_difference(units_d(spark, sf_dir)))
+    return rounded(K.risk_difference(X.document_units(spark, sf_dir)))
 
 
 @register("frechet_bounds", f"""WITH {X.DOC_UNITS_SQL.strip()},
@@ -89,7 +89,7 @@ t AS (SELECT avg(a * y) AS pya, avg((1 - a) * y) AS pyna, avg(a) AS pa FROM unit
 SELECT round(pya - pyna - pa, 6) AS lower, round(pya + (1 - pa) - pyna, 6) AS upper,
        round((pya + (1 - pa) - pyna) - (pya - pyna - pa), 6) AS width FROM t""")
 def q_frechet_bounds(spark, sf_dir):
-    return rounded(K.frechet_bounds(units_d(spark, sf_dir)))
+    return rounded(K.frechet_bounds(X.document_units(spark, sf_dir)))
 
 
 DIFF_MEANS_SQL = """avg(CASE WHEN a = 1 THEN y END) - avg(CASE WHEN a = 0 THEN y END) AS ate,
@@ -101,7 +101,7 @@ DIFF_MEANS_SQL = """avg(CASE WHEN a = 1 THEN y END) - avg(CASE WHEN a = 0 THEN y
 SELECT round(ate, 6) AS "ATE", round(se, 6) AS se, round(ate - 1.96 * se, 6) AS "ATE_lower",
        round(ate + 1.96 * se, 6) AS "ATE_upper" FROM t""")
 def q_diff_means(spark, sf_dir):
-    return rounded(K.diff_means(units_d(spark, sf_dir)))
+    return rounded(K.diff_means(X.document_units(spark, sf_dir)))
 
 
 # ------------------------------------------------------------------ K4-K7
@@ -172,7 +172,7 @@ nn AS (SELECT mt.arm, mt.score, mt.n, mt.sy, mt.match_score, o.sy / o.n AS match
 SELECT arm, round(score, 6) AS score, n, round(sy, 6) AS sy, round(match_score, 6) AS match_score,
        round(match_y, 6) AS match_y FROM nn""")
 def q_psm_match(spark, sf_dir):
-    return rounded(MT.nearest_opposite(cells_d(spark, sf_dir), "e", n_buckets=4))
+    return rounded(MT.nearest_opposite(cells_d(spark, sf_dir), "e"))
 
 
 @register("psm_ate", NN_SQL + """,
@@ -181,7 +181,7 @@ SELECT round(sum(diff) / sum(n), 6) AS "ATE",
        round(sum(diff) FILTER (WHERE arm = 1) / sum(n) FILTER (WHERE arm = 1), 6) AS "ATT",
        round(sum(diff) FILTER (WHERE arm = 0) / sum(n) FILTER (WHERE arm = 0), 6) AS "ATC" FROM df""")
 def q_psm_ate(spark, sf_dir):
-    return rounded(MT.psm_ate(cells_d(spark, sf_dir), "e", n_buckets=4))
+    return rounded(MT.psm_ate(cells_d(spark, sf_dir), "e"))
 
 
 # ------------------------------------------------------------------ K13, K15
@@ -265,7 +265,7 @@ FROM (WITH {X.DOC_UNITS_SQL.strip()} SELECT {DIFF_MEANS_SQL} FROM units)""")
 def q_trial_benchmark(spark, sf_dir):
     # The published trial's counts (deaths / patients per arm).
     trial = K.trial_benchmark(spark, 285, 895, 288, 900, "reference_trial")
-    naive = K.diff_means(units_d(spark, sf_dir)).select(F.lit("naive").alias("estimation_method"), "ATE",
+    naive = K.diff_means(X.document_units(spark, sf_dir)).select(F.lit("naive").alias("estimation_method"), "ATE",
                                                          "ATE_lower", "ATE_upper")
     return rounded(trial.unionByName(naive))
 
@@ -339,7 +339,7 @@ SELECT n_samples, round(prevalence, 6) AS prevalence, round(accuracy, 6) AS accu
   round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, tn, fp, fn, tp FROM bs, rk""")
 def q_binary_scores(spark, sf_dir):
     xf = crossfit_d(spark, sf_dir).select(F.col("m").alias("p"), "y")
-    return rounded(DG.binary_scores(xf, "p", "y", n_buckets=8))
+    return rounded(DG.binary_scores(xf, "p", "y"))
 
 
 @register("brier", f"""WITH {CROSSFIT_SQL} SELECT round(avg((e - a) * (e - a)), 6) AS brier FROM xf""")

@@ -283,7 +283,7 @@ def q_typed_aggregation(spark, sf_dir):
 
 
 PERIOD_CODES = ["view", "click"]
-PERIODS = FE.PERIOD_MAP["all"]
+PERIODS = FE.PERIOD_SETS["all"]
 
 
 def _period_sql():

@@ -95,7 +95,7 @@ def estimates_d(spark, sf_dir):
     """One row per estimator on cohort D (method, ATE, lower, upper)."""
     null = F.lit(None).cast("double")
     rows = [
-        K.diff_means(units_d(spark, sf_dir)).select(F.lit("diff_means").alias("estimation_method"), "ATE",
+        K.diff_means(X.document_units(spark, sf_dir)).select(F.lit("diff_means").alias("estimation_method"), "ATE",
                                                     "ATE_lower", "ATE_upper"),
         K.ipw(cells_d(spark, sf_dir)).select(F.lit("ipw_ht").alias("estimation_method"), "ATE",
                                              null.alias("ATE_lower"), null.alias("ATE_upper")),

@@ -45,12 +45,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 
 
 def ensure_conf(spark: SparkSession) -> SparkSession:
-    """Apply the settings the library needs (runtime-settable ones only)."""
+    """Apply the settings the library needs where the session has none of its own."""
     for k, v in REQUIRED_CONF.items():
-        try:
+        if spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
-        except Exception:  # pragma: no cover - static conf on some platforms
-            pass
     return spark
 
 
@@ -58,8 +56,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
     The context's checkpoint directory is registered from that setting once.
-    Only when the session has none (tests, local runs) a fresh scratch folder
-    is created; a cluster always names a shared folder.  (With Spark Connect
+    Only in local mode, where one machine runs all, a fresh scratch folder is
+    created when the session has none; a cluster must name a shared folder.  (With Spark Connect
     there is no context; the server's setting is used as is.)
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
@@ -69,6 +67,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return d or ""
     current = sc.getCheckpointDir()
     d = d or sc.getConf().get("spark.checkpoint.dir", None)
+    if not d and not current and not sc.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not d:
         d = current or tempfile.mkdtemp(prefix="trialframe-ckpt-", dir="/tmp")
     if not current:

@@ -30,6 +30,14 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
 
 
+def list_tables(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Names of the parquet tables of a folder, from the file system that Spark reads it with."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted(n.removesuffix(".parquet") for n in names if n.endswith(".parquet"))
+
+
 def read_pruned(spark: SparkSession, sf_dir: str, name: str, columns) -> DataFrame:
     """A2: scan only the listed columns (the scan's ReadSchema shrinks)."""
     return read_table(spark, sf_dir, name).select(*columns)
@@ -164,18 +172,24 @@ def config_digest(config: dict) -> str:
 
 
 def memoise(spark: SparkSession, df: DataFrame, name: str, config: dict, root: str | None = None) -> DataFrame:
-    """Materialise an expensive frame once per configuration.
+    """Materialise an expensive frame once per configuration and input.
 
-    The table lives in the shared checkpoint folder, keyed by the config
-    digest; a second call with the same config reads it back.  A written table
-    also cuts lineage, so a lost executor recomputes from the file, not from
-    the raw scans.
+    The table lives in the shared checkpoint folder, keyed by the digest of the
+    configuration and of the input: the files that ``df`` reads, else its plan.  A second call with both
+    the same reads it back, on any file system.  Every write goes to a folder
+    of its own that counts once its ``_SUCCESS`` file is there, so no call
+    overwrites a table that another one reads.
     """
     from trialframe.session import checkpoint_dir
 
     base = root or os.path.join(checkpoint_dir(spark), "memo")
-    path = os.path.join(base, f"{name}-{config_digest(config)}")
-    marker = os.path.join(path, "_SUCCESS")
-    if "://" in path or not os.path.exists(marker):
-        df.write.mode("overwrite").parquet(path)
+    source = sorted(df.inputFiles()) or df.semanticHash()      # a frame of no files is known by its plan
+    key = config_digest({"config": config, "source": source})
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}-{key}")
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    done = [s.getPath().getParent().toString()
+            for s in (fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(folder, "*/_SUCCESS")) or [])]
+    path = min(done) if done else f"{folder.toString()}/{uuid.uuid4().hex}"
+    if not done:
+        df.write.parquet(path)
     return spark.read.parquet(path)
