@@ -6,7 +6,9 @@ from collections import OrderedDict
 
 from pyspark.sql import functions as F
 
+from trialframe.functions.time import seconds_between
 from trialframe.operators import cohort as C
+from trialframe.operators import relational as R
 from trialframe.operators.relational import except_set, intersect_all_sets
 from trialframe.plans import fixtures as X
 from trialframe.plans.registry import register, rounded
@@ -250,6 +252,23 @@ def q_cohort_deltas(spark, sf_dir):
                                                "delta_inclusion_start_days"))
 
 
+DELTAS = ("dod", "intervention_start", "inclusion_start")
+
+
+@register("cohort_delta_summary", f"""WITH {POP_E_SQL},
+d AS ({' UNION ALL '.join(f"SELECT '{c}' AS delta, {sec(c, 'intime')} / 3600.0 AS h FROM pop" for c in DELTAS)})
+SELECT delta, count(h) AS n, round(quantile_cont(h, 0.25), 6) AS q25, round(median(h), 6) AS median,
+  round(quantile_cont(h, 0.75), 6) AS q75, round(quantile_cont(h, 0.75) - quantile_cont(h, 0.25), 6) AS iqr
+FROM d WHERE h IS NOT NULL GROUP BY delta""")
+def q_cohort_delta_summary(spark, sf_dir):
+    """M2: count, median and interquartile range, in hours, of the cohort's own time deltas."""
+    pop = cohort_e_population(spark, sf_dir)
+    h = pop.select(*[(seconds_between(c, "intime") / 3600.0).alias(c) for c in DELTAS]).unpivot([], list(DELTAS), "delta", "h")
+    q = R.exact_quantiles(h, "h", {"q25": 0.25, "median": 0.5, "q75": 0.75}, ["delta"])
+    n = h.groupBy("delta").agg(F.count("h").alias("n")).filter("n > 0")
+    return rounded(n.join(q, "delta").withColumn("iqr", F.col("q75") - F.col("q25")))
+
+
 WINDOWS = (0.25, 1.0, 3.0)
 
 

@@ -351,3 +351,14 @@ def q_brier(spark, sf_dir):
 SELECT round(avg((y - m) * (y - m)), 6) AS mse, round(1 - avg((y - m) * (y - m)) / var_pop(y), 6) AS r2 FROM xf""")
 def q_r2_mse(spark, sf_dir):
     return rounded(DG.r2_mse(crossfit_d(spark, sf_dir), "m", "y"))
+
+
+# ------------------------------------------------------------------ D10
+
+@register("result_group_means", f"""WITH {X.DOC_UNITS_SQL.strip()},
+r AS (SELECT s1, s2, avg(CASE WHEN a = 1 THEN y END) - avg(CASE WHEN a = 0 THEN y END) AS ate FROM units GROUP BY s1, s2)
+SELECT s2, round(avg(ate), 6) AS mean_ate, count(ate) AS n_results FROM r GROUP BY s2""")
+def q_result_group_means(spark, sf_dir):
+    """Mean and number of result rows by a label of theirs (one estimate per stratum, by length band)."""
+    results = K.diff_means(X.document_units(spark, sf_dir), by=STRATA)
+    return rounded(results.groupBy("s2").agg(F.avg("ATE").alias("mean_ate"), F.count("ATE").alias("n_results")))

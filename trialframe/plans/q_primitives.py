@@ -66,13 +66,24 @@ def q_cohort_roundtrip(spark, sf_dir):
     return spark.read.parquet(path)
 
 
-@register("cohort_config")
-def q_cohort_config(spark, sf_dir):
+def _cohort_config() -> dict:
     from trialframe.operators.cohort import CohortConfig
     cfg = CohortConfig(cohort_name="events_view_purchase", min_age=0, min_los_icu_unit_day=1,
                        treatment_observation_window_unit_day=2.5).as_dict()
-    name = IO.cohort_folder_name(cfg)
-    return IO.config_table(spark, {"folder": name, **cfg})
+    return {"folder": IO.cohort_folder_name(cfg), **cfg}
+
+
+def _sql_text(v) -> str:
+    return "NULL" if v is None else "'" + str(v).replace("'", "''") + "'"
+
+
+@register("cohort_config", f"WITH {POP_E_SQL} " + " UNION ALL ".join(
+    f"SELECT '{k}' AS config, {_sql_text(v)} AS value" for k, v in _cohort_config().items())
+    + " UNION ALL SELECT 'n_units', CAST(count(*) AS VARCHAR) FROM pop")
+def q_cohort_config(spark, sf_dir):
+    """The configuration saved beside a cohort, with the cohort's size."""
+    n = cohort_e_population(spark, sf_dir).agg(F.count("*").cast("string").alias("value"))
+    return IO.config_table(spark, _cohort_config()).unionByName(n.select(F.lit("n_units").alias("config"), "value"))
 
 
 # ------------------------------------------------------------------ B

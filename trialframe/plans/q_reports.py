@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from trialframe.operators import cohort as C
 from trialframe.operators import effects as K
+from trialframe.operators import matching as MT
 from trialframe.operators import reports as RP
 from trialframe.plans import fixtures as X
 from trialframe.plans.q_cohort import WINDOWS
 from trialframe.plans.q_effects import (
     AIPW_PSI, CATE_SQL, CELLS_SQL, CROSSFIT_SQL, DIFF_MEANS_SQL, DML_SQL, _cate_inputs, cells_d, crossfit_d,
     units_d,
+    NN_SQL,
 )
 from trialframe.plans.q_events import OBS_EVENTS_SQL, UNITS_E_SQL, patient_matrix_e
 from trialframe.plans.registry import register, rounded
@@ -103,6 +105,8 @@ def estimates_d(spark, sf_dir):
                                               "ATE_upper"),
         K.dml_ate(crossfit_d(spark, sf_dir)).select(F.lit("dml_cells").alias("estimation_method"), "ATE",
                                                     "ATE_lower", "ATE_upper"),
+        MT.psm_ate(cells_d(spark, sf_dir)).select(F.lit("psm_ate").alias("estimation_method"), "ATE",
+                                                  null.alias("ATE_lower"), null.alias("ATE_upper")),
     ]
     out = rows[0]
     for r in rows[1:]:
@@ -117,6 +121,7 @@ def _labels_case(mapping, col="estimation_method"):
 
 @register("forest_table", f"""WITH {CELLS_SQL}, {CROSSFIT_SQL.replace(X.DOC_UNITS_SQL.strip() + ',', '', 1)},
 {DML_SQL},
+{NN_SQL.split(CELLS_SQL + ',', 1)[1]},
 est AS (
   SELECT 'diff_means' AS estimation_method, ate AS "ATE", ate - 1.96 * se AS "ATE_lower", ate + 1.96 * se AS "ATE_upper"
   FROM (SELECT {DIFF_MEANS_SQL} FROM units)
@@ -125,6 +130,7 @@ est AS (
   UNION ALL SELECT 'aipw', avg({AIPW_PSI}), avg({AIPW_PSI}) - 1.96 * stddev_samp({AIPW_PSI}) / sqrt(count(*)),
                    avg({AIPW_PSI}) + 1.96 * stddev_samp({AIPW_PSI}) / sqrt(count(*)) FROM nu
   UNION ALL SELECT 'dml_cells', ate, ate - 1.96 * se, ate + 1.96 * se FROM v
+  UNION ALL SELECT 'psm_ate', sum(CASE WHEN arm = 1 THEN sy - n * match_y ELSE n * match_y - sy END) / sum(n), NULL, NULL FROM nn
 )
 SELECT estimation_method, round("ATE", 6) AS "ATE", round("ATE_lower", 6) AS "ATE_lower",
   round("ATE_upper", 6) AS "ATE_upper", {_labels_case(METHOD_LABELS)} AS label, {_labels_case(METHOD_GROUPS)} AS "group",
