@@ -28,7 +28,7 @@ from trialframe.llm.common import map_rows, sha_hex, table
 
 MARK = "▁"
 CACHE_CHARS = 48          # segments up to this length are remembered
-CACHE_ENTRIES = 500_000   # then the memory of a worker starts anew
+CACHE_ENTRIES = 300_000   # then the memory of a worker starts anew (some 70 MB)
 SHORT = 48                # segments up to this length keep their agenda as a list
 NO_PIECE = math.inf
 LINES = 256               # segments in one text of the check
@@ -68,7 +68,8 @@ class Pieces:
         self.eos = self.lib.eos_id()
         self.cut = cutter(self.ids)
         self.digits = [f" {i}" for i in range(n)]
-        self.memory: dict[str, tuple[list[int], str, str]] = {}
+        self.memory: dict[str, str] = {}                  # segment -> its ids as digits
+        self.lossy: set[str] = set()                      # segments that do not decode to themselves
         self.fresh: list[tuple[str, list[int]]] = []      # segments merged since the last check
 
     def merge(self, segment: str) -> list[int]:
@@ -125,25 +126,30 @@ class Pieces:
                 offer(prev[a], a)
         return [x for x in sym if x]
 
-    def segments(self, text: str) -> list[tuple[list[int], str, str]]:
-        """(ids, their digits after a space each, decoded) of the segments of a text, in order."""
+    def look_up(self, text: str) -> tuple[list[str], str]:
+        """(ids of every segment as digits after a space each, decoded text) of a text."""
         whole = MARK + text.replace(" ", MARK) if text else ""
         parts = self.cut.findall(whole) if self.cut else [whole] * bool(text)
         memory = self.memory
         if len(memory) > CACHE_ENTRIES:
             memory.clear()
+            self.lossy.clear()
         long = {}
         for p in {*parts}.difference(memory):
             ids = self.merge(p)
-            got = ids, "".join([self.digits[i] for i in ids]), self.show(ids).replace(MARK, " ")
-            (memory if len(p) <= CACHE_CHARS else long)[p] = got
+            if self.show(ids) != p:
+                self.lossy.add(p)
+            (memory if len(p) <= CACHE_CHARS else long)[p] = "".join([self.digits[i] for i in ids])
             self.fresh.append((p, ids))
         get = ChainMap(memory, long).__getitem__ if long else memory.__getitem__
-        return [get(p) for p in parts]
+        # A segment holds whole characters, so the decoded segments are the decoded text.
+        if self.lossy and not self.lossy.isdisjoint(parts):
+            whole = "".join([self.show([*map(int, get(p).split())]) for p in parts])
+        return [get(p) for p in parts], whole.removeprefix(MARK).replace(MARK, " ")
 
     def encode(self, text: str) -> list[int]:
         """Ids with the end id, without a begin id."""
-        return [*chain.from_iterable(x[0] for x in self.segments(text)), self.eos]
+        return [*map(int, "".join(self.look_up(text)[0]).split()), self.eos]
 
     def show(self, ids: list[int]) -> str:
         """Pieces of ids, runs of bytes as UTF-8."""
@@ -214,19 +220,17 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, model: str, *, with_
 
         def run(rows):
             texts = [t or "" for _, t in rows]
-            got = [p.segments(t) for t in texts]
-            ids = [[*chain.from_iterable(x[0] for x in g), p.eos] for g in got] if with_ids or check == "texts" else None
-            # A segment holds whole characters, so decoded segments are the decoded text; the first mark is dropped.
-            decoded = ["".join([x[2] for x in g]).removeprefix(" ") for g in got]
+            got = [p.look_up(t) for t in texts]
+            digits = ["".join(x) for x, _ in got]
+            ids = [[*map(int, x.split()), p.eos] for x in digits] if with_ids or check == "texts" else None
             if check == "texts":
                 if ids != p.lib.encode(texts, add_eos=True, num_threads=1):
                     raise ValueError("ids differ from the sentencepiece library")
-                if decoded != p.lib.decode(ids, num_threads=1):
+                if [d for _, d in got] != p.lib.decode(ids, num_threads=1):
                     raise ValueError("decoded text differs from the sentencepiece library")
             p.check_fresh()
-            for at, ((key, _), g, d) in enumerate(zip(rows, got, decoded, strict=True)):
-                digits = "".join([x[1] for x in g])
-                out = (key, digits.count(" ") + 1, sha_hex(f"{digits} {end}"[1:] if digits else end), sha_hex(d))
+            for at, ((key, _), x, (_, d)) in enumerate(zip(rows, digits, got, strict=True)):
+                out = (key, x.count(" ") + 1, sha_hex(f"{x} {end}"[1:] if x else end), sha_hex(d))
                 yield (*out, ids[at], d) if with_ids else out
         return run
 

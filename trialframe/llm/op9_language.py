@@ -42,7 +42,7 @@ BLOCK = 64                # positions that the scans treat in one step
 BATCH = 32_768            # words of a training step
 EPOCHS = 3
 WORD = re.compile(r"[^\W\d_]+")
-MEMORY = 300_000          # words a task remembers
+MEMORY = 100_000          # words a task remembers
 MIX = 0x9E3779B97F4A7C15  # odd multiplier of the feature hash
 SALT = {"gram": 1, "prefix": 2, "suffix": 3}
 
