@@ -171,6 +171,13 @@ def test_html_main_text():
     assert page.extract(ARTICLE.replace("article>", "div>"), {"a": 2.0, "p": 0.05, "/p": 0.05}) == want
 
 
+def test_names_do_not_hide_the_article():
+    text = "<div class='layout with-sidebar'><article class='post'><div class='article-header'><h1>A title</h1></div>" \
+           "<p>Body of the text.</p><div class='post-comments'><article class='comment'><p>Mine.</p></article></div></article>" \
+           "<div class='page-header'>Top</div><div style='display: none'>gone</div><div id=cookie-bar>Cookies</div></div>"
+    assert page.extract(text, {}) == "A title\nBody of the text."
+
+
 def test_html_cases(spark):
     pages = [None, "", "plain words only", "<p>unclosed <b>bold<p>next", "<div>cut off <a href='", "<script>only", "< 3 > 2",
              "<p>" + "word " * 40_000 + "</p>", ARTICLE, ARTICLE]

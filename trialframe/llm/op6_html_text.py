@@ -34,17 +34,20 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
                    "ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 # Elements and names that are no part of an article.
 OUT_TAGS = frozenset("nav footer aside form button select option menu dialog head input fieldset".split())
-OUT_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adverts|sponsor\w*|promo\w*|banner|menu|nav|navbar|navigation|breadcrumbs?|sidebar|"
-    r"side|footer|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|"
-    r"login|share|sharing|social|related|recommend\w*|comments?|commentlist|replies|reply|disqus|respond|widget|"
-    r"header|search|pagination|pager|copyright|legal|skip)(?:$|[\s_-])")
+# Parts of class and id names of such elements, and what may stand before "header".
+OUT_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner menu nav navbar navigation "
+    "breadcrumb breadcrumbs sidebar footer masthead topbar toolbar cookie cookies consent gdpr notice alert popup modal "
+    "newsletter subscribe signup login share sharing social related recommended recommendations comment comments "
+    "commentlist replies reply disqus respond widget search pagination pager copyright skip".split())
+HEADERS = frozenset("site page top main global web blog".split())
 OUT_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
 CLOSES = {  # an opening tag that ends an open element of these names
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}}
 NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9:-]*)")
-ATTR = re.compile(r"""(class|id|role|hidden|aria-hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
+HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+ATTR = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""", re.I)
 DEFAULT_COST = 4.0
 
 
@@ -106,19 +109,23 @@ def raw_end(page: str, name: str, at: int) -> int:
     return m.start() if m else len(page)
 
 
-def is_out(name: str, attrs: str) -> bool:
-    """Whether an element is no part of an article, by its name, class, id or role."""
+def is_out(name: str, attrs: str) -> int:
+    """1 if an element is no part of an article by its tag, role or being hidden, 2 if by its class or id, else 0."""
     if name in OUT_TAGS or name in RAW:
-        return True
-    if not attrs:
-        return False
+        return 1
+    if not attrs or name in ("html", "body"):
+        return 0
     for key, *values in ATTR.findall(attrs):
         key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id") and OUT_NAMES.search(value):
-            return True
-        if key == "role" and value in OUT_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-    return False
+        if (key == "role" and value in OUT_ROLES or key == "hidden" or key == "aria-hidden" and value == "true"
+                or key == "style" and HIDDEN.search(value)):
+            return 1
+        if key in ("class", "id"):
+            for word in value.split():
+                parts = re.split("[-_]+", word)
+                if not OUT_NAMES.isdisjoint(parts) or word == "header" or parts[-1] == "header" and parts[0] in HEADERS:
+                    return 2
+    return 0
 
 
 def parse(page: str):
@@ -127,7 +134,7 @@ def parse(page: str):
     A node is ``out`` when it or an element around it is no part of an
     article.  ``block`` numbers the blocks in page order.
     """
-    nodes = [("", -1, False)]
+    nodes: list[tuple[str, int, int]] = [("", -1, 0)]
     runs: list[tuple[str, int, int]] = []
     seq: list[tuple[str, int]] = []           # tag name or "" for a run, with its node or run number
     stack, block = [0], 0
@@ -144,11 +151,10 @@ def parse(page: str):
             elif name not in INLINE:
                 while nodes[stack[-1]][0] == "p" or nodes[stack[-1]][0] in INLINE:
                     stack.pop()               # a block ends an open paragraph and what is left open in it
-            if name == "header" and any(nodes[i][0] in ("article", "main") for i in stack):
-                out = False
-            else:
-                out = is_out(name, text) or name == "header"
-            nodes.append((name, stack[-1], out or nodes[stack[-1]][2]))
+            out = is_out(name, text)
+            if name == "header" and not out:
+                out = int(not any(nodes[i][0] in ("article", "main") for i in stack))
+            nodes.append((name, stack[-1], out))
             seq.append((name, len(nodes) - 1))
             if name == "br":
                 runs.append((" ", stack[-1], block))
@@ -160,7 +166,25 @@ def parse(page: str):
                 if nodes[stack[i]][0] == name:
                     del stack[i:]
                     break
-    return nodes, runs, seq
+    return outside(nodes), runs, seq
+
+
+def outside(nodes: list[tuple[str, int, int]]) -> list[tuple[str, int, bool]]:
+    """Nodes with whether they, or an element around them, are no part of an article.
+
+    A class or id does not count on an element that holds the article or the
+    main part of the page (a name like ``with-sidebar``).
+    """
+    holds = bytearray(len(nodes))
+    for name, parent, out in nodes:
+        if name in ("article", "main") and not out:
+            while parent > 0 and not holds[parent]:
+                holds[parent] = 1
+                parent = nodes[parent][1]
+    result: list[tuple[str, int, bool]] = []
+    for i, (name, parent, out) in enumerate(nodes):
+        result.append((name, parent, out == 1 or (out == 2 and not holds[i]) or (parent >= 0 and result[parent][2])))
+    return result
 
 
 def n_words(text: str) -> int:
