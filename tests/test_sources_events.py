@@ -80,3 +80,15 @@ def test_time_helpers(spark):
     r = df.select(seconds_between("b", "a").alias("s"), floor_days_between("a", "b").alias("d"),
                   F.size(hour_grid("a", "b", before_hours=2)).alias("n")).first()
     assert r.s == 5400.0 and r.d == -1 and r.n == 4   # ceil(10:30) = 11:00, minus 2 h: 09, 10, 11, 12
+
+
+def test_covariate_events_shape_each_source(spark):
+    from trialframe.operators import events as EV
+    pop = spark.createDataFrame([(1, 10, 100, ts("2024-01-02 00:00:00"))],
+                                "subject_id long, hadm_id long, stay_id long, inclusion_start timestamp_ntz")
+    one = spark.createDataFrame([(100, ts("2024-01-01 00:00:00"), "hr", 1.0), (100, ts("2024-01-03 00:00:00"), "hr", 2.0)],
+                                "stay_id long, starttime timestamp_ntz, code string, value double")
+    twice = spark.createDataFrame([(100, ts("2024-01-01 00:00:00"), "bp", 3)] * 2,
+                                  "stay_id long, starttime timestamp_ntz, code string, value int")
+    got = EV.covariate_events([one, twice], pop).collect()
+    assert [(r.subject_id, r.stay_id, r.code, r.value) for r in got] == [(1, 100, "hr", 1.0)]

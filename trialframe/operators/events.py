@@ -91,11 +91,11 @@ def flag_events(df: DataFrame, keys: Sequence[str], time_col: str, flag_cols: Se
 
 def covariate_events(sources: Sequence[DataFrame], population: DataFrame,
                      end_col: str = "inclusion_start") -> DataFrame:
-    """Union of every event source, restricted to the observation period
-    of the population (S6, S7), then every duplicated row removed (S8)."""
-    allev = union_all([to_event_schema(s) if s.columns != [f for f in s.columns] else s for s in sources])
-    obs = observation_window(allev, population, end_col=end_col)
-    return drop_all_duplicated(obs)
+    """Every event source restricted to the observation period of the
+    population on its own most specific key (S6, S7), brought to the event
+    schema, united, and every duplicated row removed (S8)."""
+    seen = [to_event_schema(observation_window(s, population, end_col=end_col)) for s in sources]
+    return drop_all_duplicated(union_all(seen))
 
 
 def static_flags(units: DataFrame, flags: Mapping[str, F.Column]) -> DataFrame:

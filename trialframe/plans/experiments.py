@@ -27,6 +27,7 @@ from trialframe.operators import features as FE
 from trialframe.operators import matching as MT
 from trialframe.operators import nuisance as NU
 from trialframe.operators import relational as R
+from trialframe.plans import fixtures as X
 from trialframe.plans.q_cohort import cohort_e_population
 from trialframe.plans.q_events import units_e
 from trialframe.plans.q_primitives import E_CODES
@@ -187,9 +188,9 @@ def predictive_failure(spark: SparkSession, sf_dir: str, seeds: Sequence[int] =
     events up to ``intime + period`` (``post``) or up to inclusion (``pre``).
     ``n_iter`` draws of the hyper-parameters are searched on the training part
     (0: the defaults).  One score row per (seed, model, features)."""
-    from trialframe.plans.q_primitives import cohort_e_events
     pop = cut_lineage(cohort_e_population(spark, sf_dir).withColumn("y", F.col(outcome).cast("double")))
-    ev = cohort_e_events(spark, sf_dir)
+    ev = X.keyed_events(spark, sf_dir).select("stay_id", F.col("ts").alias("starttime"), "event_id",
+                                              F.col("event_type").alias("code"), "value")
     units = units_e(spark, sf_dir).select("stay_id", "c_acctbal", "building")
     feats = [f"last_code_{c}" for c in E_CODES] + ["c_acctbal", "building"]
 

@@ -155,15 +155,28 @@ covariates AS (SELECT {EV_COLS} FROM obs_all GROUP BY ALL HAVING count(*) = 1)""
 
 def covariate_events_e(spark, sf_dir):
     kev = X.keyed_events(spark, sf_dir)
-    raw = R.to_event_schema(kev.select("subject_id", "hadm_id", "stay_id", F.col("ts").alias("starttime"),
-                                       F.col("event_type").alias("code"), F.col("event_type").alias("label"),
-                                       "value"), domain="events")
+    raw = kev.select("subject_id", "hadm_id", "stay_id", F.col("ts").alias("starttime"), F.lit("events").alias("domain"),
+                     F.col("event_type").alias("code"), F.col("event_type").alias("label"), "value")
     pop = cohort_e_population(spark, sf_dir)
     # only population stays survive the observation window: their scores are
     # built from the population itself (no second aggregation of the events)
-    stay_level = R.observation_window(R.union_all([raw, _score_events(spark, sf_dir, pop)]), pop)
-    adm_level = R.observation_window(_infection_events(spark, sf_dir), pop)
-    return R.drop_all_duplicated(R.union_all([stay_level, adm_level]))
+    return EV.covariate_events([raw, _score_events(spark, sf_dir, pop), _infection_events(spark, sf_dir)], pop)
+
+
+ORDER_FLAGS = {"urgent": "o_orderpriority = '1-URGENT'", "high": "o_orderpriority = '2-HIGH'", "open": "o_orderstatus = 'O'",
+               "large": "o_totalprice > 200000"}
+
+
+@register("flag_events", " UNION ALL ".join(f"""
+SELECT o_custkey AS subject_id, o_orderkey AS hadm_id, o_orderkey AS stay_id, o_orderdate AS starttime,
+  CAST(NULL AS TIMESTAMP) AS endtime, 'comorbidity' AS domain, '{c}' AS code, '{c}' AS label,
+  CASE WHEN {e} THEN 1.0 ELSE 0.0 END AS value FROM orders WHERE ({e}) OR '{c}' = 'large'""" for c, e in ORDER_FLAGS.items()))
+def q_flag_events(spark, sf_dir):
+    """Wide 0/1 flags to events; zeros go but for the index column."""
+    od = _T(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("subject_id"), F.col("o_orderkey").alias("hadm_id"), F.col("o_orderkey").alias("stay_id"),
+        "o_orderdate", *[F.expr(f"CASE WHEN {e} THEN 1 ELSE 0 END").alias(c) for c, e in ORDER_FLAGS.items()])
+    return EV.flag_events(od, ["subject_id", "hadm_id", "stay_id"], "o_orderdate", list(ORDER_FLAGS), keep_zero=["large"])
 
 
 @register("covariate_events", f"WITH {COVARIATES_SQL} SELECT * FROM covariates")
