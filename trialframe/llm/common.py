@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import tempfile
 import uuid
@@ -26,7 +27,7 @@ def ship(spark: SparkSession) -> None:
     and bound the rows of an Arrow batch where the session does not."""
     sc = spark.sparkContext
     if spark.conf.get(ARROW_ROWS, None) is None:
-        spark.conf.set(ARROW_ROWS, "2000")          # whole texts: memory goes by rows times length
+        spark.conf.set(ARROW_ROWS, "1000")          # whole texts: memory goes by rows times length
     if getattr(sc, "_trialframe_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent
@@ -86,10 +87,20 @@ def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterable[tuple]]
                     cols = zip(*got, strict=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, type=t.type) for c, t in zip(cols, out, strict=True)], schema=out)
+        del f
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return what a task's temporaries left in a reused Python worker to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # glibc only
+    if trim:
+        trim(0)
+
+
 def sha_hex(s: str) -> str:
     return hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import CHUNK, map_rows, one_row_per, outside, sha_hex, shared_table, span_text, table
+from trialframe.llm.common import CHUNK, give_back, map_rows, one_row_per, outside, sha_hex, shared_table, span_text, table
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "live")
@@ -162,6 +162,7 @@ def masked(df: DataFrame, text_col: str, owner_col: str, repo_col: str, length_c
             for lo in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(lo, CHUNK)
                 yield part.filter(pa.array([not has_secret(t or "") for t in part.column(place).to_pylist()], pa.bool_()))
+        give_back()
 
     return df.mapInArrow(clean, df.schema).unionByName(map_rows(judge(hits, example_owners), make, df.schema))
 

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialframe.llm import shingles as S
-from trialframe.llm.common import map_rows, one_row_per, shared_table, table
+from trialframe.llm.common import give_back, map_rows, one_row_per, shared_table, table
 
 UNIT = 48
 PASSAGE, STEP = 96, 48
@@ -304,6 +304,7 @@ def without_leaks(df: DataFrame, text_col: str, benchmark: DataFrame, item_col:
                 clean = np.ones(batch.num_rows, bool)
                 clean[[i for i, _ in batch_hits(shared.value, batch.column(place), threshold, overlap)]] = False
                 yield batch.filter(pa.array(clean))
+            give_back()
 
         df = df.mapInArrow(run, df.schema)
     return df

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.llm import shingles as S
-from trialframe.llm.common import table
+from trialframe.llm.common import give_back, table
 
 WORDS, BUCKETS = 3072, 1024
 CLASS = 64                             # words of a class; (WORDS + BUCKETS) / CLASS classes
@@ -52,8 +52,9 @@ def vocabulary(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
 
     rows = (texts.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "w").limit(WORDS).toPandas())
-    return rows.sort_values(["n", "w"], ascending=[False, True])["w"].to_numpy(np.int64).view(U)
+            .orderBy(F.desc("n"), "w").limit(WORDS).toArrow())
+    w, n = (rows[c].to_numpy().astype(np.int64) for c in ("w", "n"))
+    return w[np.lexsort((w, -n))].view(U)
 
 
 class Coder:
@@ -246,6 +247,7 @@ def score(df: DataFrame, id_col: str, text_col: str, vocab: np.ndarray, flat: np
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), pa.array(count.astype(np.int64)), pa.array(total),
                      pa.array(mean, mask=none)], [id_col, "n_words", "log_prob", "mean_log_prob"])
+        give_back()
 
     key = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, text_col).mapInArrow(

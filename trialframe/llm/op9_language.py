@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trialframe.llm.common import CHUNK, map_rows, table
+from trialframe.llm.common import CHUNK, give_back, map_rows, table
 
 UND = "und"
 PER_LABEL = 500           # training rows of each language
@@ -344,6 +344,8 @@ def recognised(df: DataFrame, text_col: str, model: Model | None, min_score: flo
                 part = batch.slice(lo, CHUNK)
                 got = predictor.predict(part.column(place).to_pylist())
                 yield part.filter(pa.array([lang != UND and score >= min_score for lang, score, _ in got], pa.bool_()))
+        del predictor
+        give_back()
 
     return df.mapInArrow(run, df.schema)
 

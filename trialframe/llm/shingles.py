@@ -17,7 +17,7 @@ import pyarrow as pa
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-PIECE_BYTES = 1_000_000        # bytes of text hashed in one go (more for a longer single text)
+PIECE_BYTES = 1 << 19        # bytes of text hashed in one go (more for a longer single text)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
