@@ -7,7 +7,7 @@ Sub-packages
   operators  relational building blocks, cohort, events, features, effects,
              matching, diagnostics, reports
   plans      mappings of concrete tables onto the concepts + registered queries
-  streaming  (intentionally empty; see its docstring)
+  llm        training-data operators over text, pages and vectors
 """
 
 __version__ = "0.1.0"
