@@ -220,6 +220,26 @@ def test_score_learns_order(spark):
     assert lm.score(none, "doc_id", "text", lm.vocabulary(none.select("text")), lm.fit(none.select("text"), vocab)).count() == 0
 
 
+def test_words_of_a_bucket_have_their_own_probability(spark):
+    names = [f"v{i}" for i in range(lm.WORDS)]
+    bucket = lambda x: int(shingles.words(*arrow(x), plain=True)[0][0] >> np.uint64(40)) % lm.BUCKETS
+    rare, other = next((f"r{i}", f"r{j}") for j in range(9999) for i in range(j) if bucket(f"r{i}") == bucket(f"r{j}"))
+    rows = [(0, " ".join(names * 5)), (1, f"v1 {rare} v2"), (2, f"v1 {other} v2"), (3, f"{other} {other}"), (4, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = lm.vocabulary(df.select("text"))
+    got = {r["doc_id"]: r for r in lm.score(df, "doc_id", "text", vocab, lm.Network().flat).collect()}
+    assert len(vocab) == lm.WORDS and len(got) == 5
+    assert got[2]["log_prob"] - got[1]["log_prob"] == pytest.approx(np.log(3), abs=1e-5)     # 3 of 4 against 1 of 4
+    share = {r["w"]: r["share"] for r in lm.shares(lm.word_counts(df.select("text")), vocab).collect()}
+    assert len(share) == 2 and sum(np.exp(x) for x in share.values()) == pytest.approx(1)
+    assert got[4]["log_prob"] == 0 and got[4]["mean_log_prob"] is None
+
+
+def arrow(text):
+    (_, _, data, offsets), = shingles.text_pieces(pa.array([text]))
+    return data, offsets
+
+
 # --- neighbours
 
 def test_neighbours_recall_and_cases(spark, monkeypatch):

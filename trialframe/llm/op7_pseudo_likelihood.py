@@ -2,11 +2,14 @@
 
 A network with a bidirectional window predicts every word of a text from the
 ``SIDE`` words on either side, the word itself masked; the sum of the
-conditional log-probabilities scores the text.  Words are ``WORDS`` frequent
-ones, counted by Spark over the whole corpus, and hash buckets for the others,
-so every word has a probability.  The hidden layer adds one vector per window
-place and word; the output is a two-step softmax, first a class of ``CLASS``
-words, then a word of the class.
+conditional log-probabilities scores the text.  The network knows ``WORDS``
+frequent words, counted by Spark over the whole corpus, and hash buckets for
+the others; a word of a bucket has the bucket's probability times the word's
+share of the bucket's occurrences, so every distinct word has its own
+probability.  The shares come from the table of all word counts, joined to the
+words of the texts; the table is never held whole.  The hidden layer adds one
+vector per window place and word; the output is a two-step softmax, first a
+class of ``CLASS`` words, then a word of the class.
 
 Training is numpy inside Spark tasks: in each of ``ROUNDS`` rounds every task
 trains a copy of the network on a share of the positions of all its texts
@@ -25,11 +28,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trialframe.llm import shingles as S
-from trialframe.llm.common import give_back, table
+from trialframe.llm.common import give_back, shared_table, table
 
 WORDS, BUCKETS = 3072, 1024
 CLASS = 64                             # words of a class; (WORDS + BUCKETS) / CLASS classes
@@ -43,20 +47,34 @@ MERGE = (64, 4)                        # partial averages of network copies, in
 U = np.uint64
 
 
-def vocabulary(texts: DataFrame) -> np.ndarray:
-    """Hashes of the most frequent words of the only column, in order of their counts over the whole corpus (ties by hash)."""
+def word_counts(texts: DataFrame) -> DataFrame:
+    """w, n: hash and count of every word of the only column, a written table."""
     def count(batches):
         for batch in batches:
             got = [S.words(data, offsets, plain=True)[0] for _, _, data, offsets in S.text_pieces(batch.column(0))]
             w, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, U), np.zeros(0, int))
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(n.astype(np.int64))], ["w", "n"])
 
-    rows = (texts.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n"))
-            .orderBy(F.desc("n"), "w").limit(WORDS).toArrow())
+    return shared_table(texts.mapInArrow(count, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "word-counts")
+
+
+def vocabulary(texts: DataFrame, counts: DataFrame | None = None) -> np.ndarray:
+    """Hashes of the most frequent words of the only column, in order of their counts over the whole corpus (ties by hash)."""
+    counts = word_counts(texts) if counts is None else counts
+    rows = counts.orderBy(F.desc("n"), "w").limit(WORDS).toArrow()
     w, n = (rows[c].to_numpy().astype(np.int64) for c in ("w", "n"))
     return w[np.lexsort((w, -n))].view(U)
 
 
+def shares(counts: DataFrame, vocab: np.ndarray) -> DataFrame:
+    """w, share: log of the part that every word beyond the vocabulary has of its bucket's occurrences."""
+    known = counts.sparkSession.createDataFrame([(int(x),) for x in vocab.view(np.int64)], "w long")       # at most WORDS rows
+    rare = (counts.join(F.broadcast(known), "w", "left_anti")
+            .withColumn("bucket", F.shiftrightunsigned("w", 40) % BUCKETS))
+    total = rare.groupBy("bucket").agg(F.sum("n").alias("total"))                                        # at most BUCKETS rows
+    return rare.join(F.broadcast(total), "bucket").select("w", F.log(F.col("n") / F.col("total")).alias("share"))
+
+
 class Coder:
     """Word numbers: rank by frequency, or a hash bucket after the frequent words."""
 
@@ -224,13 +242,14 @@ def fit(texts: DataFrame, vocab: np.ndarray, rounds: int = ROUNDS) -> np.ndarray
     return flat
 
 
-def score(df: DataFrame, id_col: str, text_col: str, vocab: np.ndarray, flat: np.ndarray) -> DataFrame:
-    """``id_col, n_words, log_prob, mean_log_prob`` for every row."""
+def score(df: DataFrame, id_col: str, text_col: str, vocab: np.ndarray, flat: np.ndarray,
+          counts: DataFrame | None = None) -> DataFrame:
+    """``id_col, n_words, log_prob, mean_log_prob`` for every row; ``counts`` (``word_counts``) cover the words of ``df``."""
     sc = df.sparkSession.sparkContext
     coder, params = sc.broadcast(Coder(vocab)), sc.broadcast(flat)
 
     def run(batches):
-        net = Network(params.value)
+        net, row = Network(params.value), TaskContext.get().partitionId() << 33
         for batch in batches:
             for lo, hi, data, offsets in S.text_pieces(batch.column(1)):
                 w, count = S.words(data, offsets, plain=True)
@@ -241,20 +260,30 @@ def score(df: DataFrame, id_col: str, text_col: str, vocab: np.ndarray, flat: np
                     lp[at:at + (1 << 15)] = net.log_prob(around[:, at:at + (1 << 15)], ids[at:at + (1 << 15)])
                 cut = np.concatenate([[0], np.cumsum(count)])
                 total = np.concatenate([[0.0], np.cumsum(lp)])
-                total = total[cut[1:]] - total[cut[:-1]]
-                none = count == 0
-                mean = np.where(none, 0, total / np.maximum(count, 1))
+                other = ids >= WORDS
+                rare = np.concatenate([[0], np.cumsum(other)])[cut]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(count.astype(np.int64)), pa.array(total),
-                     pa.array(mean, mask=none)], [id_col, "n_words", "log_prob", "mean_log_prob"])
+                    [pa.array(np.arange(row, row + hi - lo)), batch.column(0).slice(lo, hi - lo),
+                     pa.array(count.astype(np.int64)), pa.array(total[cut[1:]] - total[cut[:-1]]),
+                     pa.ListArray.from_arrays(pa.array(rare.astype(np.int32)), pa.array(w[other].view(np.int64)))],
+                    ["row", "key", "n_words", "net", "rare"])
+                row += hi - lo
         give_back()
 
     key = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {key}, n_words long, log_prob double, mean_log_prob double")
+    scored = shared_table(df.select(id_col, text_col).mapInArrow(
+        run, f"row long, key {key}, n_words long, net double, rare array<long>"), "word-scores")
+    share = shares(word_counts(df.select(text_col)) if counts is None else counts, vocab)
+    within = (scored.select("row", F.explode("rare").alias("w")).join(share, "w", "left")
+              .groupBy("row").agg(F.sum("share").alias("within")))
+    total = F.col("net") + F.coalesce("within", F.lit(0.0))
+    return scored.drop("rare").join(within, "row", "left").select(
+        F.col("key").alias(id_col), "n_words", total.alias("log_prob"),
+        F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_prob"))
 
 
 def op7_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    vocab = vocabulary(docs.select("text"))
-    return score(docs, "doc_id", "text", vocab, fit(docs.select("text"), vocab))
+    counts = word_counts(docs.select("text"))
+    vocab = vocabulary(docs.select("text"), counts)
+    return score(docs, "doc_id", "text", vocab, fit(docs.select("text"), vocab), counts)
