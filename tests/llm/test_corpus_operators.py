@@ -235,6 +235,36 @@ def test_words_of_a_bucket_have_their_own_probability(spark):
     assert got[4]["log_prob"] == 0 and got[4]["mean_log_prob"] is None
 
 
+def test_rounds_train_on_every_position(spark, monkeypatch):
+    count = np.array([3, 0, 1, 7, 2])
+    for rounds in (1, 2, 3):
+        assert sorted(np.concatenate([lm.share(count, r, rounds) for r in range(rounds)]).tolist()) == list(range(13))
+    df = spark.createDataFrame([(i, "one two three four five six seven"[:n]) for i, n in enumerate([3, 7, 13, 33, 33])],
+                               "doc_id long, text string")
+    words = sum(len(r["text"].split()) for r in df.collect())
+    trained = spark.sparkContext.accumulator(0)
+    train = lm.Network.train
+    batches = []
+
+    def counted(self, around, target, seen):
+        batches.append(len(target))
+        train(self, around, target, seen)
+
+    monkeypatch.setattr(lm.Network, "train", counted)
+
+    class Here:                          # the tasks of fit run in this process
+        def __init__(self, df):
+            self.df, self.sparkSession = df, df.sparkSession
+
+        def mapInArrow(self, run, schema):
+            out = list(run(self.df.toArrow().to_batches()))
+            trained.add(sum(b.column(0)[0].as_py() for b in out))
+            return self.df.sparkSession.createDataFrame([(b.column(0)[0].as_py(), b.column(1)[0].as_py()) for b in out], schema)
+
+    lm.fit(Here(df.select("text")), lm.vocabulary(df.select("text")))
+    assert trained.value == sum(batches) == words
+
+
 def arrow(text):
     (_, _, data, offsets), = shingles.text_pieces(pa.array([text]))
     return data, offsets

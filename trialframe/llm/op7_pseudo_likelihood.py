@@ -13,8 +13,9 @@ class of ``CLASS`` words, then a word of the class.
 
 Training is numpy inside Spark tasks: in each of ``ROUNDS`` rounds every task
 trains a copy of the network on a share of the positions of all its texts
-(every ``STRIDE``-th, another share each round), and Spark averages the
-copies, weighted by positions.  What is gathered, word counts and one copy a
+(every ``ROUNDS``-th of each text, another share each round, so that the
+rounds together train on every position), and Spark averages the copies,
+weighted by positions.  What is gathered, word counts and one copy a
 task, grows with the corpus; what reaches the driver are four averages.
 
 Defined cases: a null, empty or wordless text has no words, log-probability 0
@@ -40,7 +41,6 @@ CLASS = 64                             # words of a class; (WORDS + BUCKETS) / C
 SIDE = 2                               # words on either side
 HIDDEN = 32
 ROUNDS = 2
-STRIDE = 16                            # a round trains on every STRIDE-th position
 BATCH = 2048
 RATE = 0.1
 MERGE = (64, 4)                        # partial averages of network copies, in two steps
@@ -146,20 +146,24 @@ class Network:
         back = g @ self.klass.T
         step(self.klass, seen.klass, h.T @ g / n)
         step(self.klass_bias, seen.klass_bias, g.mean(0))
-        for c in np.unique(klass):
-            rows = np.flatnonzero(klass == c)
-            q = softmax(h[rows] @ self.word[c] + self.word_bias[c])
-            q[np.arange(len(rows)), inside[rows]] -= 1
-            back[rows] += q @ self.word[c].T
-            step(self.word[c], seen.word[c], h[rows].T @ q / n)
+        order = np.argsort(klass.astype(np.int16), kind="stable")
+        cut = np.searchsorted(klass[order], np.arange(len(self.klass_bias) + 1))
+        sorted_h, sorted_inside, more = h[order], inside[order], np.empty_like(h)
+        for c in np.flatnonzero(np.diff(cut)):
+            lo, hi = cut[c], cut[c + 1]
+            q = softmax(sorted_h[lo:hi] @ self.word[c] + self.word_bias[c])
+            q[np.arange(hi - lo), sorted_inside[lo:hi]] -= 1
+            more[lo:hi] = q @ self.word[c].T
+            step(self.word[c], seen.word[c], sorted_h[lo:hi].T @ q / n)
             step(self.word_bias[c], seen.word_bias[c], q.sum(0) / n)
+        back[order] += more
         back *= (1 - h * h) / n
         step(self.bias, seen.bias, back.sum(0))
         for o in range(2 * SIDE):
-            used, inverse = np.unique(around[o], return_inverse=True)
-            order = np.argsort(inverse, kind="stable")
-            first = np.searchsorted(inverse[order], np.arange(len(used)))
-            grad = np.add.reduceat(back[order], first, axis=0)
+            order = np.argsort(around[o].astype(np.int16), kind="stable")       # numbers stay below 2^15
+            ids = around[o][order]
+            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+            used, grad = ids[first], np.add.reduceat(back[order], first, axis=0)
             acc = seen.inner[o][used] + grad * grad
             seen.inner[o][used] = acc
             self.inner[o][used] -= RATE * grad / np.sqrt(acc + 1e-8)
@@ -186,6 +190,12 @@ def pick(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     return got - np.log(x.sum(1))
 
 
+def share(count: np.ndarray, r: int, rounds: int) -> np.ndarray:
+    """Positions of round ``r`` in texts of ``count`` words laid end to end: within a text, every ``rounds``-th."""
+    begin = np.cumsum(count) - count
+    return np.flatnonzero((np.arange(count.sum()) - np.repeat(begin, count)) % rounds == r)
+
+
 def fit(texts: DataFrame, vocab: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Parameters after ``rounds`` rounds of training on the only column in all tasks, and averaging."""
     sc = texts.sparkSession.sparkContext
@@ -212,7 +222,7 @@ def fit(texts: DataFrame, vocab: np.ndarray, rounds: int = ROUNDS) -> np.ndarray
                     if not len(w):
                         continue
                     ids = coder.value(w)
-                    mine = np.arange((r * STRIDE) // rounds, len(ids), STRIDE)
+                    mine = share(count, r, rounds)
                     around.append(windows(ids, count)[:, mine])
                     target.append(ids[mine])
                     n += len(mine)
