@@ -56,6 +56,7 @@ class GridConfig:
     n_folds: int = 5
     fold_seed: int = 0
     n_boot: int = 20
+    n_iter: int = 10           # draws of the hyper-parameter search of each nuisance; 0: the defaults
     cohort_name: str = "events_view_purchase"
     extra: dict = field(default_factory=dict)
 
@@ -91,7 +92,16 @@ def analysis_frame(spark: SparkSession, sf_dir: str, aggs: Sequence[str], subset
 METHODS = ("ipw", "psm", "t_learner", "dr", "dml", "causal_forest")
 
 
-def point(frame: DataFrame, method: str, model: str, n_folds: int = 5, weight_col: str | None = None) -> tuple:
+def search(frame: DataFrame, model: str, n_iter: int, id_col: str = "stay_id") -> dict:
+    """Hyper-parameters of the treatment (``t_params``) and the outcome model (``y_params``), searched on all units."""
+    if not n_iter:
+        return {}
+    return dict(t_params=NU.hyper_search(frame, model, "classifier", "a", n_iter, id_col=id_col)[0],
+                y_params=NU.hyper_search(frame, model, "regressor", "y", n_iter, id_col=id_col)[0])
+
+
+def point(frame: DataFrame, method: str, model: str, n_folds: int = 5, weight_col: str | None = None,
+          t_params: dict | None = None, y_params: dict | None = None) -> tuple:
     """(ATE, normalised total variation of the propensity or None) of one estimator.
 
     With ``weight_col`` every nuisance is fitted, and the estimate taken, on
@@ -102,7 +112,7 @@ def point(frame: DataFrame, method: str, model: str, n_folds: int = 5, weight_co
     mean = lambda x: F.sum(w * x) / F.sum(w)
     take = lambda df, x: df.groupBy().agg(x.alias("ATE")).first()["ATE"]
     if method in ("ipw", "psm"):
-        scored = NU.fit_predict(model, "classifier", frame, frame, "a", "e", weight_col=weight_col)
+        scored = NU.fit_predict(model, "classifier", frame, frame, "a", "e", t_params, weight_col)
         if method == "psm":
             ate = MT.psm_ate(scored, "e", weight_col=weight_col).first()["ATE"]
         else:
@@ -111,12 +121,14 @@ def point(frame: DataFrame, method: str, model: str, n_folds: int = 5, weight_co
             ate = take(scored, F.sum(t * y) / F.sum(t) - F.sum(c * y) / F.sum(c))
     elif method == "t_learner":
         scored = None
-        ate = take(NU.t_learner(frame, model, weight_col=weight_col), mean(F.col("m1") - F.col("m0")))
+        ate = take(NU.t_learner(frame, model, params=y_params, weight_col=weight_col), mean(F.col("m1") - F.col("m0")))
     elif method == "dr":
-        scored = NU.dr_nuisances(frame, k=n_folds, t_kind=model, y_kind=model, weight_col=weight_col)
+        scored = NU.dr_nuisances(frame, k=n_folds, t_kind=model, y_kind=model, t_params=t_params, y_params=y_params,
+                                 weight_col=weight_col)
         ate = take(scored, mean(K.aipw_pseudo()))
     elif method == "dml":
-        scored = NU.dml_nuisances(frame, k=n_folds, t_kind=model, y_kind=model, weight_col=weight_col)
+        scored = NU.dml_nuisances(frame, k=n_folds, t_kind=model, y_kind=model, t_params=t_params, y_params=y_params,
+                                  weight_col=weight_col)
         ar = a - F.col("e")
         ate = take(scored, F.sum(w * ar * (y - F.col("m"))) / F.sum(w * ar * ar))
     else:
@@ -126,7 +138,8 @@ def point(frame: DataFrame, method: str, model: str, n_folds: int = 5, weight_co
 
 
 def refit_interval(frame: DataFrame, method: str, model: str, n_boot: int, n_folds: int = 5, seed: int = 1,
-                   id_col: str = "stay_id", alpha: float = 0.05, parallelism: int = 4) -> tuple[float, float]:
+                   id_col: str = "stay_id", alpha: float = 0.05, parallelism: int = 4,
+                   params: dict | None = None) -> tuple[float, float]:
     """Percentile interval of the same estimator over ``n_boot`` Poisson-weighted refits.
 
     A weight is a function of the unit's id and the replicate; every replicate
@@ -134,7 +147,7 @@ def refit_interval(frame: DataFrame, method: str, model: str, n_boot: int, n_fol
     reaches the driver."""
     def one(b):
         rep = frame.withColumn("_w", poisson1(uniform(F.col(id_col), F.lit(seed), F.lit(b)))).filter("_w > 0")
-        return point(rep, method, model, n_folds, "_w")[0]
+        return point(rep, method, model, n_folds, "_w", **(params or {}))[0]
 
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         ates = [x for x in pool.map(one, range(n_boot)) if x is not None]
@@ -142,23 +155,25 @@ def refit_interval(frame: DataFrame, method: str, model: str, n_boot: int, n_fol
 
 
 def estimate(frame: DataFrame, method: str, model: str, n_folds: int = 5, n_boot: int = 20,
-             feats: Sequence[str] = ()) -> dict:
+             feats: Sequence[str] = (), params: dict | None = None) -> dict:
     """One grid point -> ATE, interval of the same estimator (refitting bootstrap), nTV of a fitted propensity."""
     if method == "causal_forest":
-        nu = NU.dml_nuisances(frame, k=n_folds, t_kind=model, y_kind=model)
+        nu = NU.dml_nuisances(frame, k=n_folds, t_kind=model, y_kind=model, **(params or {}))
         res = nu.select("stay_id", *feats, (F.col("a") - F.col("e")).alias("_ar"),
                         (F.col("y") - F.col("m")).alias("_yr"))
         _, ate = NU.causal_forest(res, feats, id_col="stay_id")
         r = ate.first()
         return dict(ATE=r["ATE"], lo=r["ATE_lower"], hi=r["ATE_upper"], ntv=None)
-    ate, ntv = point(frame, method, model, n_folds)
-    lo, hi = refit_interval(frame, method, model, n_boot, n_folds) if n_boot else (None, None)
+    ate, ntv = point(frame, method, model, n_folds, **(params or {}))
+    lo, hi = refit_interval(frame, method, model, n_boot, n_folds, params=params) if n_boot else (None, None)
     return dict(ATE=ate, lo=lo, hi=hi, ntv=ntv)
 
 
 def vibration_grid(spark: SparkSession, sf_dir: str, cfg: GridConfig) -> DataFrame:
     """One Estimate row per (aggregation, method, model, feature subset),
-    plus the unadjusted difference in means once per aggregation/subset."""
+    plus the unadjusted difference in means once per aggregation/subset.  The
+    hyper-parameters of both nuisances are searched before the estimates, once
+    per feature matrix and model; the replicates refit with them."""
     rows = []
     for aggs, subset in itertools.product(cfg.aggregations, cfg.feature_subsets):
         frame, feats = analysis_frame(spark, sf_dir, aggs, subset, cfg.outcome, cfg.n_folds, cfg.fold_seed)
@@ -167,9 +182,10 @@ def vibration_grid(spark: SparkSession, sf_dir: str, cfg: GridConfig) -> DataFra
         dm = K.diff_means(frame).first()
         rows.append((dm["ATE"], dm["ATE_lower"], dm["ATE_upper"], None, agg_name, "Difference in mean", "", "",
                      subset, cfg.cohort_name, cfg.outcome, time.time() - t0))
+        params = {model: search(frame, model, cfg.n_iter) for model in cfg.models}
         for method, model in itertools.product(cfg.methods, cfg.models):
             t0 = time.time()
-            r = estimate(frame, method, model, cfg.n_folds, cfg.n_boot, feats)
+            r = estimate(frame, method, model, cfg.n_folds, cfg.n_boot, feats, params[model])
             rows.append((r["ATE"], r["lo"], r["hi"], r["ntv"], agg_name, method, model, model, subset,
                          cfg.cohort_name, cfg.outcome, time.time() - t0))
     return spark.createDataFrame(rows, ESTIMATE_SCHEMA)
