@@ -242,3 +242,14 @@ def test_secret_ownership(spark):
     assert sec.digest(sec.find_secrets(df.limit(0), "doc_id", "text", "source", "doc_id"), "doc_id").count() == 0
     clean = {r["doc_id"]: r["text"] for r in sec.masked(df, "text", "source", "doc_id").collect()}
     assert clean[0] == "[SECRET]'" and shared in clean[1] and clean[4] is None and clean[6] == "[SECRET]" and len(clean) == 8
+
+
+def test_many_repositories_of_one_owner_are_an_example(spark):
+    copied, live = "5e884898da28047151d0e56f8dc62927", "9f86d081884c7d659a2feaa0c55ad015"
+    rows = [(i, f"token: {copied}", "a") for i in range(sec.EXAMPLE_REPOS)]
+    rows += [(100, f"x {live}", "a"), (100, f"x {live}", "a"), *((100, f"x {live}", "a") for _ in range(sec.EXAMPLE_REPOS))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = sec.find_secrets(df, "doc_id", "text", "source", "doc_id").collect()
+    assert all((len(r["live"]), len(r["example"])) == ((1, 0) if r["doc_id"] == 100 else (0, 1)) for r in got)
+    clean = sec.masked(df, "text", "source", "doc_id").collect()
+    assert all((copied in r["text"]) == (r["doc_id"] < 100) for r in clean) and len(clean) == len(rows)

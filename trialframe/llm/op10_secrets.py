@@ -3,8 +3,8 @@
 Three base patterns and a broader search for random-looking tokens give
 candidate values.  Every value is hashed, and Spark counts over the whole
 corpus in how many repositories and under how many owners each hash occurs.
-A value with several owners is a widely copied example; a value of one owner
-that looks random is a live-looking credential and adds a ``live`` span.  Base
+A value with several owners, or in many repositories, is a widely copied
+example; a value of few owners and repositories that looks random is a live-looking credential and adds a ``live`` span.  Base
 spans stay in any case.
 
 Ownership: an owner is a value of ``owner_col`` (the query: ``source``; null
@@ -41,6 +41,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 # Candidates beyond them: runs of token characters with a digit, of 20 or more.
 LOOSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 EXAMPLE_OWNERS = 3        # as many owners make a value a widely copied example
+EXAMPLE_REPOS = 10        # or as many repositories, whoever owns them
 MIN_ENTROPY = 3.0         # bits a character of a random-looking value
 MIN_LIVE = 16             # characters of a live-looking value
 
@@ -115,12 +116,12 @@ def ownership(scanned: DataFrame) -> DataFrame:
     return per_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
-def judge(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+def judge(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """``row, base, live, example`` of scanned rows (a written table): base spans, live-looking spans and the spans
     of widely copied examples, as arrays of (kind, start, end)."""
     cand = scanned.select("row_id", F.explode("cands").alias("c")).select("row_id", "c.hash", "c.start", "c.end")
     span = lambda kind: F.struct(F.lit(kind).alias("kind"), "start", "end")
-    shared = F.col("n_owners") >= example_owners
+    shared = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
     judged = (cand.join(ownership(scanned), "hash").groupBy("row_id")
               .agg(F.collect_list(F.when(~shared, span("live"))).alias("live"),
                    F.collect_list(F.when(shared, span("example"))).alias("example")))
@@ -131,14 +132,14 @@ def judge(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame
 
 
 def find_secrets(df: DataFrame, id_col: str, text_col: str, owner_col: str, repo_col: str,
-                 example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+                 example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """``id_col, base, live, example`` for every row (see ``judge``)."""
     scanned = shared_table(scan(df, [id_col], text_col, owner_col, repo_col), "secrets")
-    return judge(scanned, example_owners).select("row.*", "base", "live", "example")
+    return judge(scanned, example_owners, example_repos).select("row.*", "base", "live", "example")
 
 
 def masked(df: DataFrame, text_col: str, owner_col: str, repo_col: str, length_col: str | None = None,
-           example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+           example_owners: int = EXAMPLE_OWNERS, example_repos: int = EXAMPLE_REPOS) -> DataFrame:
     """All rows; in the texts every secret, but for widely copied examples, is replaced by a mark, and
     ``length_col`` follows the new length."""
     hits = shared_table(scan(df, df.columns, text_col, owner_col, repo_col, hits_only=True), "secret-rows")
@@ -164,7 +165,7 @@ def masked(df: DataFrame, text_col: str, owner_col: str, repo_col: str, length_c
                 yield part.filter(pa.array([not has_secret(t or "") for t in part.column(place).to_pylist()], pa.bool_()))
         give_back()
 
-    return df.mapInArrow(clean, df.schema).unionByName(map_rows(judge(hits, example_owners), make, df.schema))
+    return df.mapInArrow(clean, df.schema).unionByName(map_rows(judge(hits, example_owners, example_repos), make, df.schema))
 
 
 def has_secret(text: str) -> bool:
