@@ -345,6 +345,14 @@ def test_language_held_out_and_cases(spark):
     assert none is None and {r["lang_pred"] for r in lang.identify(df, "doc_id", "text", none).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    names = [f"l{i:03d}" for i in range(100)]
+    rows = [(3 * i + j, f"text {k}", k) for i, k in enumerate(names) for j in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    free = {k for i, _, k in rows if zlib.crc32(str(i).encode()) % 3 != 1}
+    assert len(free) > 64 and {k for _, k in lang.training_rows(df, "doc_id", "text", "lang")} == free
+
+
 def test_words_of_switched_text():
     rng = random.Random(1)
     de = ["eins", "zwei", "drei", "vier", "und", "der", "schön", "gegen"]

@@ -8,7 +8,7 @@ gives each word its probabilities; a text's language is the largest mean
 probability over its words.
 
 Training reads text and language of a bounded sample of the training rows:
-``PER_LABEL`` rows of each language in hash order, ``MAX_LABELS`` languages.
+``PER_LABEL`` rows of each language in hash order, all languages.
 Held-out rows (CRC-32 of the id's text modulo 3 is 1) are never among them.
 Prediction reads only the text, whole texts of all rows.
 
@@ -33,13 +33,13 @@ from trialframe.llm.common import CHUNK, give_back, map_rows, table
 
 UND = "und"
 PER_LABEL = 500           # training rows of each language
-MAX_LABELS = 64
 SNIPPET = (4, 40)         # words of one language in a row in training sequences
 TRAIN_WORDS = 150_000     # words taken from each language's sample
 LEXICON = 2000            # words of each language's lexicon
 BITS = 17                 # feature space
 BLOCK = 64                # positions that the scans treat in one step
 BATCH = 32_768            # words of a training step
+PAIRS = 1 << 23           # label pairs of positions held at a time in training
 EPOCHS = 3
 WORD = re.compile(r"[^\W\d_]+")
 MEMORY = 100_000          # words a task remembers
@@ -169,9 +169,15 @@ def lexicons(by_label: list[list[str]]) -> dict[str, list[int]]:
     """word -> languages in whose lexicon it is: the words most frequent there against elsewhere."""
     counts = [Counter(x) for x in by_label]
     total = [max(1, len(x)) for x in by_label]
+    top: dict[str, tuple[float, int, float]] = {}        # highest rate, its language, next highest rate
+    for i, c in enumerate(counts):
+        for w, n in c.items():
+            first, at, second = top.get(w, (0.0, -1, 0.0))
+            rate = n / total[i]
+            top[w] = (rate, i, first) if rate > first else (first, at, max(second, rate))
     out: dict[str, list[int]] = {}
     for i, c in enumerate(counts):
-        rate = lambda w: max((counts[j][w] / total[j] for j in range(len(counts)) if j != i), default=0.0)
+        rate = lambda w: top[w][2] if top[w][1] == i else top[w][0]
         gain = {w: n / total[i] * np.log((n / total[i] + 1e-6) / (rate(w) + 1e-6)) for w, n in c.items() if n > 1}
         for w in sorted((w for w in gain if gain[w] > 0), key=lambda w: (-gain[w], w))[:LEXICON]:
             out.setdefault(w, []).append(i)
@@ -234,8 +240,11 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
             p /= p.sum(1, keepdims=True)
             truth = np.eye(m)[tag]
             inner = np.flatnonzero(~new)
-            pair = alpha[inner - 1][:, :, None] * trans * (e[inner] * beta[inner])[:, None, :]
-            pair /= pair.sum((1, 2), keepdims=True)
+            pairs = np.zeros((m, m))
+            for at in range(0, len(inner), max(1, PAIRS // (m * m))):
+                some = inner[at:at + max(1, PAIRS // (m * m))]
+                pair = alpha[some - 1][:, :, None] * trans * (e[some] * beta[some])[:, None, :]
+                pairs += (pair / pair.sum((1, 2), keepdims=True)).sum(0)
             seen = np.zeros((m, m))
             np.add.at(seen, (tag[inner - 1], tag[inner]), 1)
             grad = np.empty(model.w.shape)
@@ -244,7 +253,7 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
                 grad[:, i] = np.bincount(flat, np.repeat(per_type, size), len(grad))
             grad = grad / len(part) + 1e-6 * model.w
             for g, acc, param in ((grad, gw, model.w),
-                                  ((pair.sum(0) - seen) / len(part) + 1e-4 * model.trans, gt, model.trans),
+                                  ((pairs - seen) / len(part) + 1e-4 * model.trans, gt, model.trans),
                                   ((p - truth)[new].sum(0) / len(part) + 1e-4 * model.start, gs, model.start)):
                 acc += g * g * (1e4 if param is model.w else 1.0)
                 param -= (0.5 * g * (1e2 if param is model.w else 1.0) / np.sqrt(acc)).astype(param.dtype)
@@ -252,11 +261,11 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
 
 
 def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """The bounded sample: ``PER_LABEL`` rows in hash order of each of the ``MAX_LABELS`` most frequent languages."""
+    """The bounded sample: ``PER_LABEL`` rows in hash order of each language."""
     known = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     top = {r["lang"]: r["count"] for r in
-           known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LABELS).collect()}
+           known.groupBy("lang").count().collect()}
     if not top:
         return []
     # Rows are chosen by id first; only the chosen texts travel.  A share by hash that holds about four
@@ -317,7 +326,7 @@ class Predictor:
 
 def identify(df: DataFrame, id_col: str, text_col: str, model: Model | None) -> DataFrame:
     """``id_col, lang_pred, score, n_words`` for every row."""
-    shared = df.sparkSession.sparkContext.broadcast(model)      # 2^BITS x MAX_LABELS weights at most
+    shared = df.sparkSession.sparkContext.broadcast(model)      # 2^BITS weights a language
 
     def make():
         predictor = Predictor(shared.value)
