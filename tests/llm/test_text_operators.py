@@ -253,3 +253,11 @@ def test_many_repositories_of_one_owner_are_an_example(spark):
     assert all((len(r["live"]), len(r["example"])) == ((1, 0) if r["doc_id"] == 100 else (0, 1)) for r in got)
     clean = sec.masked(df, "text", "source", "doc_id").collect()
     assert all((copied in r["text"]) == (r["doc_id"] < 100) for r in clean) and len(clean) == len(rows)
+
+
+def test_query_checks_whole_texts(monkeypatch):
+    asked = {}
+    monkeypatch.setattr(sp, "encode_texts", lambda *a, **kw: asked.update(kw))
+    monkeypatch.setattr(sp, "table", lambda *a: None)
+    sp.op1_sentencepiece(None, "")
+    assert asked["check"] == "texts"

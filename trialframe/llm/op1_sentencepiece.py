@@ -240,4 +240,4 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, model: str, *, with_
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", default_model())
+    return encode_texts(table(spark, sf_dir, "documents"), "doc_id", "text", default_model(), check="texts")
