@@ -13,8 +13,3 @@ def spark():
     from trialframe.session import checkpoint_dir
     checkpoint_dir(s)          # the session's shared folder, or a scratch one when unset
     yield s
-
-
-def ts(s):
-    import datetime as dt
-    return dt.datetime.fromisoformat(s)

@@ -5,7 +5,7 @@ from collections import OrderedDict
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ts
+from timestamps import ts
 from trialframe.operators import cohort as C
 from trialframe.operators import relational as R
 

@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ts
+from timestamps import ts
 from trialframe.operators import features as FE
 
 

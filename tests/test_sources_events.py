@@ -6,7 +6,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import ts
+from timestamps import ts
 from trialframe.functions.time import floor_days_between, hour_grid, seconds_between
 from trialframe.operators import events as EV
 from trialframe.session import checkpoint_dir

@@ -299,27 +299,25 @@ PERIOD_CODES = ["view", "click"]
 PERIODS = FE.PERIOD_SETS["all"]
 
 
+PERIOD_SQL = {"min": "min({v})", "max": "max({v})", "mean": "avg({v})", "std": "stddev_samp({v})",
+              "count": "nullif(count({v}), 0)"}
+
+
 def _period_sql():
-    tsec = lambda a, b: f"CAST(trunc((epoch_us({a}) - epoch_us({b})) / 1000000.0) AS BIGINT)"
+    """First p %: 100 (t - start) <= p (end - start); last p %: 100 (end - t) <= p (end - start); whole seconds."""
     cols = []
     for code in PERIOD_CODES:
         for p in PERIODS:
-            span = f"CAST(trunc(d * {p} / 100.0) AS BIGINT)"
-            if p >= 0:
-                cond = f"since >= -1e-6 AND since <= {span} + 1e-6"
-            else:
-                cond = f"since >= (d + {span}) - 1e-6 AND to_end <= 1e-6 + d"
-            f = f"FILTER (WHERE code = '{code}' AND {cond})"
-            cols += [f"round(min(value) {f}, 6) AS \"min_code_{code}__p{p}\"", f"round(max(value) {f}, 6) AS \"max_code_{code}__p{p}\"",
-                     f"round(avg(value) {f}, 6) AS \"mean_code_{code}__p{p}\"",
-                     f"round(stddev_samp(value) {f}, 6) AS \"std_code_{code}__p{p}\"",
-                     f"nullif(count(value) {f}, 0) AS \"count_code_{code}__p{p}\""]
+            side = "elapsed" if p > 0 else "remaining"
+            v = f"CASE WHEN code = '{code}' AND 100 * {side} <= {abs(p)} * (elapsed + remaining) THEN value END"
+            cols += [f'round({x.format(v=v)}, 6) AS "{a}_code_{code}__p{p}"' if a != "count"
+                     else f'{x.format(v=v)} AS "{a}_code_{code}__p{p}"' for a, x in PERIOD_SQL.items()]
     codes = ", ".join(f"'{c}'" for c in PERIOD_CODES)
-    return f"""b AS (SELECT stay_id, min(starttime) AS s0, max(starttime) AS s1 FROM obs WHERE code IN ({codes}) GROUP BY stay_id),
-j AS (SELECT o.stay_id, o.code, o.value, {tsec('b.s1', 'b.s0')} AS d, {tsec('o.starttime', 'b.s0')} AS since,
-             {tsec('o.starttime', 'b.s1')} AS to_end
-      FROM obs o JOIN b USING (stay_id) WHERE o.code IN ({codes}))
-SELECT stay_id, {", ".join(cols)} FROM j GROUP BY stay_id"""
+    return f"""mine AS (SELECT *, min(starttime) OVER w AS t0, max(starttime) OVER w AS t1
+  FROM obs WHERE code IN ({codes}) WINDOW w AS (PARTITION BY stay_id)),
+placed AS (SELECT stay_id, code, value, epoch_us(starttime - t0) // 1000000 AS elapsed,
+  epoch_us(t1 - t0) // 1000000 - epoch_us(starttime - t0) // 1000000 AS remaining FROM mine)
+SELECT stay_id, {", ".join(cols)} FROM placed GROUP BY stay_id"""
 
 
 @register("relative_period_agg", f"WITH {OBS_EVENTS_SQL}, {_period_sql()}")
