@@ -61,7 +61,18 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
             spark.conf.unset(SHUFFLE_CLEANUP)
         else:
             spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of ``shared_table`` that nothing will read again; with Spark Connect it stays."""
+    jvm = getattr(df.sparkSession, "_jvm", None)
+    path = getattr(df, "_shared_path", None)
+    if jvm is not None and path:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def map_rows(df: DataFrame, make: Callable[[], Callable[[list], Iterable[tuple]]],
