@@ -419,16 +419,17 @@ def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_sql() -> str:
-    return f"""WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-starts AS (SELECT rid, h, unnest(range(0, length(h) // 2 - {LENGTH - 1})) AS s FROM texts),
-hashed AS (SELECT rid, s, md5(substr(h, 2 * s + 1, {2 * LENGTH})) AS m FROM starts),
+    return f"""WITH texts AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS raw, octet_length(raw) AS len
+  FROM documents),
+hashed AS (SELECT rid, unnest(range(0, len - {LENGTH - 1})) AS s,
+  unnest(list_transform(range(0, len - {LENGTH - 1}), lambda i: md5(raw[i + 1:i + {LENGTH}]))) AS m FROM texts),
 hits AS (SELECT rid, s FROM hashed WHERE m IN (SELECT m FROM hashed GROUP BY m HAVING count(*) > 1)),
 marked AS (SELECT rid, s, coalesce(s - lag(s) OVER (PARTITION BY rid ORDER BY s) > {LENGTH}, true) AS fresh FROM hits),
 numbered AS (SELECT rid, s, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY s) AS span FROM marked),
 spans AS (SELECT rid, span, min(s) AS a, max(s) + {LENGTH} AS b FROM numbered GROUP BY rid, span),
 cuts AS (SELECT rid, list([a, b] ORDER BY a) AS cut, count(*) AS n, sum(b - a) AS gone FROM spans GROUP BY rid),
-kept AS (SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(gone, 0) AS gone, coalesce(n, 0) AS n, h,
-  list_concat([0], flatten(coalesce(cut, [])), [length(h) // 2]) AS edge FROM texts LEFT JOIN cuts USING (rid))
+kept AS (SELECT doc_id, len AS n_bytes, coalesce(gone, 0) AS gone, coalesce(n, 0) AS n, hex(raw) AS h,
+  list_concat([0], flatten(coalesce(cut, [])), [len]) AS edge FROM texts LEFT JOIN cuts USING (rid))
 SELECT doc_id, n_bytes, CAST(gone AS BIGINT) AS n_removed, n AS n_spans, sha256(unhex(array_to_string(list_transform(
   range(0, n + 1), lambda i: substr(h, 2 * edge[2 * i + 1] + 1, 2 * (edge[2 * i + 2] - edge[2 * i + 1]))), ''))) AS kept_sha256
 FROM kept"""
