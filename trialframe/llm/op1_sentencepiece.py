@@ -4,8 +4,9 @@ Encoding keeps an agenda (a heap) of adjacent symbol pairs ordered by piece
 score, then position, and merges the best pair until none is a piece.  A text
 falls apart where no piece of the vocabulary crosses (see ``cutter``); each
 segment is merged on its own, and short segments are remembered per
-worker process.  In every Arrow batch the segments that were merged, and their
-decoding, are held against the sentencepiece library, and a difference raises.
+worker process.  Every Arrow batch is held against the sentencepiece library,
+and a difference raises: by default the segments that were merged, with
+``check="texts"`` (the query) all whole texts, encoded and decoded.
 
 Defined cases: null text counts as empty; an empty text has the end id only
 and decodes to "".  Any length is processed whole; repeated rows give repeated
@@ -17,7 +18,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from collections import ChainMap
+from collections.abc import Sequence
 from functools import lru_cache
 from itertools import chain
 from operator import add
@@ -28,7 +29,7 @@ from trialframe.llm.common import map_rows, sha_hex, table
 
 MARK = "▁"
 CACHE_CHARS = 48          # segments up to this length are remembered
-CACHE_ENTRIES = 300_000   # then the memory of a worker starts anew (some 70 MB)
+CACHE_ENTRIES = 300_000   # then the segments not met since the last time go (some 140 MB a worker)
 SHORT = 48                # segments up to this length keep their agenda as a list
 NO_PIECE = math.inf
 LINES = 256               # segments in one text of the check
@@ -68,7 +69,8 @@ class Pieces:
         self.eos = self.lib.eos_id()
         self.cut = cutter(self.ids)
         self.digits = [f" {i}" for i in range(n)]
-        self.memory: dict[str, str] = {}                  # segment -> its ids as digits
+        self.memory: dict[str, tuple[int, ...]] = {}      # segment -> its ids
+        self.older: dict[str, tuple[int, ...]] = {}       # the memory before it was full
         self.lossy: set[str] = set()                      # segments that do not decode to themselves
         self.fresh: list[tuple[str, list[int]]] = []      # segments merged since the last check
 
@@ -126,32 +128,42 @@ class Pieces:
                 offer(prev[a], a)
         return [x for x in sym if x]
 
-    def look_up(self, text: str) -> tuple[list[str], str]:
-        """(ids of every segment as digits after a space each, decoded text) of a text."""
+    def look_up(self, text: str, note: bool = True) -> tuple[list[int], str]:
+        """(ids, decoded text) of a text; ``note`` keeps merged segments for ``check_fresh``."""
         whole = MARK + text.replace(" ", MARK) if text else ""
         parts = self.cut.findall(whole) if self.cut else [whole] * bool(text)
         memory = self.memory
         if len(memory) > CACHE_ENTRIES:
-            memory.clear()
-            self.lossy.clear()
-        long = {}
+            self.older, self.memory = memory, {}
+            self.lossy.intersection_update(memory)
+            memory = self.memory
+        long = []
         for p in {*parts}.difference(memory):
+            if p in self.older:
+                memory[p] = self.older[p]
+                continue
             ids = self.merge(p)
             if self.show(ids) != p:
                 self.lossy.add(p)
-            (memory if len(p) <= CACHE_CHARS else long)[p] = "".join([self.digits[i] for i in ids])
-            self.fresh.append((p, ids))
-        get = ChainMap(memory, long).__getitem__ if long else memory.__getitem__
+            memory[p] = tuple(ids)
+            if len(p) > CACHE_CHARS:
+                long.append(p)
+            if note:
+                self.fresh.append((p, ids))
+        got = list(chain.from_iterable(map(memory.__getitem__, parts)))
         # A segment holds whole characters, so the decoded segments are the decoded text.
         if self.lossy and not self.lossy.isdisjoint(parts):
-            whole = "".join([self.show([*map(int, get(p).split())]) for p in parts])
-        return [get(p) for p in parts], whole.removeprefix(MARK).replace(MARK, " ")
+            whole = "".join([self.show(memory[p]) for p in parts])
+        for p in long:
+            del memory[p]
+            self.lossy.discard(p)
+        return got, whole.removeprefix(MARK).replace(MARK, " ")
 
     def encode(self, text: str) -> list[int]:
         """Ids with the end id, without a begin id."""
-        return [*map(int, "".join(self.look_up(text)[0]).split()), self.eos]
+        return [*self.look_up(text)[0], self.eos]
 
-    def show(self, ids: list[int]) -> str:
+    def show(self, ids: Sequence[int]) -> str:
         """Pieces of ids, runs of bytes as UTF-8."""
         if self.high.isdisjoint(ids):
             return "".join([self.shown[i] for i in ids])
@@ -216,22 +228,22 @@ def encode_texts(df: DataFrame, id_col: str, text_col: str, model: str, *, with_
 
     def make():
         p = pieces(model)
-        end = str(p.eos)
 
         def run(rows):
             texts = [t or "" for _, t in rows]
-            got = [p.look_up(t) for t in texts]
-            digits = ["".join(x) for x, _ in got]
-            ids = [[*map(int, x.split()), p.eos] for x in digits] if with_ids or check == "texts" else None
+            got = [p.look_up(t, check != "texts") for t in texts]
+            for ids, _ in got:
+                ids.append(p.eos)
             if check == "texts":
+                ids = [x for x, _ in got]
                 if ids != p.lib.encode(texts, add_eos=True, num_threads=1):
                     raise ValueError("ids differ from the sentencepiece library")
                 if [d for _, d in got] != p.lib.decode(ids, num_threads=1):
                     raise ValueError("decoded text differs from the sentencepiece library")
             p.check_fresh()
-            for at, ((key, _), x, (_, d)) in enumerate(zip(rows, digits, got, strict=True)):
-                out = (key, x.count(" ") + 1, sha_hex(f"{x} {end}"[1:] if x else end), sha_hex(d))
-                yield (*out, ids[at], d) if with_ids else out
+            for (key, _), (ids, d) in zip(rows, got, strict=True):
+                out = (key, len(ids), sha_hex("".join(map(p.digits.__getitem__, ids))[1:]), sha_hex(d))
+                yield (*out, ids, d) if with_ids else out
         return run
 
     key = df.schema[id_col].dataType.simpleString()
