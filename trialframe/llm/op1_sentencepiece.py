@@ -20,7 +20,7 @@ import math
 import re
 from collections.abc import Sequence
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 from operator import add
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +29,7 @@ from trialframe.llm.common import map_rows, sha_hex, table
 
 MARK = "▁"
 CACHE_CHARS = 48          # segments up to this length are remembered
-CACHE_ENTRIES = 300_000   # then the segments not met since the last time go (some 140 MB a worker)
+CACHE_ENTRIES = 500_000   # then the segments not met since the last time go (some 250 MB a worker)
 SHORT = 48                # segments up to this length keep their agenda as a list
 NO_PIECE = math.inf
 LINES = 256               # segments in one text of the check
@@ -50,6 +50,30 @@ def cutter(pieces) -> re.Pattern | None:
     return re.compile(f"{words}{m}+[^{m}\n]*|[^{m}\n]+|\n")
 
 
+class Memory:
+    """Ids of segments met before; those not met since the memory was last full are forgotten."""
+
+    def __init__(self):
+        self.new: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
+
+    def young(self) -> dict[str, tuple[int, ...]]:
+        if len(self.new) > CACHE_ENTRIES:
+            self.new, self.old = {}, self.new
+        return self.new
+
+    def missing(self, keys: list[str]) -> list[str]:
+        """Keys not in memory; keys from before are taken over."""
+        out = []
+        for k in {*keys}.difference(self.new):
+            ids = self.old.get(k)
+            if ids is None:
+                out.append(k)
+            else:
+                self.new[k] = ids
+        return out
+
+
 class Pieces:
     """Vocabulary of a merge-type model and the agenda over it."""
 
@@ -69,37 +93,34 @@ class Pieces:
         self.eos = self.lib.eos_id()
         self.cut = cutter(self.ids)
         self.digits = [f" {i}" for i in range(n)]
-        self.memory: dict[str, tuple[int, ...]] = {}      # segment -> its ids
-        self.older: dict[str, tuple[int, ...]] = {}       # the memory before it was full
-        self.lossy: set[str] = set()                      # segments that do not decode to themselves
+        self.memory = Memory()                            # ids of segments
+        self.lossy = False                                # a segment did not decode to itself
         self.fresh: list[tuple[str, list[int]]] = []      # segments merged since the last check
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment by the agenda of adjacent pairs."""
-        out: list[int] = []
-        for s in self.merge_short(segment) if len(segment) <= SHORT else self.merge_long(segment):
-            i = self.ids.get(s)
-            if i is None:
-                out += [self.byte_id[x] for x in s.encode("utf-8")]
-            else:
-                out.append(i)
-        return out
+        symbols = self.merge_short(segment) if len(segment) <= SHORT else self.merge_long(segment)
+        try:
+            return list(map(self.ids.__getitem__, symbols))
+        except KeyError:                      # a symbol without a piece is written in bytes
+            return [i for s in symbols for i in ([self.ids[s]] if s in self.ids else
+                                                 [self.byte_id[x] for x in s.encode("utf-8")])]
 
     def merge_short(self, segment: str) -> list[str]:
         """The agenda as a list beside the symbols: best score first, then leftmost."""
-        sym, cost = list(segment), self.cost
-        agenda = [cost.get(x, NO_PIECE) for x in map(add, sym, sym[1:])]
+        sym, get = list(segment), self.cost.get
+        agenda = list(map(get, map(add, sym, sym[1:]), repeat(NO_PIECE)))
         while agenda:
             best = min(agenda)
             if best is NO_PIECE:
                 break
             i = agenda.index(best)
-            sym[i] += sym.pop(i + 1)
+            sym[i] = both = sym[i] + sym.pop(i + 1)
             del agenda[i]
             if i:
-                agenda[i - 1] = cost.get(sym[i - 1] + sym[i], NO_PIECE)
+                agenda[i - 1] = get(sym[i - 1] + both, NO_PIECE)
             if i < len(agenda):
-                agenda[i] = cost.get(sym[i] + sym[i + 1], NO_PIECE)
+                agenda[i] = get(both + sym[i + 1], NO_PIECE)
         return sym
 
     def merge_long(self, segment: str) -> list[str]:
@@ -132,32 +153,21 @@ class Pieces:
         """(ids, decoded text) of a text; ``note`` keeps merged segments for ``check_fresh``."""
         whole = MARK + text.replace(" ", MARK) if text else ""
         parts = self.cut.findall(whole) if self.cut else [whole] * bool(text)
-        memory = self.memory
-        if len(memory) > CACHE_ENTRIES:
-            self.older, self.memory = memory, {}
-            self.lossy.intersection_update(memory)
-            memory = self.memory
-        long = []
-        for p in {*parts}.difference(memory):
-            if p in self.older:
-                memory[p] = self.older[p]
-                continue
+        memory, long = self.memory.young(), []
+        for p in self.memory.missing(parts):
             ids = self.merge(p)
             if self.show(ids) != p:
-                self.lossy.add(p)
+                self.lossy = True
             memory[p] = tuple(ids)
             if len(p) > CACHE_CHARS:
                 long.append(p)
             if note:
                 self.fresh.append((p, ids))
         got = list(chain.from_iterable(map(memory.__getitem__, parts)))
-        # A segment holds whole characters, so the decoded segments are the decoded text.
-        if self.lossy and not self.lossy.isdisjoint(parts):
-            whole = "".join([self.show(memory[p]) for p in parts])
         for p in long:
             del memory[p]
-            self.lossy.discard(p)
-        return got, whole.removeprefix(MARK).replace(MARK, " ")
+        # Segments hold whole characters, so where all decode to themselves the text does.
+        return got, self.decode(got) if self.lossy else text.replace(MARK, " ")
 
     def encode(self, text: str) -> list[int]:
         """Ids with the end id, without a begin id."""
