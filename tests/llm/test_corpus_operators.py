@@ -334,14 +334,15 @@ def test_language_held_out_and_cases(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 AS id", "2 AS score")
     train = lang.training_rows(df, "doc_id", "text", "lang")
     held = {t for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 == 1}
-    assert train and not held & {t for t, _ in train}
-    got = lang.identify(df, "doc_id", "text", lang.fit(train)).collect()
+    texts = {r["text"] for r in train.collect()}
+    assert texts and not held & texts
+    got = lang.identify(df, "doc_id", "text", lang.fit_rows(train)).collect()
     pred = {r["doc_id"]: r for r in got}
     assert len(got) == len(rows)
     assert np.mean([pred[i]["lang_pred"] == k for i, _, k in rows[:300] if zlib.crc32(str(i).encode()) % 3 == 1]) > 0.97
     assert all(pred[i]["lang_pred"] == "und" and pred[i]["score"] == 0 for i in (1000, 1001, 1002))
     assert pred[1003]["lang_pred"] == "bb" and all(0 <= r["score"] <= 1 for r in got)
-    none = lang.fit(lang.training_rows(df.limit(0), "doc_id", "text", "lang"))
+    none = lang.fit_rows(lang.training_rows(df.limit(0), "doc_id", "text", "lang"))
     assert none is None and {r["lang_pred"] for r in lang.identify(df, "doc_id", "text", none).collect()} == {"und"}
 
 
@@ -350,7 +351,9 @@ def test_every_language_is_learned(spark):
     rows = [(3 * i + j, f"text {k}", k) for i, k in enumerate(names) for j in range(3)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     free = {k for i, _, k in rows if zlib.crc32(str(i).encode()) % 3 != 1}
-    assert len(free) > 64 and {k for _, k in lang.training_rows(df, "doc_id", "text", "lang")} == free
+    assert len(free) > 64 and {r["lang"] for r in lang.training_rows(df, "doc_id", "text", "lang").collect()} == free
+    twice = spark.createDataFrame([(2, "b", "x"), (2, "a", "x"), (None, "c", "x")], df.schema)      # repeated and null ids
+    assert [tuple(r) for r in lang.training_rows(twice, "doc_id", "text", "lang").collect()] == [("a", "x")]
 
 
 def test_words_of_switched_text():

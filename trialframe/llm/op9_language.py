@@ -8,7 +8,9 @@ gives each word its probabilities; a text's language is the largest mean
 probability over its words.
 
 Training reads text and language of a bounded sample of the training rows:
-``PER_LABEL`` rows of each language in hash order, all languages.
+``PER_LABEL`` rows of each language in hash order, all languages, and of these
+rows up to ``TRAIN_WORDS`` words a language; the lexicons hold up to ``LEXICON``
+words a language.  The fit runs in one task.
 Held-out rows (CRC-32 of the id's text modulo 3 is 1) are never among them.
 Prediction reads only the text, whole texts of all rows.
 
@@ -20,6 +22,7 @@ empty table gives an empty table; other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -260,25 +263,34 @@ def fit(rows: list[tuple[str, str]], seed: int = 5) -> Model | None:
     return model
 
 
-def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """The bounded sample: ``PER_LABEL`` rows in hash order of each language."""
+def training_rows(df: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFrame:
+    """The bounded sample ``text, lang``: ``PER_LABEL`` ids in hash order of each language.
+
+    Ids are chosen first; only the chosen texts travel.  Of several texts of
+    one id and language the smallest counts.
+    """
     known = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
-        F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    top = {r["lang"]: r["count"] for r in
-           known.groupBy("lang").count().collect()}
-    if not top:
-        return []
-    # Rows are chosen by id first; only the chosen texts travel.  A share by hash that holds about four
-    # times as many rows as are taken keeps a frequent language from being sorted whole.
-    share = F.create_map(*[F.lit(x) for lang, n in top.items() for x in (lang, min(1.0, 4 * PER_LABEL / n))])
+        F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = (known.filter(F.col("lang").isin([*top])).select("id", "lang")
-              .filter(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < share[F.col("lang")] * (1 << 20))
-              .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= PER_LABEL))
-    ids = [r["id"] for r in chosen.select("id").distinct().collect()]
-    rows = known.filter(F.col("id").isin(ids) & F.col("lang").isin([*top])).dropDuplicates(["id", "lang"])
-    return sorted(((r["text"], r["lang"]) for r in rows.select("text", "lang").collect()), key=lambda x: (zlib.crc32(
-        x[0].encode("utf-8", "surrogatepass")), x))
+    chosen = (known.select("id", "lang").distinct().withColumn("n", F.row_number().over(order))
+              .filter(F.col("n") <= PER_LABEL).drop("n"))
+    return known.join(chosen, ["id", "lang"]).groupBy("id", "lang").agg(F.min("text").alias("text")).select("text", "lang")
+
+
+def fit_rows(rows: DataFrame, seed: int = 5) -> Model | None:
+    """``fit`` on a bounded sample ``text, lang`` in one task; only the model comes to the driver."""
+
+    def run(batches):
+        got = [row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+        got.sort(key=lambda x: (zlib.crc32(x[0].encode("utf-8", "surrogatepass")), x))
+        model = fit(got, seed)
+        del got
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+        give_back()
+
+    # One partition even for no rows at all: the task runs and gives no model.
+    found = rows.select("text", "lang").repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(found[0]["model"]) if found else None
 
 
 def held_out(key) -> F.Column:
@@ -361,6 +373,6 @@ def recognised(df: DataFrame, text_col: str, model: Model | None, min_score: flo
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = fit(training_rows(docs, "doc_id", "text", "lang"))
+    model = fit_rows(training_rows(docs, "doc_id", "text", "lang"))
     return identify(docs, "doc_id", "text", model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_words")
