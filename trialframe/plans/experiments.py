@@ -27,6 +27,7 @@ from trialframe.operators import features as FE
 from trialframe.operators import matching as MT
 from trialframe.operators import nuisance as NU
 from trialframe.operators import relational as R
+from trialframe.operators import stacked as ST
 from trialframe.plans import fixtures as X
 from trialframe.plans.q_cohort import cohort_e_population
 from trialframe.plans.q_events import units_e
@@ -62,10 +63,11 @@ class GridConfig:
 
 
 def analysis_frame(spark: SparkSession, sf_dir: str, aggs: Sequence[str], subset: str,
-                   outcome: str = "mortality_1day", n_folds: int = 5, fold_seed: int = 0) -> tuple[DataFrame, list]:
+                   outcome: str = "mortality_1day", n_folds: int = 5, fold_seed: int = 0,
+                   pop: DataFrame | None = None) -> tuple[DataFrame, list]:
     """Unit x feature matrix (J1 -> J8), assembled, with folds; cut lineage."""
     codes = FEATURE_SUBSETS[subset]
-    pop = cut_lineage(cohort_e_population(spark, sf_dir))       # used twice below
+    pop = cut_lineage(cohort_e_population(spark, sf_dir)) if pop is None else pop      # used twice below
     units = units_e(spark, sf_dir, pop)
     if codes:
         from trialframe.plans.q_primitives import _obs_events_spark
@@ -169,33 +171,65 @@ def estimate(frame: DataFrame, method: str, model: str, n_folds: int = 5, n_boot
     return dict(ATE=ate, lo=lo, hi=hi, ntv=ntv)
 
 
-def vibration_grid(spark: SparkSession, sf_dir: str, cfg: GridConfig) -> DataFrame:
+def linear_estimates(frame: DataFrame, methods: Sequence[str], n_folds: int, n_boot: int, params: dict,
+                     seed: int = 1, alpha: float = 0.05) -> dict[str, dict]:
+    """Grid points of the linear model: every method and replicate from the same stacked fits."""
+    units = cut_lineage(ST.scored(frame, "stay_id", n_folds, n_boot, seed, params.get("t_params", {}).get("C", 1.0),
+                                  params.get("y_params", {}).get("alpha", 1.0)))
+    found = ST.estimates(units, methods)
+    first = units.filter("b = 0")
+    ntv = {e: DG.normalized_total_variation(first.select("a", F.col(e).alias("e"))).first()["ntv"] for e in ("e_all", "e")}
+    propensity = {"ipw": "e_all", "psm": "e_all", "dr": "e", "dml": "e"}
+    out = {}
+    for m in methods:
+        ates = [v for b, v in found[m].items() if b and v is not None]
+        lo, hi = (float(np.quantile(ates, q)) if ates else None for q in (alpha / 2, 1 - alpha / 2))
+        out[m] = dict(ATE=found[m].get(0), lo=lo, hi=hi, ntv=ntv.get(propensity.get(m)))
+    return out
+
+
+def vibration_grid(spark: SparkSession, sf_dir: str, cfg: GridConfig, parallelism: int = 4) -> DataFrame:
     """One Estimate row per (aggregation, method, model, feature subset),
     plus the unadjusted difference in means once per aggregation/subset.  The
-    hyper-parameters of both nuisances are searched before the estimates, once
-    per feature matrix and model; the replicates refit with them."""
-    rows = []
-    for aggs, subset in itertools.product(cfg.aggregations, cfg.feature_subsets):
-        frame, feats = analysis_frame(spark, sf_dir, aggs, subset, cfg.outcome, cfg.n_folds, cfg.fold_seed)
+    hyper-parameters of both nuisances are searched before the estimates, on all
+    units, once per feature matrix and model; the replicates refit with them.
+    Linear models are fitted for all replicates and methods together, and
+    their rows carry the time of the shared fits.  ``parallelism`` feature
+    matrices are worked on at a time."""
+    pop = cut_lineage(cohort_e_population(spark, sf_dir))
+
+    def one(pair: tuple) -> list[tuple]:
+        aggs, subset = pair
+        frame, feats = analysis_frame(spark, sf_dir, aggs, subset, cfg.outcome, cfg.n_folds, cfg.fold_seed, pop)
         agg_name = "__".join(aggs)
+        row = lambda r, method, model, t0: (r["ATE"], r["lo"], r["hi"], r["ntv"], agg_name, method, model, model,
+                                            subset, cfg.cohort_name, cfg.outcome, time.time() - t0)
         t0 = time.time()
         dm = K.diff_means(frame).first()
-        rows.append((dm["ATE"], dm["ATE_lower"], dm["ATE_upper"], None, agg_name, "Difference in mean", "", "",
-                     subset, cfg.cohort_name, cfg.outcome, time.time() - t0))
-        params = {model: search(frame, model, cfg.n_iter) for model in cfg.models}
-        for method, model in itertools.product(cfg.methods, cfg.models):
+        rows = [row(dict(ATE=dm["ATE"], lo=dm["ATE_lower"], hi=dm["ATE_upper"], ntv=None), "Difference in mean", "", t0)]
+        for model in cfg.models:
             t0 = time.time()
-            r = estimate(frame, method, model, cfg.n_folds, cfg.n_boot, feats, params[model])
-            rows.append((r["ATE"], r["lo"], r["hi"], r["ntv"], agg_name, method, model, model, subset,
-                         cfg.cohort_name, cfg.outcome, time.time() - t0))
-    return spark.createDataFrame(rows, ESTIMATE_SCHEMA)
+            params = search(frame, model, cfg.n_iter)
+            together = [m for m in cfg.methods if model == "linear" and m != "causal_forest"]
+            if together:
+                got = linear_estimates(frame, together, cfg.n_folds, cfg.n_boot, params)
+                rows += [row(got[m], m, model, t0) for m in together]
+            for method in (m for m in cfg.methods if m not in together):
+                t0 = time.time()
+                rows.append(row(estimate(frame, method, model, cfg.n_folds, cfg.n_boot, feats, params), method, model, t0))
+        return rows
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        parts = list(pool.map(one, itertools.product(cfg.aggregations, cfg.feature_subsets)))
+    return spark.createDataFrame([r for part in parts for r in part], ESTIMATE_SCHEMA)
 
 
 # ------------------------------------------------------------------ L8
 
 def predictive_failure(spark: SparkSession, sf_dir: str, seeds: Sequence[int] = tuple(range(10)),
                        period_hours: float = 24.0, outcome: str = "mortality_3days",
-                       models: Sequence[str] = ("linear", "dummy"), n_iter: int = 0, test_fraction: float = 0.2) -> DataFrame:
+                       models: Sequence[str] = ("linear", "dummy"), n_iter: int = 0, test_fraction: float = 0.2,
+                       parallelism: int = 8) -> DataFrame:
     """Prediction with and without features measured after the treatment.
 
     One test set (``test_fraction``, seed 0) is held out for all runs and
@@ -203,7 +237,8 @@ def predictive_failure(spark: SparkSession, sf_dir: str, seeds: Sequence[int] =
     into training and validation.  ``features`` says whether training saw the
     events up to ``intime + period`` (``post``) or up to inclusion (``pre``).
     ``n_iter`` draws of the hyper-parameters are searched on the training part
-    (0: the defaults).  One score row per (seed, model, features)."""
+    (0: the defaults).  ``parallelism`` pairs of seed and features are worked
+    on at a time.  One score row per (seed, model, features)."""
     pop = cut_lineage(cohort_e_population(spark, sf_dir).withColumn("y", F.col(outcome).cast("double")))
     ev = X.keyed_events(spark, sf_dir).select("stay_id", F.col("ts").alias("starttime"), "event_id",
                                               F.col("event_type").alias("code"), "value")
@@ -220,21 +255,28 @@ def predictive_failure(spark: SparkSession, sf_dir: str, seeds: Sequence[int] =
     seen = {"post": matrix(shift("intime", hours=period_hours)), "pre": matrix(F.col("inclusion_start"))}
     split = cut_lineage(FE.stratified_split(pop.select("stay_id", "y"), "stay_id", ["y"], test_fraction, seed=0))
     part = lambda df, s, name: df.join(s.filter(F.col("split") == name).select("stay_id"), "stay_id", "left_semi")
-    test = part(seen["pre"], split, "test")
-    rows = []
-    for seed, model, features in itertools.product(seeds, models, seen):
-        t0 = time.time()
-        dev = split.filter(F.col("split") == "train").select("stay_id", "y")
+    test = NU.compact(part(seen["pre"], split, "test"))
+    dev = split.filter(F.col("split") == "train").select("stay_id", "y")
+
+    def one(run: tuple) -> list[dict]:
+        seed, features = run
         again = FE.stratified_split(dev, "stay_id", ["y"], test_fraction, seed=seed + 1000)
-        tr, va = part(seen[features], again, "train"), part(seen[features], again, "test")
-        params = NU.hyper_search(tr, model, "classifier", "y", n_iter, id_col="stay_id", seed=seed)[0] if n_iter else {}
-        n, sd = NU.label_stats(tr, "y")
-        fitted = NU.fit(NU.make_model(model, "classifier", "y", n, sd, params, seed=seed), tr)
-        scores = {k: DG.binary_scores(NU.predict(fitted, x, "classifier", "p"), "p", "y").first().asDict()
-                  for k, x in (("val", va), ("test", test))}
-        row = {f"{k}_{m}": float(v) if v is not None else None for k, s in scores.items() for m, v in s.items()}
-        row.update(random_seed=int(seed), model=f"{model} ({features})", compute_time=time.time() - t0)
-        rows.append(row)
+        joined = NU.compact(seen[features].join(again.select("stay_id", "split"), "stay_id"))
+        tr, va = joined.filter("split = 'train'"), joined.filter("split = 'test'")
+        out = []
+        for model in models:
+            t0 = time.time()
+            params = NU.hyper_search(tr, model, "classifier", "y", n_iter, id_col="stay_id", seed=seed)[0] if n_iter else {}
+            n, sd = NU.label_stats(tr, "y")
+            fitted = NU.fit(NU.make_model(model, "classifier", "y", n, sd, params, seed=seed), tr)
+            scores = {k: DG.binary_scores(NU.predict(fitted, x, "classifier", "p"), "p", "y").first().asDict()
+                      for k, x in (("val", va), ("test", test))}
+            row = {f"{k}_{m}": float(v) if v is not None else None for k, s in scores.items() for m, v in s.items()}
+            out.append({**row, "random_seed": int(seed), "model": f"{model} ({features})", "compute_time": time.time() - t0})
+        return out
+
+    with ThreadPoolExecutor(max_workers=parallelism) as pool:
+        rows = [r for part in pool.map(one, itertools.product(seeds, seen)) for r in part]
     cols = sorted(k for k in rows[0] if k not in ("random_seed", "model", "compute_time"))
     return spark.createDataFrame([tuple(r[c] for c in cols) + (r["random_seed"], r["model"], r["compute_time"])
                                   for r in rows],
