@@ -132,7 +132,8 @@ def test_em_finds_reliable_labelers():
 def test_url_cases(spark):
     urls = ["https://www.Example.COM/en/1?x=/de/#a", "http://a.example.com/en/9", "http://x.net/es/4", "http://net/fr/",
             "http://casino-win.org/p", "http://a.org/free-bets", "http://a.org/free", "http://freebets.org/", None, "",
-            "no scheme/en", "ftp://", "http://xcasinox.org", "http://com", "HTTP://A.com/", "http://h/%41://b", "x" * 50_000]
+            "no scheme/en", "ftp://", "http://xcasinox.org", "http://com", "HTTP://A.com/", "http://h/%41://b", "x" * 50_000,
+            "https://a.org/betting", "https://news.org/gambling-law", "https://a.org/lottery/lottery", "https://a.org/lottery-win"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "1 AS host", "2 AS rule")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url.judge_urls(df, "page_id", "url").collect()}
     assert got[0] == ("www.example.com", "/en/1", "www.example.com/en/", "allow")
@@ -140,6 +141,7 @@ def test_url_cases(spark):
     assert got[2][2:] == ("net/es/", "block") and got[3][2:] == ("net/fr/", "block")
     assert got[4][2:] == (None, "block") and got[5][2:] == (None, "block")
     assert got[6][2:] == (None, "allow") and got[7][2:] == (None, "allow") and got[12][2:] == (None, "allow")
+    assert {got[i][3] for i in (17, 18, 19)} == {"allow"} and got[20][3] == "block"      # one soft term, two of them
     assert got[8] == got[9] == got[10] == ("", "", None, "allow") and got[13] == ("com", "", None, "allow")
     assert got[14] == ("a.com", "/", "com/", "allow")
     assert len(got) == len(urls) and url.judge_urls(df.limit(0), "page_id", "url").count() == 0
@@ -244,15 +246,15 @@ def test_secret_ownership(spark):
     assert clean[0] == "[SECRET]'" and shared in clean[1] and clean[4] is None and clean[6] == "[SECRET]" and len(clean) == 8
 
 
-def test_many_repositories_of_one_owner_are_an_example(spark):
-    copied, live = "5e884898da28047151d0e56f8dc62927", "9f86d081884c7d659a2feaa0c55ad015"
-    rows = [(i, f"token: {copied}", "a") for i in range(sec.EXAMPLE_REPOS)]
-    rows += [(100, f"x {live}", "a"), (100, f"x {live}", "a"), *((100, f"x {live}", "a") for _ in range(sec.EXAMPLE_REPOS))]
+def test_many_repositories_of_one_owner_are_no_example(spark):
+    copied, own = "5e884898da28047151d0e56f8dc62927", "9f86d081884c7d659a2feaa0c55ad015"
+    rows = [(i, f"token: {copied}", "ab"[i % 2]) for i in range(sec.EXAMPLE_REPOS)]              # two owners
+    rows += [(100 + i, f"x {own}", "a") for i in range(3 * sec.EXAMPLE_REPOS)] + [(100, f"x {own}", "a")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = sec.find_secrets(df, "doc_id", "text", "source", "doc_id").collect()
-    assert all((len(r["live"]), len(r["example"])) == ((1, 0) if r["doc_id"] == 100 else (0, 1)) for r in got)
+    assert all((len(r["live"]), len(r["example"])) == ((1, 0) if r["doc_id"] >= 100 else (0, 1)) for r in got)
     clean = sec.masked(df, "text", "source", "doc_id").collect()
-    assert all((copied in r["text"]) == (r["doc_id"] < 100) for r in clean) and len(clean) == len(rows)
+    assert all((copied in r["text"]) == (r["doc_id"] < 100) and own not in r["text"] for r in clean) and len(clean) == len(rows)
 
 
 def test_query_checks_whole_texts(monkeypatch):

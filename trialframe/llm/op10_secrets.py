@@ -3,9 +3,10 @@
 Three base patterns and a broader search for random-looking tokens give
 candidate values.  Every value is hashed, and Spark counts over the whole
 corpus in how many repositories and under how many owners each hash occurs.
-A value with several owners, or in many repositories, is a widely copied
-example; a value of few owners and repositories that looks random is a live-looking credential and adds a ``live`` span.  Base
-spans stay in any case.
+A value with several owners, or of two owners and in many repositories, is a
+widely copied example.  Any other value that looks random is a live-looking
+credential and adds a ``live`` span, however often its one owner repeats it.
+Base spans stay in any case.
 
 Ownership: an owner is a value of ``owner_col`` (the query: ``source``; null
 counts as the owner ""), a repository a value of ``repo_col`` within an owner
@@ -41,7 +42,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 # Candidates beyond them: runs of token characters with a digit, of 20 or more.
 LOOSE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 EXAMPLE_OWNERS = 3        # as many owners make a value a widely copied example
-EXAMPLE_REPOS = 10        # or as many repositories, whoever owns them
+EXAMPLE_REPOS = 10        # or as many repositories of at least two owners; one owner's copies are its own
 MIN_ENTROPY = 3.0         # bits a character of a random-looking value
 MIN_LIVE = 16             # characters of a live-looking value
 
@@ -121,7 +122,7 @@ def judge(scanned: DataFrame, example_owners: int = EXAMPLE_OWNERS, example_repo
     of widely copied examples, as arrays of (kind, start, end)."""
     cand = scanned.select("row_id", F.explode("cands").alias("c")).select("row_id", "c.hash", "c.start", "c.end")
     span = lambda kind: F.struct(F.lit(kind).alias("kind"), "start", "end")
-    shared = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+    shared = (F.col("n_owners") >= example_owners) | ((F.col("n_owners") > 1) & (F.col("n_repos") >= example_repos))
     judged = (cand.join(ownership(scanned), "hash").groupBy("row_id")
               .agg(F.collect_list(F.when(~shared, span("live"))).alias("live"),
                    F.collect_list(F.when(shared, span("example"))).alias("example")))

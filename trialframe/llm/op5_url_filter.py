@@ -2,7 +2,7 @@
 
 Terms are found by one Aho-Corasick scan of the lower-cased URL and count only
 between boundaries (no ASCII letter or digit on either side).  One strict term
-blocks; soft terms block when the weights of the distinct ones found reach
+blocks; soft terms block when at least two distinct ones are found and their weights reach
 ``SOFT_LIMIT``.  A rule ``host/path`` fits its host and all subdomains when
 the URL's path starts with the rule's path; the longest rule wins over the
 vocabulary.
@@ -32,7 +32,8 @@ SOFT = {"ad": 1, "ads": 1, "adserver": 2, "affiliate": 1, "banner": 1, "bet": 1,
         "download": 1, "farm": 1, "free": 1, "gambling": 2, "keygen": 2, "loan": 1, "loans": 1, "lottery": 2,
         "pill": 1, "pills": 1, "promo": 1, "slots": 1, "spam": 1, "torrent": 1, "track": 1, "tracker": 1,
         "tracking": 1, "win": 1, "winner": 1}
-SOFT_LIMIT = 2
+SOFT_LIMIT = 2            # weight of the soft terms of a rejected url
+SOFT_TERMS = 2            # and how many distinct ones it has at least
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = str.maketrans(UPPER, UPPER.lower())
 AFTER = re.compile(r"([^/?#]*)([^?#]*)")
@@ -81,8 +82,9 @@ class Terms:
 
     def judge(self, url: str) -> tuple[int, int, str]:
         got = self.found(url)
-        strict, soft = len(got & self.strict), sum(self.soft[t] for t in got - self.strict)
-        return strict, soft, "block" if strict or soft >= SOFT_LIMIT else "allow"
+        mild = got - self.strict
+        strict, soft = len(got & self.strict), sum(self.soft[t] for t in mild)
+        return strict, soft, "block" if strict or len(mild) >= SOFT_TERMS and soft >= SOFT_LIMIT else "allow"
 
 
 def judge_urls(df: DataFrame, id_col: str, url_col: str, rules: dict[str, str] = RULES, strict=STRICT,
@@ -123,7 +125,8 @@ c AS (SELECT page_id, low, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}'
       regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM b),
 d AS (SELECT page_id, host, path, CASE {fits} END AS rule,
       CAST({' + '.join(map(hit, STRICT))} AS BIGINT) AS n_strict,
+      {' + '.join(map(hit, SOFT))} AS n_soft,
       CAST({' + '.join(f'{w} * {hit(t)}' for t, w in SOFT.items())} AS BIGINT) AS soft_weight FROM c)
 SELECT page_id, host, path, rule, coalesce(CASE rule {verdicts} END,
-       CASE WHEN n_strict > 0 OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
+       CASE WHEN n_strict > 0 OR n_soft >= {SOFT_TERMS} AND soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow' END) AS verdict,
        n_strict, soft_weight FROM d"""
