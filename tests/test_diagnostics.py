@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trialframe.operators import diagnostics as DG
 from trialframe.operators import features as FE
 from trialframe.operators import matching as MT
+from trialframe.operators.relational import BUCKET_ROWS, pivot_codes, range_buckets
 
 
 def brute_auc(p, y):
@@ -115,3 +116,57 @@ def test_baseline_tests_and_p_values(spark):
     crow = out[out.variable == "c"].iloc[0]
     assert crow.statistic == pytest.approx(chi) and crow.dof == 2
     assert 0 <= crow.p_value <= 1 and 0 <= row.p_value <= 1
+
+
+def test_grouped_scores_match_each_group(spark):
+    rng = np.random.default_rng(7)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], 600), "seed": rng.integers(0, 2, 600), "p": np.round(rng.random(600), 2)})
+    pdf["y"] = (rng.random(600) < pdf.p).astype(int)
+    pdf.loc[(pdf.g == "b") & (pdf.seed == 1), "y"] = 1            # a group without negatives
+    df = spark.createDataFrame(pdf)
+    for n in (1, 5):
+        got = DG.binary_scores(df, "p", "y", n_buckets=n, by=["g", "seed"]).toPandas()
+        assert len(got) == 6
+        for r in got.itertuples():
+            part = pdf[(pdf.g.isna() if r.g is None or r.g != r.g else pdf.g == r.g) & (pdf.seed == r.seed)]
+            assert r.n_samples == len(part) and r.brier == pytest.approx(((part.p - part.y) ** 2).mean())
+            if r.g == "b" and r.seed == 1:
+                assert np.isnan(r.roc_auc) and np.isnan(r.pr_auc)
+            else:
+                assert r.roc_auc == pytest.approx(brute_auc(part.p.to_numpy(), part.y.to_numpy()))
+                assert r.pr_auc == pytest.approx(brute_ap(part.p.to_numpy(), part.y.to_numpy()))
+
+
+def test_scores_of_no_units(spark):
+    r = DG.binary_scores(spark.createDataFrame([], "p double, y int")).first()
+    assert r["roc_auc"] is None and r["prevalence"] is None
+    assert DG.binary_scores(spark.createDataFrame([], "g string, p double, y int"), by=["g"]).count() == 0
+
+
+def test_two_million_scores_stay_in_bounded_buckets(spark):
+    """Half the distinct scores lie in a millionth of the range."""
+    n = 2_000_000
+    s = F.when(F.col("id") % 2 == 0, F.col("id") / (1e6 * n)).otherwise(F.col("id") / n)
+    d = spark.range(n).select(s.alias("score"))
+    sizes = range_buckets(d, ["score"]).groupBy("_bucket").agg(
+        F.count(F.lit(1)).alias("n"), F.min("score").alias("lo"), F.max("score").alias("hi")).orderBy("_bucket").toPandas()
+    assert sizes.n.sum() == n and len(sizes) > 90 and sizes.n.max() < 4 * BUCKET_ROWS
+    assert (sizes.lo[1:].to_numpy() > sizes.hi[:-1].to_numpy()).all()
+
+
+def test_medians_of_groups_match_pandas(spark):
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"u": rng.choice([1, 2, 3], 900, p=[0.8, 0.1, 0.1]), "code": rng.choice(list("xyz"), 900),
+                        "value": np.round(rng.normal(size=900), 1), "t": np.arange(900)})
+    df = spark.createDataFrame(pdf).withColumn("u", F.when(F.col("u") != 3, F.col("u")))   # null units form a group
+    df = df.unionByName(spark.createDataFrame([(9, "x", None, 1000)], df.schema))         # a unit without values
+    got = pivot_codes(df, ["u"], ["x", "y"], ["median", "max"]).toPandas()
+    typed = FE.typed_aggregation(df, "u", {"median": ["x", "y"], "max": ["z"]}, order=["t"]).toPandas()
+    assert len(got) == len(typed) == 4
+    for k, g in pdf.groupby("u"):
+        row, other = (f[f.u.isna() if k == 3 else f.u == k].iloc[0] for f in (got, typed))
+        for c in "xy":
+            want = g[g.code == c].value
+            assert row[f"median_code_{c}"] == pytest.approx(want.median()) == pytest.approx(other[c])
+            assert row[f"max_code_{c}"] == want.max()
+    assert np.isnan(got[got.u == 9].iloc[0]["median_code_x"])

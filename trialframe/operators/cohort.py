@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trialframe.functions.time import seconds_between, floor_days_between, days_between, hours_between
-from trialframe.operators.relational import first_last, top1_per_group
+from trialframe.operators.relational import code_medians, first_last, left_null_safe, top1_per_group
 
 INCLUSION_EVENT = "inclusion_event"
 
@@ -290,10 +290,13 @@ def early_flag(measurements: DataFrame, stays: DataFrame, hours: float,
     j = measurements.join(stays.select(key, "intime"), key)
     d = seconds_between(time_col, "intime")
     w = j.filter((d >= 0) & (d <= F.lit(hours * 3600.0)))
-    med = F.median("value") if exact else F.percentile_approx("value", 0.5, 10000)
     codes = list(thresholds)
-    per = (w.filter(F.col("code").isin(codes)).groupBy(key)
-            .pivot("code", codes).agg(med))
+    if exact:
+        kept = w.filter(F.col("code").isin(codes))
+        per = left_null_safe(kept.select(key).distinct(), code_medians(kept, [key], codes), [key])
+    else:
+        per = (w.filter(F.col("code").isin(codes)).groupBy(key)
+                .pivot("code", codes).agg(F.percentile_approx("value", 0.5, 10000)))
     cond = None
     for c, t in thresholds.items():
         x = F.coalesce(F.col(f"`{c}`") < F.lit(t), F.lit(False))

@@ -65,20 +65,19 @@ def bucket_count(df: DataFrame) -> int:
     return 1 + df.count() // BUCKET_ROWS
 
 
-def quantile_buckets(df: DataFrame, col: str, n_buckets: int, out: str = "_bucket",
-                     rel_err: float = 1e-4) -> DataFrame:
-    """Cut ``col`` into about ``n_buckets`` ranges holding equal row counts
-    (approximate quantiles: ``n_buckets - 1`` numbers reach the driver) and add
-    the bucket index (``Bucketizer``: binary search, JVM side).  Used to split
-    an order-dependent computation (prefix sums, nearest neighbours) into
-    bounded, independent partitions instead of one global sort."""
-    from pyspark.ml.feature import Bucketizer
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    cuts = df.approxQuantile(col, probs, rel_err) if probs else []
-    splits = [float("-inf")] + sorted(set(float(c) for c in cuts)) + [float("inf")]
-    if len(splits) < 3:
-        return df.withColumn(out, F.lit(0.0))
-    return Bucketizer(splits=splits, inputCol=col, outputCol=out).transform(df)
+def range_buckets(df: DataFrame, order: Sequence[str], n_buckets: int | None = None, out: str = "_bucket") -> DataFrame:
+    """Cut a materialised table into ranges of ``order`` that hold about ``BUCKET_ROWS`` rows each, and
+    add the range's index.  Used to split an order-dependent computation (prefix sums, nearest
+    neighbours) into bounded, independent parts instead of one global sort.
+
+    The rows are range-partitioned (Spark samples the bounds) and written with the partition's number,
+    so no cut point reaches the driver, and no join or search finds a row's range.  Rows of equal
+    ``order`` share a range: collapse repeated values before."""
+    from trialframe.session import cut_lineage
+    n = n_buckets or bucket_count(df)
+    if n == 1:
+        return df.withColumn(out, F.lit(0))
+    return cut_lineage(df.repartitionByRange(n, *order).withColumn(out, F.spark_partition_id()))
 
 
 # ------------------------------------------------------------ duplicates
@@ -108,7 +107,8 @@ def unpivot_long(df: DataFrame, ids: Sequence[str], value_cols: Sequence[str],
 
 AGGREGATES = {
     "first": None, "last": None,  # ordered, handled by first_last
-    "min": F.min, "max": F.max, "mean": F.avg, "median": F.median,
+    "median": None,                # by ``code_medians``
+    "min": F.min, "max": F.max, "mean": F.avg,
     "sum": F.sum, "std": F.stddev_samp, "count": F.count,
 }
 
@@ -121,9 +121,17 @@ def pivot_codes(df: DataFrame, by: Sequence[str], vocabulary: Sequence[str],
 
     ``first``/``last`` use ``order`` (a total order); the other aggregates are
     the usual null-skipping SQL aggregates.  The pivot values are the explicit
-    ``vocabulary`` so no distinct job runs and the schema is stable.
+    ``vocabulary`` so no distinct job runs and the schema is stable.  Medians
+    come from ``code_medians``, so that no task holds a unit's values.
     """
     by = list(by)
+    if "median" in aggs:
+        med = code_medians(df, by, vocabulary, code_col, value_col, lambda c: name_fmt.format(agg="median", code=c))
+        rest = [x for x in aggs if x != "median"]
+        base = (pivot_codes(df, by, vocabulary, rest, order, code_col, value_col, name_fmt) if rest else
+                df.filter(F.col(code_col).isin(list(vocabulary))).select(*by).distinct())
+        names = [name_fmt.format(agg=x, code=c) for c in vocabulary for x in aggs]
+        return left_null_safe(base, med, by).select(*by, *[F.col(f"`{x}`") for x in names])
     exprs = []
     for agg in aggs:
         if agg in ("first", "last"):
@@ -263,7 +271,7 @@ def fill_left(df: DataFrame, other: DataFrame, on, fill: dict) -> DataFrame:
 # ------------------------------------------------------------ exact quantiles
 
 def exact_quantiles(df: DataFrame, col: str, probs: dict, by: Sequence[str] = (),
-                    n_parts: int | None = None) -> DataFrame:
+                    n_parts: int | None = None, _key: str | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation, as ``percentile`` /
     ``quantile_cont``) per group, without holding a group in one task.
 
@@ -278,10 +286,15 @@ def exact_quantiles(df: DataFrame, col: str, probs: dict, by: Sequence[str] = ()
        ``n_distinct / n_parts`` rows each;
     5. the two values are interpolated.
 
-    ``probs`` maps output column names to probabilities.  Nulls are ignored.
+    ``probs`` maps output column names to probabilities.  Null values are
+    ignored; null group columns form a group (inside a struct nulls are equal).
     """
     from trialframe.session import cut_lineage
-    by = list(by)
+    if by:
+        q = exact_quantiles(df.select(F.struct(*[F.col(c) for c in by]).alias("_by"), F.col(col).alias("_value")), "_value",
+                            probs, (), n_parts, _key="_by")
+        return q.select(*[F.col("_by")[c].alias(c) for c in by], *probs)
+    by = [_key] if _key else []
     spark = df.sparkSession
     parts = n_parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     d0 = (df.select(*by, F.col(col).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
@@ -316,3 +329,20 @@ def exact_quantiles(df: DataFrame, col: str, probs: dict, by: Sequence[str] = ()
     q = F.col("_lo") + (F.col("_pos") - F.floor("_pos")) * (F.col("_hi") - F.col("_lo"))
     out = vals.groupBy(*by).pivot("_name", list(probs)).agg(F.first(q))
     return out
+
+
+def left_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join on columns of the same name in which nulls are equal."""
+    cond = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on]
+    return left.alias("l").join(right.alias("r"), cond, "left").select(
+        "l.*", *[F.col(f"r.`{c}`") for c in right.columns if c not in on])
+
+
+def code_medians(df: DataFrame, by: Sequence[str], vocabulary: Sequence, code_col: str = "code",
+                 value_col: str = "value", name=str) -> DataFrame:
+    """Exact median per (unit, code), one row per unit and one column ``name(code)`` per code.
+    Units without a non-null value have no row.  The values are ranges of (unit, code, value), so a unit
+    with a third of all events is spread over tasks."""
+    q = exact_quantiles(df.filter(F.col(code_col).isin(list(vocabulary))), value_col, {"_median": 0.5}, [*by, code_col])
+    piv = q.groupBy(*by).pivot(code_col, list(vocabulary)).agg(F.first("_median"))
+    return piv.select(*by, *[F.col(f"`{c}`").alias(name(c)) for c in vocabulary])

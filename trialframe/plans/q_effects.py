@@ -339,7 +339,7 @@ SELECT n_samples, round(prevalence, 6) AS prevalence, round(accuracy, 6) AS accu
   round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, tn, fp, fn, tp FROM bs, rk""")
 def q_binary_scores(spark, sf_dir):
     xf = crossfit_d(spark, sf_dir).select(F.col("m").alias("p"), "y")
-    return rounded(DG.binary_scores(xf, "p", "y"))
+    return rounded(DG.binary_scores(xf, "p", "y").drop("brier"))
 
 
 @register("brier", f"""WITH {CROSSFIT_SQL} SELECT round(avg((e - a) * (e - a)), 6) AS brier FROM xf""")

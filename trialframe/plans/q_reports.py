@@ -6,13 +6,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialframe.operators import cohort as C
+from trialframe.operators import diagnostics as DG
 from trialframe.operators import effects as K
 from trialframe.operators import matching as MT
 from trialframe.operators import reports as RP
 from trialframe.plans import fixtures as X
 from trialframe.plans.q_cohort import WINDOWS
 from trialframe.plans.q_effects import (
-    AIPW_PSI, CATE_SQL, CELLS_SQL, CROSSFIT_SQL, DIFF_MEANS_SQL, DML_SQL, _cate_inputs, cells_d, crossfit_d,
+    AIPW_PSI, CATE_SQL, CELLS_SQL, CROSSFIT_SQL, DIFF_MEANS_SQL, DML_SQL, FOLD_SEED, N_FOLDS, _cate_inputs, cells_d, crossfit_d,
     units_d,
     NN_SQL,
 )
@@ -218,23 +219,50 @@ def q_cate_subgroups(spark, sf_dir):
 
 # ------------------------------------------------------------------ M6
 
-@register("score_comparison", "WITH " + CROSSFIT_SQL + f""",
+# Feature sets and the strata that their models see.
+FEATURE_SETS = {"source": ["s1"], "source and length": ["s1", "s2"]}
+METRICS = ["n_samples", "prevalence", "accuracy", "brier", "roc_auc", "pr_auc"]
+
+
+def _set_sql(strata):
+    inner = CROSSFIT_SQL.replace(X.DOC_UNITS_SQL.strip() + ",", "WITH ", 1)
+    if "s2" not in strata:
+        inner = inner.replace("so.s1, so.s2", "so.s1").replace("s1, s2", "s1")
+    return f"SELECT unit_id, m AS p, y FROM ({inner} SELECT unit_id, m, y FROM xf)"
+
+
+@register("score_comparison", "WITH " + X.DOC_UNITS_SQL.strip() + f""",
 sp AS (SELECT unit_id, y, row_number() OVER (PARTITION BY y ORDER BY
          ('0x' || substr(md5(concat_ws('|', CAST(unit_id AS VARCHAR), '0')), 1, 8))::BIGINT, unit_id) - 1 AS rk,
          count(*) OVER (PARTITION BY y) AS n FROM units),
-sc AS (SELECT CASE WHEN sp.rk < round(sp.n * 0.3) THEN 'test' ELSE 'train' END AS split, xf.m AS p, xf.y
-       FROM xf JOIN sp USING (unit_id)),
-w AS (SELECT split, CAST(count(*) AS DOUBLE) AS n_samples, avg(CAST(y = 1 AS DOUBLE)) AS prevalence,
-             avg(CAST((p >= 0.5) = (y = 1) AS DOUBLE)) AS accuracy, avg((p - y) * (p - y)) AS brier FROM sc GROUP BY split)
-SELECT split, metric, round(value, 6) AS value FROM (UNPIVOT w ON n_samples, prevalence, accuracy, brier
+pr AS ({' UNION ALL '.join(f"SELECT '{k}' AS feature_set, * FROM ({_set_sql(v)})" for k, v in FEATURE_SETS.items())}),
+sc AS (SELECT feature_set, CASE WHEN sp.rk < round(sp.n * 0.3) THEN 'test' ELSE 'train' END AS split, pr.p, pr.y
+       FROM pr JOIN sp USING (unit_id)),
+bs AS (SELECT feature_set, split, CAST(count(*) AS DOUBLE) AS n_samples, avg(CAST(y = 1 AS DOUBLE)) AS prevalence,
+             avg(CAST((p >= 0.5) = (y = 1) AS DOUBLE)) AS accuracy, avg((p - y) * (p - y)) AS brier
+       FROM sc GROUP BY feature_set, split),
+ds AS (SELECT feature_set, split, p, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y <> 1) AS neg
+       FROM sc GROUP BY feature_set, split, p),
+rk AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY feature_set, split ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING
+                 AND 1 PRECEDING), 0) AS neg_below,
+              sum(pos) OVER up AS pos_from, sum(neg) OVER up AS neg_from,
+              sum(pos) OVER (PARTITION BY feature_set, split) AS np, sum(neg) OVER (PARTITION BY feature_set, split) AS nn
+       FROM ds WINDOW up AS (PARTITION BY feature_set, split ORDER BY p DESC)),
+au AS (SELECT feature_set, split, sum(pos * (neg_below + 0.5 * neg)) / (max(np) * max(nn)) AS roc_auc,
+              sum(pos / np * (pos_from / (pos_from + neg_from))) AS pr_auc FROM rk GROUP BY feature_set, split),
+w AS (SELECT * FROM bs JOIN au USING (feature_set, split))
+SELECT feature_set, split, metric, round(value, 6) AS value FROM (UNPIVOT w ON {', '.join(METRICS)}
   INTO NAME metric VALUE value)""")
 def q_score_comparison(spark, sf_dir):
-    from trialframe.operators.features import stratified_split
-    xf = crossfit_d(spark, sf_dir).select("unit_id", F.col("m").alias("p"), "y")
-    sp = stratified_split(units_d(spark, sf_dir).select("unit_id", "y"), "unit_id", ["y"], 0.3, seed=0)
-    j = xf.join(sp.select("unit_id", "split"), "unit_id")
-    w = j.groupBy("split").agg(
-        F.count(F.lit(1)).cast("double").alias("n_samples"), F.avg((F.col("y") == 1).cast("double")).alias("prevalence"),
-        F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("double")).alias("accuracy"),
-        F.avg((F.col("p") - F.col("y")) ** 2).alias("brier"))
-    return rounded(RP.metrics_long(w, ["split"], ["n_samples", "prevalence", "accuracy", "brier"]))
+    """M6: scores of every feature set on every split; the sets and splits share one pass of rank metrics."""
+    from trialframe.operators.features import assign_folds, stratified_split
+    u = cut_lineage(assign_folds(units_d(spark, sf_dir), "unit_id", ["a"], k=N_FOLDS, seed=FOLD_SEED))
+    preds = None
+    for name, strata in FEATURE_SETS.items():
+        one = K.crossfit_cell_nuisances(u, strata, "fold").select("unit_id", F.lit(name).alias("feature_set"),
+                                                                  F.col("m").alias("p"), "y")
+        preds = one if preds is None else preds.unionByName(one)
+    sp = stratified_split(u.select("unit_id", "y"), "unit_id", ["y"], 0.3, seed=0)
+    by = ["feature_set", "split"]
+    scores = DG.binary_scores(preds.join(sp.select("unit_id", "split"), "unit_id"), "p", "y", by=by)
+    return rounded(RP.metrics_long(scores, by, METRICS))
