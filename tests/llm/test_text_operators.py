@@ -180,6 +180,20 @@ def test_names_do_not_hide_the_article():
     assert page.extract(text, {}) == "A title\nBody of the text."
 
 
+def test_html_long_broken_pages():
+    """End tags without an element, deep nesting and many open elements take linear time."""
+    import time
+    n = 1 << 20
+    for broken in ("<div>" * (n // 10) + "x</q>" * (n // 10), "<div>word " * (n // 10), "<header>x " * (n // 10),
+                   "<b>" * (n // 6) + "</i>" * (n // 8)):
+        t0 = time.process_time()
+        page.label(broken)
+        page.extract(broken, {})
+        assert time.process_time() - t0 < 10          # a walk of the stack for each tag took over an hour
+    deep = "<div>" * 1000 + "<article><p>one two</q></p></article>" + "</div>" * 1000
+    assert page.extract(deep, {}) == "one two"
+
+
 def test_html_cases(spark):
     pages = [None, "", "plain words only", "<p>unclosed <b>bold<p>next", "<div>cut off <a href='", "<script>only", "< 3 > 2",
              "<p>" + "word " * 40_000 + "</p>", ARTICLE, ARTICLE]

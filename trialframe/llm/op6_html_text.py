@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -138,6 +139,11 @@ def parse(page: str):
     runs: list[tuple[str, int, int]] = []
     seq: list[tuple[str, int]] = []           # tag name or "" for a run, with its node or run number
     stack, block = [0], 0
+    still: Counter[str] = Counter()           # open elements by name: an end tag without one looks at no element
+
+    def shut_last():
+        still[nodes[stack.pop()][0]] -= 1
+
     for kind, name, text in tokens(page):
         if kind == "text":
             seq.append(("", len(runs)))
@@ -147,25 +153,26 @@ def parse(page: str):
         if kind == "open":
             shut = CLOSES.get(name)
             if shut and nodes[stack[-1]][0] in shut:
-                stack.pop()
+                shut_last()
             elif name not in INLINE:
                 while nodes[stack[-1]][0] == "p" or nodes[stack[-1]][0] in INLINE:
-                    stack.pop()               # a block ends an open paragraph and what is left open in it
+                    shut_last()               # a block ends an open paragraph and what is left open in it
             out = is_out(name, text)
             if name == "header" and not out:
-                out = int(not any(nodes[i][0] in ("article", "main") for i in stack))
+                out = int(not still["article"] and not still["main"])
             nodes.append((name, stack[-1], out))
             seq.append((name, len(nodes) - 1))
             if name == "br":
                 runs.append((" ", stack[-1], block))
             if name not in VOID and not text.endswith("/"):
                 stack.append(len(nodes) - 1)
+                still[name] += 1
         else:
             seq.append(("/" + name, stack[-1]))
-            for i in range(len(stack) - 1, 0, -1):
-                if nodes[stack[i]][0] == name:
-                    del stack[i:]
-                    break
+            if still[name]:
+                while nodes[stack[-1]][0] != name:
+                    shut_last()
+                shut_last()
     return outside(nodes), runs, seq
 
 
@@ -221,13 +228,15 @@ def extract(page: str | None, cost: dict[str, float]) -> str:
     top = best_run(seq, words, cost)
     if top is None:
         return ""
-    common = None
-    for i in range(top[0], top[1] + 1):
-        if words[i]:
-            up = ancestors(nodes, runs[i][1])
-            common = set(up) if common is None else common & set(up)
-    # The smallest element around the run; a paragraph or text element stands for the element around it.
-    root = max(common)
+    # The smallest element around the run, which is that around its first and last node in page order;
+    # a paragraph or text element stands for the element around it.
+    inside = [runs[i][1] for i in range(top[0], top[1] + 1) if words[i]]
+    root, last = min(inside), max(inside)
+    while root != last:
+        if root < last:
+            last = nodes[last][1]
+        else:
+            root = nodes[root][1]
     while root and (nodes[root][0] in INLINE or nodes[root][0] in ("p", "li", "h1", "h2", "h3", "h4", "h5", "h6")):
         root = nodes[root][1]
     marked = [a for a in ancestors(nodes, root) if nodes[a][0] in ("article", "main")]
@@ -249,7 +258,7 @@ def extract(page: str | None, cost: dict[str, float]) -> str:
 
 def label(page: str | None) -> list[tuple[str, int, int]]:
     """(tag, words after it inside the content, words after it outside) of a page that marks its content
-    with ``article``, ``main`` or ``itemprop=articleBody``; nothing for other pages."""
+    with ``article`` or ``main``; nothing for other pages."""
     nodes, runs, seq = parse(page or "")
     inside = bytearray(len(nodes))
     for i, (name, parent, _) in enumerate(nodes):
