@@ -92,3 +92,33 @@ def test_covariate_events_shape_each_source(spark):
                                   "stay_id long, starttime timestamp_ntz, code string, value int")
     got = EV.covariate_events([one, twice], pop).collect()
     assert [(r.subject_id, r.stay_id, r.code, r.value) for r in got] == [(1, 100, "hr", 1.0)]
+
+
+def test_bridge_equals_a_join_for_each_source(spark):
+    pop = spark.createDataFrame([(1, 10, 100, ts("2024-01-05")), (1, 11, 101, ts("2024-01-09")), (2, None, 102, ts("2024-01-05"))],
+                                "subject_id long, hadm_id long, stay_id long, inclusion_start timestamp_ntz")
+    rows = [(1, ts("2024-01-01"), 1.0), (1, ts("2024-01-07"), 2.0), (2, ts("2024-01-01"), 3.0), (2, ts("2024-01-01"), 3.0),
+            (None, ts("2024-01-01"), 4.0), (9, ts("2024-01-01"), 5.0)]
+
+    def source(key, base):
+        return spark.createDataFrame([(None if k is None else base + k, t, "d", key, v) for k, t, v in rows],
+                                     f"{key} long, starttime timestamp_ntz, domain string, code string, value double")
+
+    some = [source("subject_id", 0), source("hadm_id", 9), source("stay_id", 99)]
+    got = EV.bridged_events(some, pop)
+    want = EV.covariate_events(some, pop)
+    assert got.columns == want.columns and want.count() > 3
+    assert got.exceptAll(want).count() == want.exceptAll(got).count() == 0
+    mixed = [some[0].select(F.lit("subject_id").alias("key_kind"), F.col("subject_id").alias("key"), "starttime", "domain", "code", "value")]
+    assert EV.bridged_events(mixed, pop).exceptAll(EV.covariate_events(some[:1], pop)).count() == 0
+    assert EV.bridged_events([s.limit(0) for s in some], pop).count() == 0
+
+
+def test_csv_log_keeps_one_header(spark):
+    folder = _folder(spark, "csvlog")
+    rows = spark.createDataFrame([("a", 0.5), ("b", None)], "name string, v double")
+    IO.log_rows(rows, folder, fmt="csv")
+    IO.log_rows(rows, folder, fmt="csv")
+    back = IO.read_log(spark, folder, rows.schema)
+    assert back.count() == 4 and back.select("run_id").distinct().count() == 2 and rows.columns == ["name", "v"]
+    assert {(r["name"], r["v"]) for r in back.collect()} == {("a", 0.5), ("b", None)}

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from trialframe.functions.time import shift
 from trialframe.operators.relational import (
-    drop_all_duplicated, observation_window, to_event_schema, union_all, unpivot_long,
+    EVENT_SCHEMA, STAY_KEYS, drop_all_duplicated, join_key, observation_window, to_event_schema, union_all,
+    unpivot_long,
 )
 
 
@@ -98,6 +99,33 @@ def covariate_events(sources: Sequence[DataFrame], population: DataFrame,
     return drop_all_duplicated(union_all(seen))
 
 
+KEYED_FIELDS = ["starttime", "endtime", "domain", "code", "label", "value"]
+
+
+def keyed_source(source: DataFrame) -> DataFrame:
+    """A source's events as ``key_kind, key`` and the event fields.  A source with these two columns
+    may mix kinds of keys; any other goes by its most specific stay key."""
+    if not {"key_kind", "key"} <= set(source.columns):
+        name = join_key(source)
+        source = source.withColumns({"key_kind": F.lit(name), "key": F.col(name)})
+    fields = [(F.col(c) if c in source.columns else F.lit(None)).cast(EVENT_SCHEMA[c].dataType).alias(c) for c in KEYED_FIELDS]
+    return source.select("key_kind", F.col("key").cast("bigint").alias("key"), *fields)
+
+
+def bridged_events(sources: Sequence[DataFrame], population: DataFrame, end_col: str = "inclusion_start") -> DataFrame:
+    """Any number of event sources, keyed by stay, admission or patient, as events of the population up
+    to ``end_col``, every duplicated row removed (S8).
+
+    The population is laid out once for each kind of key (a bridge of three rows a unit), and the united
+    sources meet it in one join on (kind, key): one shuffle of the events however many sources there are.
+    Events and units with a null key meet nothing; a unit's key that many events share is split by AQE."""
+    keys = F.array(*[F.struct(F.lit(k).alias("key_kind"), F.col(k).cast("bigint").alias("key")) for k in STAY_KEYS])
+    bridge = population.select(*STAY_KEYS, F.col(end_col).alias("_end"), F.explode(keys).alias("_k")) \
+                       .select(*STAY_KEYS, "_end", "_k.key_kind", "_k.key").filter("key is not null")
+    seen = union_all([keyed_source(s) for s in sources]).join(bridge, ["key_kind", "key"]).filter(F.col("starttime") <= F.col("_end"))
+    return drop_all_duplicated(to_event_schema(seen))
+
+
 def static_flags(units: DataFrame, flags: Mapping[str, F.Column]) -> DataFrame:
     """0/1 static covariates from boolean expressions (null -> 0)."""
     return units.withColumns({k: F.coalesce(v.cast("int"), F.lit(0)) for k, v in flags.items()})

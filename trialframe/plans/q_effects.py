@@ -332,6 +332,9 @@ bs AS (SELECT count(*) AS n_samples, avg(CAST(y = 1 AS DOUBLE)) AS prevalence,
               count(*) FILTER (WHERE p < 0.5 AND y = 1) AS fn, count(*) FILTER (WHERE p < 0.5 AND y <> 1) AS tn FROM sc)"""
 
 
+BINARY_SCORE_COLS = ["n_samples", "prevalence", "accuracy", "roc_auc", "pr_auc", "tn", "fp", "fn", "tp"]
+
+
 @register("binary_scores", f"""WITH {SCORES_SQL}
 SELECT n_samples, round(prevalence, 6) AS prevalence, round(accuracy, 6) AS accuracy,
   round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) END, 6) AS precision,

@@ -44,4 +44,4 @@ def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
 def load_all() -> None:
     """Import every module that registers queries."""
     from trialframe.plans import (q_cohort, q_primitives, q_events, q_effects,  # noqa: F401
-                                  q_reports, q_ml, q_cate)
+                                  q_reports, q_ml, q_cate, q_covariates)

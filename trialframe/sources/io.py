@@ -144,8 +144,11 @@ def log_rows(df: DataFrame, folder: str, fmt: str = "parquet") -> str:
     return run_id
 
 
-def read_log(spark: SparkSession, folder: str) -> DataFrame:
-    """Read every appended run back; schemas of older runs are merged."""
+def read_log(spark: SparkSession, folder: str, csv_schema: T.StructType | None = None) -> DataFrame:
+    """Read every appended run back; schemas of older runs are merged.  A CSV log
+    is read with its schema (and the run's folder name)."""
+    if csv_schema is not None:
+        return spark.read.schema(T.StructType([*csv_schema.fields, T.StructField("run_id", T.StringType())])).option("header", True).csv(folder)
     return spark.read.option("mergeSchema", True).parquet(folder)
 
 
