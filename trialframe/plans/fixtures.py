@@ -70,12 +70,13 @@ def stays(spark: SparkSession, sf_dir: str, firsts: dict | None = None) -> DataF
                       *(firsts or {}).keys()))
 
 
-def stay_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stay_detail(spark: SparkSession, sf_dir: str, firsts: dict | None = None) -> DataFrame:
     """icustay_detail analogue: stays + demographics + first-stay flag + dod.
 
-    dod = first ``error`` of the user at or after the stay start.
+    dod = first ``error`` of the user at or after the stay start.  ``firsts``
+    as in ``stays``.
     """
-    st = stays(spark, sf_dir)
+    st = stays(spark, sf_dir, firsts)
     first = st.groupBy("subject_id").agg(F.min("intime").alias("_first_in"))
     cust = read_table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("subject_id"), "c_acctbal", "c_mktsegment", "c_nationkey")
@@ -92,7 +93,7 @@ def stay_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(F.col("c_mktsegment").isin("BUILDING", "MACHINERY"), F.lit("F"))
                        .otherwise(F.lit("M")).alias("gender"),
                       "race", "c_mktsegment", "dod",
-                      (seconds_between("outtime", "intime") / 86400.0).alias("los_icu")))
+                      (seconds_between("outtime", "intime") / 86400.0).alias("los_icu"), *(firsts or {}).keys()))
 
 
 def death_after(spark: SparkSession, sf_dir: str, population: DataFrame,

@@ -128,11 +128,14 @@ def q_base_population(spark, sf_dir):
 
 # ------------------------------------------------------------ H3, H7-H9
 
-def e_criteria(spark, sf_dir):
-    sd = X.stay_detail(spark, sf_dir)
+def e_criteria(sd):
+    """Stay-level criteria from a materialised stay table with ``_first_view``: one scan of the events for all."""
+    since = seconds_between("_first_view", "intime")
     return OrderedDict([
         ("non_negative_balance", sd.filter(F.col("admission_age") >= 0).select("stay_id")),
         ("stay_over_1_day", sd.filter(F.col("los_icu") >= 1).select("stay_id")),
+        (C.INCLUSION_EVENT, sd.filter((since >= 0) & (since <= W_E_SEC))
+            .select("stay_id", F.col("_first_view").alias("inclusion_start"))),
     ])
 
 
@@ -157,18 +160,13 @@ UNION ALL SELECT DISTINCT 3, 'inclusion_event', subject_id FROM stays
   WHERE stay_id IN (SELECT stay_id FROM c1) AND stay_id IN (SELECT stay_id FROM c2)
     AND stay_id IN (SELECT stay_id FROM incl)""")
 def q_roll_inclusion(spark, sf_dir):
-    st = X.stays(spark, sf_dir).select("subject_id", "hadm_id", "stay_id", "intime")
-    kev = X.keyed_events(spark, sf_dir)
-    views = kev.filter(F.col("event_type") == "view").select("stay_id", F.col("ts").alias("starttime"), "event_id")
-    crit = e_criteria(spark, sf_dir)
-    crit[C.INCLUSION_EVENT] = C.first_event_in_window(views, st, W_E, tiebreak=["event_id"])
-    _, steps = C.roll_inclusion(st, crit)
+    sd = cut_lineage(X.stay_detail(spark, sf_dir, {"_first_view": F.col("event_type") == "view"}))
+    _, steps = C.roll_inclusion(sd.select("subject_id", "hadm_id", "stay_id", "intime"), e_criteria(sd))
     return steps
 
 
-def e_patient_sets(spark, sf_dir):
-    """Patient-level criteria for the flowchart: id frames in order."""
-    sd = X.stay_detail(spark, sf_dir)
+def e_patient_sets(spark, sf_dir, sd):
+    """Patient-level criteria for the flowchart, from the materialised stay table ``sd``: id frames in order."""
     pop = cohort_e_population(spark, sf_dir)
     return sd.select("subject_id").distinct(), OrderedDict([
         ("non_negative_balance", sd.filter(F.col("admission_age") >= 0).select("subject_id")),
@@ -203,7 +201,7 @@ steps AS (
 @register("attrition", f"WITH {PATIENT_SETS_SQL} SELECT step_no, criterion, n_input, n_kept, "
                        "n_input - n_kept AS n_excluded FROM steps")
 def q_attrition(spark, sf_dir):
-    base, sets = e_patient_sets(spark, sf_dir)
+    base, sets = e_patient_sets(spark, sf_dir, cut_lineage(X.stay_detail(spark, sf_dir)))
     crit = OrderedDict([("initial", base), *sets.items()])
     # bit 0 marks the initial population (every patient gets a row); shifting
     # it out leaves bit k = criterion k for the step masks
@@ -223,10 +221,10 @@ SELECT step_no, criterion, count(*) AS n_excluded, round(avg(ch.a), 6) AS mean_a
        round(avg(ch.f), 6) AS mean_Female
 FROM ex JOIN ch USING (subject_id) GROUP BY step_no, criterion""")
 def q_excluded_profile(spark, sf_dir):
-    base, sets = e_patient_sets(spark, sf_dir)
+    sd = cut_lineage(X.stay_detail(spark, sf_dir))
+    base, sets = e_patient_sets(spark, sf_dir, sd)
     crit = OrderedDict([("initial", base), *sets.items()])
     flags = C.patient_flags(crit).withColumn("_mask", F.shiftright("_mask", 1))
-    sd = X.stay_detail(spark, sf_dir)
     chars = sd.groupBy("subject_id").agg(F.avg("admission_age").alias("admission_age"),
                                          F.avg(F.when(F.col("gender") == "F", 1).otherwise(0)).alias("Female"))
     return rounded(C.excluded_profile(flags, list(sets), chars, ["admission_age", "Female"]))

@@ -31,14 +31,16 @@ def units_d(spark, sf_dir):
     return cut_lineage(X.document_units(spark, sf_dir))
 
 
-def cells_d(spark, sf_dir):
-    return K.cell_nuisances(units_d(spark, sf_dir), STRATA)
+def cells_d(spark, sf_dir, units=None):
+    """In-sample cell nuisances of the units (``units``: a materialised ``units_d``)."""
+    return K.cell_nuisances(units_d(spark, sf_dir) if units is None else units, STRATA)
 
 
-def crossfit_d(spark, sf_dir):
+def crossfit_d(spark, sf_dir, units=None):
     """Units with folds (materialised: read by the (stratum, fold) sums, the
     fold totals and the join-back) and their out-of-fold cell nuisances."""
-    u = cut_lineage(FE.assign_folds(units_d(spark, sf_dir), "unit_id", ["a"], k=N_FOLDS, seed=FOLD_SEED))
+    units = units_d(spark, sf_dir) if units is None else units
+    u = cut_lineage(FE.assign_folds(units, "unit_id", ["a"], k=N_FOLDS, seed=FOLD_SEED))
     return K.crossfit_cell_nuisances(u, STRATA, "fold")
 
 
@@ -194,8 +196,8 @@ b AS (SELECT (s11 * t0 - s01 * t1) / (s00 * s11 - s01 * s01) AS b0,
              (s00 * t1 - s01 * t0) / (s00 * s11 - s01 * s01) AS b1 FROM g)"""
 
 
-def _cate_inputs(spark, sf_dir):
-    xf = crossfit_d(spark, sf_dir)
+def _cate_inputs(spark, sf_dir, xf=None):
+    xf = crossfit_d(spark, sf_dir) if xf is None else xf
     return xf.select((F.col("a") - F.col("e")).alias("_ar"), (F.col("y") - F.col("m")).alias("_yr"),
                      F.col("toxic").cast("double").alias("toxic"))
 
@@ -253,18 +255,22 @@ def q_bootstrap_aipw_refit(spark, sf_dir):
 
 # ------------------------------------------------------------------ K22
 
-@register("trial_benchmark", f"""SELECT 'reference_trial' AS estimation_method,
+TRIAL = (285, 895, 288, 900)      # Fixed values: the published trial's counts (deaths / patients per arm).
+TRIAL_SQL = """SELECT 'reference_trial' AS estimation_method,
   round(285.0 / 895 - 288.0 / 900, 6) AS "ATE",
   round(285.0 / 895 - 288.0 / 900 - 1.96 * sqrt((285.0 / 895) * (1 - 285.0 / 895) / 895
         + (288.0 / 900) * (1 - 288.0 / 900) / 900), 6) AS "ATE_lower",
   round(285.0 / 895 - 288.0 / 900 + 1.96 * sqrt((285.0 / 895) * (1 - 285.0 / 895) / 895
         + (288.0 / 900) * (1 - 288.0 / 900) / 900), 6) AS "ATE_upper"
+"""
+
+
+@register("trial_benchmark", f"""{TRIAL_SQL}
 UNION ALL
 SELECT 'naive', round(ate, 6), round(ate - 1.96 * se, 6), round(ate + 1.96 * se, 6)
 FROM (WITH {X.DOC_UNITS_SQL.strip()} SELECT {DIFF_MEANS_SQL} FROM units)""")
 def q_trial_benchmark(spark, sf_dir):
-    # The published trial's counts (deaths / patients per arm).
-    trial = K.trial_benchmark(spark, 285, 895, 288, 900, "reference_trial")
+    trial = K.trial_benchmark(spark, *TRIAL, "reference_trial")
     naive = K.diff_means(X.document_units(spark, sf_dir)).select(F.lit("naive").alias("estimation_method"), "ATE",
                                                          "ATE_lower", "ATE_upper")
     return rounded(trial.unionByName(naive))
@@ -277,8 +283,9 @@ nu AS (SELECT * FROM nu0), xs AS (SELECT * FROM ({CROSSFIT_SQL.replace(X.DOC_UNI
   SELECT unit_id, e AS e_oof FROM xf))
 SELECT round(0.5 * avg(abs(nu.e - xs.e_oof)), 6) AS total_variation FROM nu JOIN xs USING (unit_id)""")
 def q_total_variation(spark, sf_dir):
-    a = cells_d(spark, sf_dir).select("unit_id", "e")
-    b = crossfit_d(spark, sf_dir).select("unit_id", F.col("e").alias("e_oof"))
+    u = units_d(spark, sf_dir)
+    a = cells_d(spark, sf_dir, u).select("unit_id", "e")
+    b = crossfit_d(spark, sf_dir, u).select("unit_id", F.col("e").alias("e_oof"))
     return rounded(DG.total_variation(a.join(b, "unit_id"), "e", "e_oof"))
 
 

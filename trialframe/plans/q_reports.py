@@ -13,7 +13,7 @@ from trialframe.operators import reports as RP
 from trialframe.plans import fixtures as X
 from trialframe.plans.q_cohort import WINDOWS
 from trialframe.plans.q_effects import (
-    AIPW_PSI, CATE_SQL, CELLS_SQL, CROSSFIT_SQL, DIFF_MEANS_SQL, DML_SQL, FOLD_SEED, N_FOLDS, _cate_inputs, cells_d, crossfit_d,
+    AIPW_PSI, CATE_SQL, CELLS_SQL, CROSSFIT_SQL, DIFF_MEANS_SQL, DML_SQL, FOLD_SEED, N_FOLDS, TRIAL, TRIAL_SQL, _cate_inputs, cells_d, crossfit_d,
     units_d,
     NN_SQL,
 )
@@ -86,27 +86,31 @@ def q_table_one_pvalues(spark, sf_dir):
 # ------------------------------------------------------------------ M3
 
 # Fixed display labels, groups and order of the estimators in the forest plot.
-METHOD_LABELS = {"diff_means": "Difference in means", "ipw_ht": "Inverse Propensity Weighting",
+METHOD_LABELS = {"reference_trial": "Reference trial", "diff_means": "Difference in means", "ipw_ht": "Inverse Propensity Weighting",
                  "aipw": "Doubly Robust (AIPW)", "dml_cells": "Double Machine Learning",
                  "psm_ate": "Propensity Score Matching"}
-METHOD_GROUPS = {"diff_means": "Unadjusted", "ipw_ht": "Adjusted", "aipw": "Adjusted",
+METHOD_GROUPS = {"reference_trial": "Trial", "diff_means": "Unadjusted", "ipw_ht": "Adjusted", "aipw": "Adjusted",
                  "dml_cells": "Adjusted", "psm_ate": "Adjusted"}
-METHOD_ORDER = ["diff_means", "ipw_ht", "psm_ate", "aipw", "dml_cells"]
+METHOD_ORDER = ["reference_trial", "diff_means", "ipw_ht", "psm_ate", "aipw", "dml_cells"]
 
 
 def estimates_d(spark, sf_dir):
-    """One row per estimator on cohort D (method, ATE, lower, upper)."""
+    """The trial's row and one per estimator on cohort D (method, ATE, lower, upper), all from one
+    materialised unit frame."""
     null = F.lit(None).cast("double")
+    u = units_d(spark, sf_dir)
+    cells = cut_lineage(cells_d(spark, sf_dir, u))
     rows = [
-        K.diff_means(X.document_units(spark, sf_dir)).select(F.lit("diff_means").alias("estimation_method"), "ATE",
+        K.trial_benchmark(spark, *TRIAL, "reference_trial"),
+        K.diff_means(u).select(F.lit("diff_means").alias("estimation_method"), "ATE",
                                                     "ATE_lower", "ATE_upper"),
-        K.ipw(cells_d(spark, sf_dir)).select(F.lit("ipw_ht").alias("estimation_method"), "ATE",
+        K.ipw(cells).select(F.lit("ipw_ht").alias("estimation_method"), "ATE",
                                              null.alias("ATE_lower"), null.alias("ATE_upper")),
-        K.aipw(cells_d(spark, sf_dir)).select(F.lit("aipw").alias("estimation_method"), "ATE", "ATE_lower",
+        K.aipw(cells).select(F.lit("aipw").alias("estimation_method"), "ATE", "ATE_lower",
                                               "ATE_upper"),
-        K.dml_ate(crossfit_d(spark, sf_dir)).select(F.lit("dml_cells").alias("estimation_method"), "ATE",
+        K.dml_ate(crossfit_d(spark, sf_dir, u)).select(F.lit("dml_cells").alias("estimation_method"), "ATE",
                                                     "ATE_lower", "ATE_upper"),
-        MT.psm_ate(cells_d(spark, sf_dir)).select(F.lit("psm_ate").alias("estimation_method"), "ATE",
+        MT.psm_ate(cells).select(F.lit("psm_ate").alias("estimation_method"), "ATE",
                                                   null.alias("ATE_lower"), null.alias("ATE_upper")),
     ]
     out = rows[0]
@@ -131,6 +135,7 @@ est AS (
   UNION ALL SELECT 'aipw', avg({AIPW_PSI}), avg({AIPW_PSI}) - 1.96 * stddev_samp({AIPW_PSI}) / sqrt(count(*)),
                    avg({AIPW_PSI}) + 1.96 * stddev_samp({AIPW_PSI}) / sqrt(count(*)) FROM nu
   UNION ALL SELECT 'dml_cells', ate, ate - 1.96 * se, ate + 1.96 * se FROM v
+  UNION ALL ({TRIAL_SQL})
   UNION ALL SELECT 'psm_ate', sum(CASE WHEN arm = 1 THEN sy - n * match_y ELSE n * match_y - sy END) / sum(n), NULL, NULL FROM nn
 )
 SELECT estimation_method, round("ATE", 6) AS "ATE", round("ATE_lower", 6) AS "ATE_lower",
@@ -210,8 +215,9 @@ l AS (SELECT cate, 'toxic' AS feature, toxic AS feature_value FROM u
 SELECT feature, feature_value, count(*) AS n, round(avg(cate), 6) AS mean, round(quantile_cont(cate, 0.05), 6) AS q05,
        round(quantile_cont(cate, 0.95), 6) AS q95 FROM l GROUP BY feature, feature_value""")
 def q_cate_subgroups(spark, sf_dir):
-    coefs = K.cate_linear(_cate_inputs(spark, sf_dir), ["toxic"])
-    xf = crossfit_d(spark, sf_dir).select(F.col("toxic").cast("double").alias("toxic"),
+    crossfit = cut_lineage(crossfit_d(spark, sf_dir))
+    coefs = K.cate_linear(_cate_inputs(spark, sf_dir, crossfit), ["toxic"])
+    xf = crossfit.select(F.col("toxic").cast("double").alias("toxic"),
                                           (F.col("s2") == 0).cast("int").alias("short_doc"))
     per_unit = xf.withColumn("cate", K.theta_expr(coefs))
     return rounded(RP.subgroup_summary(per_unit, "cate", ["toxic", "short_doc"]))
