@@ -24,11 +24,9 @@ from trialframe.session import checkpoint_dir, cut_lineage
 from trialframe.sources import io as IO
 from trialframe.sources.io import read_table
 
-NO_TIME = F.lit(None).cast("timestamp_ntz")
 
-
-def _event(domain, code, start, value, end=NO_TIME, label=None, when=None):
-    s = F.struct(F.col(start).alias("starttime"), end.alias("endtime"), F.lit(domain).alias("domain"),
+def _event(domain, code, start, value, end=None, label=None, when=None):
+    s = F.struct(F.col(start).alias("starttime"), (F.lit(None).cast("timestamp_ntz") if end is None else end).alias("endtime"), F.lit(domain).alias("domain"),
                  F.lit(code).alias("code"), (F.lit(code) if label is None else label).alias("label"),
                  value.cast("double").alias("value"))
     return s if when is None else F.when(when, s)
