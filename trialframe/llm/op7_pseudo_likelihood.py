@@ -101,11 +101,12 @@ def windows(ids: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Parameters in one float32 vector, so that copies can be averaged."""
+    """Parameters in one float32 vector, so that copies can be averaged.  The last row of a weight matrix is the
+    bias: the hidden layer ends in a column of ones."""
 
+    CLASSES = (WORDS + BUCKETS) // CLASS
     SHAPES = (("inner", (2 * SIDE, WORDS + BUCKETS + 1, HIDDEN)), ("bias", (HIDDEN,)),
-              ("klass", (HIDDEN, (WORDS + BUCKETS) // CLASS)), ("klass_bias", ((WORDS + BUCKETS) // CLASS,)),
-              ("word", ((WORDS + BUCKETS) // CLASS, HIDDEN, CLASS)), ("word_bias", ((WORDS + BUCKETS) // CLASS, CLASS)))
+              ("klass", (HIDDEN + 1, CLASSES)), ("word", (CLASSES, HIDDEN + 1, CLASS)))
 
     def __init__(self, flat: np.ndarray | None = None):
         size = sum(int(np.prod(s)) for _, s in self.SHAPES)
@@ -118,76 +119,99 @@ class Network:
             at += n
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.inner[0][around[0]]
+        h = np.ones((around.shape[1], HIDDEN + 1), np.float32)
+        x = self.inner[0][around[0]]
         for o in range(1, 2 * SIDE):
-            h += self.inner[o][around[o]]
-        return np.tanh(h + self.bias)
+            x += self.inner[o][around[o]]
+        x += self.bias
+        np.tanh(x, out=h[:, :HIDDEN])
+        return h
+
+    def by_class(self, around: np.ndarray, target: np.ndarray):
+        """Hidden layer, class, place in the class, and ``(class, from, to)`` runs, with rows in order of class."""
+        order = np.argsort((target // CLASS).astype(np.int16), kind="stable")
+        around, target = around[:, order], target[order]
+        klass = target // CLASS
+        cut = np.searchsorted(klass, np.arange(self.CLASSES + 1))
+        runs = [(c, cut[c], cut[c + 1]) for c in np.flatnonzero(np.diff(cut))]
+        return order, around, self.hidden(around), klass, target % CLASS, runs
+
+    def logits(self, h: np.ndarray, runs) -> tuple[np.ndarray, np.ndarray]:
+        """Of all classes, and of the words of each row's class."""
+        inside = np.empty((len(h), CLASS), np.float32)
+        for c, lo, hi in runs:
+            np.matmul(h[lo:hi], self.word[c], out=inside[lo:hi])
+        return h @ self.klass, inside
 
     def log_prob(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Conditional log-probability of every target, given the words around it."""
-        h = self.hidden(around)
-        klass = target // CLASS
-        out = pick(h @ self.klass + self.klass_bias, klass)
-        order = np.argsort(klass, kind="stable")
-        cut = np.searchsorted(klass[order], np.arange(len(self.klass_bias) + 1))
-        for c in range(len(self.klass_bias)):
-            rows = order[cut[c]:cut[c + 1]]
-            if len(rows):
-                out[rows] += pick(h[rows] @ self.word[c] + self.word_bias[c], target[rows] % CLASS)
+        order, _, h, klass, place, runs = self.by_class(around, target)
+        of_class, of_word = self.logits(h, runs)
+        out = np.empty(len(target), np.float32)
+        out[order] = pick(of_class, klass) + pick(of_word, place)
         return out
 
     def train(self, around: np.ndarray, target: np.ndarray, seen: Network) -> None:
         """One AdaGrad step on a batch; ``seen`` holds the squared gradients so far."""
         n = len(target)
-        h = self.hidden(around)
-        klass, inside = target // CLASS, target % CLASS
-        g = softmax(h @ self.klass + self.klass_bias)
+        _, around, h, klass, place, runs = self.by_class(around, target)
+        g, q = map(softmax, self.logits(h, runs))
         g[np.arange(n), klass] -= 1
-        back = g @ self.klass.T
+        q[np.arange(n), place] -= 1
+        back = g @ self.klass[:HIDDEN].T
+        grad = np.zeros_like(self.word)
+        for c, lo, hi in runs:
+            back[lo:hi] += q[lo:hi] @ self.word[c, :HIDDEN].T
+            np.matmul(h[lo:hi].T, q[lo:hi], out=grad[c])
         step(self.klass, seen.klass, h.T @ g / n)
-        step(self.klass_bias, seen.klass_bias, g.mean(0))
-        order = np.argsort(klass.astype(np.int16), kind="stable")
-        cut = np.searchsorted(klass[order], np.arange(len(self.klass_bias) + 1))
-        sorted_h, sorted_inside, more = h[order], inside[order], np.empty_like(h)
-        for c in np.flatnonzero(np.diff(cut)):
-            lo, hi = cut[c], cut[c + 1]
-            q = softmax(sorted_h[lo:hi] @ self.word[c] + self.word_bias[c])
-            q[np.arange(hi - lo), sorted_inside[lo:hi]] -= 1
-            more[lo:hi] = q @ self.word[c].T
-            step(self.word[c], seen.word[c], sorted_h[lo:hi].T @ q / n)
-            step(self.word_bias[c], seen.word_bias[c], q.sum(0) / n)
-        back[order] += more
-        back *= (1 - h * h) / n
+        step(self.word, seen.word, grad / n)
+        x = h[:, :HIDDEN]
+        back *= (1 - x * x) / n
         step(self.bias, seen.bias, back.sum(0))
-        for o in range(2 * SIDE):
-            order = np.argsort(around[o].astype(np.int16), kind="stable")       # numbers stay below 2^15
-            ids = around[o][order]
-            first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-            used, grad = ids[first], np.add.reduceat(back[order], first, axis=0)
-            acc = seen.inner[o][used] + grad * grad
-            seen.inner[o][used] = acc
-            self.inner[o][used] -= RATE * grad / np.sqrt(acc + 1e-8)
+        inner, acc = (net.inner.reshape(-1, HIDDEN) for net in (self, seen))
+        places = (around + self.inner.shape[1] * np.arange(2 * SIDE)[:, None]).astype(np.int16).ravel()   # below 2^15
+        order = np.argsort(places, kind="stable")
+        ids = places[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        used = ids[first]
+        param, sums = inner[used], acc[used]
+        step(param, sums, np.add.reduceat(back[order % n], first, axis=0))
+        inner[used], acc[used] = param, sums
 
 
 def step(param: np.ndarray, seen: np.ndarray, grad: np.ndarray) -> None:
+    """AdaGrad in place; ``grad`` is used up."""
     seen += grad * grad
-    param -= RATE * grad / np.sqrt(seen + 1e-8)
+    root = seen + np.float32(1e-8)
+    np.sqrt(root, out=root)
+    grad /= root
+    grad *= np.float32(RATE)
+    param -= grad
+
+
+def tame(x: np.ndarray) -> None:
+    """Shift rows in place to a largest value of 0 where float32 could not hold the exponentials."""
+    if x.size and (x.max() > 40 or x.min() < -40):
+        x -= x.max(1, keepdims=True)
+
+
+def row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], np.float32)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(1, keepdims=True)
+    tame(x)
     np.exp(x, out=x)
-    x /= x.sum(1, keepdims=True)
+    x *= (1 / row_sums(x))[:, None]
     return x
 
 
 def pick(x: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log-softmax of each row at one place."""
-    top = x.max(1)
-    got = x[np.arange(len(x)), at] - top
-    x -= top[:, None]
+    tame(x)
+    got = x[np.arange(len(x)), at]
     np.exp(x, out=x)
-    return got - np.log(x.sum(1))
+    return got - np.log(row_sums(x))
 
 
 def share(count: np.ndarray, r: int, rounds: int) -> np.ndarray:
