@@ -202,6 +202,43 @@ def test_network_learns_and_is_normalised():
     assert net.log_prob(a, t).sum() > before
 
 
+@pytest.mark.parametrize("scale", [1, 60])      # 60: exponents that float32 cannot hold
+def test_network_equals_plain_softmax(scale):
+    rng = np.random.default_rng(5)
+    net = lm.Network()
+    net.klass *= scale
+    net.word *= scale
+    around, target = rng.integers(0, lm.WORDS + lm.BUCKETS + 1, (2 * lm.SIDE, 300)), rng.integers(0, lm.WORDS + lm.BUCKETS, 300)
+    got = net.log_prob(around, target)
+
+    def log_softmax(x):
+        return x - x.max() - np.log(np.exp(x - x.max()).sum())
+
+    for a, t, lp in zip(around.T, target, got, strict=True):
+        h = np.append(np.tanh(sum(net.inner[o, w].astype(float) for o, w in enumerate(a)) + net.bias), 1)
+        c, i = divmod(t, lm.CLASS)
+        want = log_softmax(h @ net.klass)[c] + log_softmax(h @ net.word[c])[i]
+        assert lp == pytest.approx(want, rel=1e-4, abs=1e-4)
+
+
+def test_step_follows_the_gradient():
+    rng = np.random.default_rng(6)
+    around, target = rng.integers(0, 6, (2 * lm.SIDE, 50)), rng.integers(0, 200, 50)
+    net, seen = lm.Network(), lm.Network(np.zeros_like(lm.Network().flat))
+    start = net.flat.copy()
+    net.train(around, target, seen)
+    moved = np.flatnonzero(seen.flat > 1e-8)
+    assert len(moved) > 100
+    for at in rng.choice(moved, 40, replace=False):
+        up, down = start.copy(), start.copy()
+        up[at] += 0.02
+        down[at] -= 0.02
+        loss = [-lm.Network(x).log_prob(around, target).astype(float).mean() for x in (up, down)]
+        slope = (loss[0] - loss[1]) / (up[at] - down[at])
+        assert np.sqrt(seen.flat[at]) == pytest.approx(abs(slope), rel=0.05, abs=5e-5)
+        assert np.sign(start[at] - net.flat[at]) == np.sign(slope)
+
+
 def test_windows_stay_inside_texts():
     pad = lm.WORDS + lm.BUCKETS
     w = lm.windows(np.array([1, 2, 3, 4], np.int32), np.array([3, 0, 1]))

@@ -41,8 +41,9 @@ CLASS = 64                             # words of a class; (WORDS + BUCKETS) / C
 SIDE = 2                               # words on either side
 HIDDEN = 32
 ROUNDS = 2
-BATCH = 2048
-RATE = 0.1
+BATCH = 4096
+SCORED = 4096                          # words scored at a time
+RATE = 0.15
 MERGE = (64, 4)                        # partial averages of network copies, in two steps
 U = np.uint64
 
@@ -112,23 +113,37 @@ class Network:
         size = sum(int(np.prod(s)) for _, s in self.SHAPES)
         if flat is None:
             flat = np.random.default_rng(3).normal(0, 0.1, size).astype(np.float32)
-        self.flat, at = flat, 0
+        self.flat, at, self.rooms = flat, 0, {}
         for name, shape in self.SHAPES:
             n = int(np.prod(shape))
             setattr(self, name, flat[at:at + n].reshape(shape))
             at += n
 
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """A work array that every batch uses again: new ones of this size cost more in page faults than the sums in them."""
+        n = int(np.prod(shape))
+        if name not in self.rooms or self.rooms[name].size < n:
+            self.rooms[name] = np.empty(n, np.float32)
+        return self.rooms[name][:n].reshape(shape)
+
+    def rows(self, name: str, x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """x[at] in a work array (all places are inside; ``clip`` only spares a copy)."""
+        return np.take(x, at, axis=0, out=self.room(name, len(at), x.shape[1]), mode="clip")
+
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        h = np.ones((around.shape[1], HIDDEN + 1), np.float32)
-        x = self.inner[0][around[0]]
+        n = around.shape[1]
+        x = self.rows("sum", self.inner[0], around[0])
         for o in range(1, 2 * SIDE):
-            x += self.inner[o][around[o]]
+            x += self.rows("part", self.inner[o], around[o])
         x += self.bias
-        np.tanh(x, out=h[:, :HIDDEN])
+        np.tanh(x, out=x)
+        h = self.room("hidden", n, HIDDEN + 1)
+        h[:, :HIDDEN], h[:, HIDDEN] = x, 1
         return h
 
     def by_class(self, around: np.ndarray, target: np.ndarray):
-        """Hidden layer, class, place in the class, and ``(class, from, to)`` runs, with rows in order of class."""
+        """Row order by class; in that order the words around, hidden layer, class, place in the class; and
+        ``(class, from, to)`` runs."""
         order = np.argsort((target // CLASS).astype(np.int16), kind="stable")
         around, target = around[:, order], target[order]
         klass = target // CLASS
@@ -138,10 +153,11 @@ class Network:
 
     def logits(self, h: np.ndarray, runs) -> tuple[np.ndarray, np.ndarray]:
         """Of all classes, and of the words of each row's class."""
-        inside = np.empty((len(h), CLASS), np.float32)
+        of_class = np.matmul(h, self.klass, out=self.room("of class", len(h), self.CLASSES))
+        of_word = self.room("of word", len(h), CLASS)
         for c, lo, hi in runs:
-            np.matmul(h[lo:hi], self.word[c], out=inside[lo:hi])
-        return h @ self.klass, inside
+            np.matmul(h[lo:hi], self.word[c], out=of_word[lo:hi])
+        return of_class, of_word
 
     def log_prob(self, around: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Conditional log-probability of every target, given the words around it."""
@@ -158,35 +174,43 @@ class Network:
         g, q = map(softmax, self.logits(h, runs))
         g[np.arange(n), klass] -= 1
         q[np.arange(n), place] -= 1
-        back = g @ self.klass[:HIDDEN].T
-        grad = np.zeros_like(self.word)
+        back = np.matmul(g, self.klass[:HIDDEN].T, out=self.room("back", n, HIDDEN))
+        part = self.room("part", n, HIDDEN)
+        grad = self.room("of words", *self.word.shape)
+        grad.fill(0)
         for c, lo, hi in runs:
-            back[lo:hi] += q[lo:hi] @ self.word[c, :HIDDEN].T
+            np.matmul(q[lo:hi], self.word[c, :HIDDEN].T, out=part[lo:hi])
             np.matmul(h[lo:hi].T, q[lo:hi], out=grad[c])
-        step(self.klass, seen.klass, h.T @ g / n)
-        step(self.word, seen.word, grad / n)
-        x = h[:, :HIDDEN]
-        back *= (1 - x * x) / n
-        step(self.bias, seen.bias, back.sum(0))
-        inner, acc = (net.inner.reshape(-1, HIDDEN) for net in (self, seen))
+        back += part
+        grad /= n
+        self.step(self.klass, seen.klass, h.T @ g / n)
+        self.step(self.word, seen.word, grad)
+        slope = np.square(h[:, :HIDDEN], out=part)
+        np.subtract(1, slope, out=slope)
+        slope /= n
+        back *= slope
+        self.step(self.bias, seen.bias, back.sum(0))
+        inner, sums = (net.inner.reshape(-1, HIDDEN) for net in (self, seen))
         places = (around + self.inner.shape[1] * np.arange(2 * SIDE)[:, None]).astype(np.int16).ravel()   # below 2^15
         order = np.argsort(places, kind="stable")
         ids = places[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        used = ids[first]
-        param, sums = inner[used], acc[used]
-        step(param, sums, np.add.reduceat(back[order % n], first, axis=0))
-        inner[used], acc[used] = param, sums
-
-
-def step(param: np.ndarray, seen: np.ndarray, grad: np.ndarray) -> None:
-    """AdaGrad in place; ``grad`` is used up."""
-    seen += grad * grad
-    root = seen + np.float32(1e-8)
-    np.sqrt(root, out=root)
-    grad /= root
-    grad *= np.float32(RATE)
-    param -= grad
+        used = ids[first].astype(np.int64)
+        each, grad = self.rows("each", back, order % n), self.room("of places", len(first), HIDDEN)
+        np.add.reduceat(each.view(np.complex64), first, axis=0, out=grad.view(np.complex64))     # two sums in one
+        param, acc = self.rows("param", inner, used), self.rows("acc", sums, used)
+        self.step(param, acc, grad)
+        inner[used], sums[used] = param, acc
+
+    def step(self, param: np.ndarray, seen: np.ndarray, grad: np.ndarray) -> None:
+        """AdaGrad in place; ``grad`` is used up."""
+        root = np.square(grad, out=self.room("root", *grad.shape))
+        seen += root
+        np.add(seen, np.float32(1e-8), out=root)
+        np.sqrt(root, out=root)
+        grad /= root
+        grad *= np.float32(RATE)
+        param -= grad
 
 
 def tame(x: np.ndarray) -> None:
@@ -200,6 +224,7 @@ def row_sums(x: np.ndarray) -> np.ndarray:
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
+    """In place."""
     tame(x)
     np.exp(x, out=x)
     x *= (1 / row_sums(x))[:, None]
@@ -207,7 +232,7 @@ def softmax(x: np.ndarray) -> np.ndarray:
 
 
 def pick(x: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-softmax of each row at one place."""
+    """Log-softmax of each row at one place; ``x`` is used up."""
     tame(x)
     got = x[np.arange(len(x)), at]
     np.exp(x, out=x)
@@ -290,8 +315,8 @@ def score(df: DataFrame, id_col: str, text_col: str, vocab: np.ndarray, flat: np
                 ids = coder.value(w)
                 around = windows(ids, count)
                 lp = np.empty(len(ids), np.float64)
-                for at in range(0, len(ids), 1 << 15):
-                    lp[at:at + (1 << 15)] = net.log_prob(around[:, at:at + (1 << 15)], ids[at:at + (1 << 15)])
+                for at in range(0, len(ids), SCORED):
+                    lp[at:at + SCORED] = net.log_prob(around[:, at:at + SCORED], ids[at:at + SCORED])
                 cut = np.concatenate([[0], np.cumsum(count)])
                 total = np.concatenate([[0.0], np.cumsum(lp)])
                 other = ids >= WORDS
