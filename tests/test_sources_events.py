@@ -1,7 +1,9 @@
 """Sources/sinks and event extraction on hand-written frames."""
 
 import os
+import random
 import uuid
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -114,6 +116,34 @@ def test_bridge_equals_a_join_for_each_source(spark):
     assert EV.bridged_events([s.limit(0) for s in some], pop).count() == 0
 
 
+def test_bridged_events_of_repeated_units_and_rows(spark):
+    """Repeats within and between the kinds of keys, units that occur twice, null keys and ends; patients' events
+    are counted before they meet the units."""
+    import datetime
+    rng = random.Random(4)
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    units = [(rng.choice([1, 2, 3, None]), rng.choice([10, 11, None]), rng.choice([100, 101, 102, None]), rng.choice([day(1), day(3), None]))
+             for _ in range(14)]
+    pop = spark.createDataFrame(units, "subject_id long, hadm_id long, stay_id long, inclusion_start timestamp_ntz")
+    values = {"subject_id": [1, 2, 3, 4, None], "hadm_id": [10, 11, 12, None], "stay_id": [100, 101, 102, None]}
+    rows = [(k, rng.choice(values[k]), rng.choice([day(0), day(2), day(4), None]), rng.choice(["a", None]), rng.choice([1.0, None]))
+            for k in values for _ in range(40)]
+    source = spark.createDataFrame(rows, "key_kind string, key long, starttime timestamp_ntz, code string, value double")
+    want = Counter()
+    for kind, key, start, code, value in rows:
+        for *unit, end in units:
+            if key is not None and unit[list(values).index(kind)] == key and start and end and start <= end:
+                want[(*unit, start, None, None, code, None, value)] += 1
+    once = sorted(str(r) for r, n in want.items() if n == 1)
+    few = EV.bridged_events([source], pop)
+    assert sorted(str(tuple(r)) for r in few.collect()) == once and 0 < len(once) < len(want)
+    distinct = source.distinct()
+    assert EV.bridged_events([distinct], pop.distinct()).count() > 0
+    plan = few._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda word: min(len(x) - len(x.lstrip(" :+-")) for x in plan if word in x)
+    assert depth("Join LeftOuter") < depth("Aggregate")        # nothing is aggregated after patients' events meet the units
+
+
 def test_csv_log_keeps_one_header(spark):
     folder = _folder(spark, "csvlog")
     rows = spark.createDataFrame([("a", 0.5), ("b", None)], "name string, v double")

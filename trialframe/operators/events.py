@@ -116,14 +116,33 @@ def bridged_events(sources: Sequence[DataFrame], population: DataFrame, end_col:
     """Any number of event sources, keyed by stay, admission or patient, as events of the population up
     to ``end_col``, every duplicated row removed (S8).
 
-    The population is laid out once for each kind of key (a bridge of three rows a unit), and the united
-    sources meet it in one join on (kind, key): one shuffle of the events however many sources there are.
-    Events and units with a null key meet nothing; a unit's key that many events share is split by AQE."""
-    keys = F.array(*[F.struct(F.lit(k).alias("key_kind"), F.col(k).cast("bigint").alias("key")) for k in STAY_KEYS])
-    bridge = population.select(*STAY_KEYS, F.col(end_col).alias("_end"), F.explode(keys).alias("_k")) \
-                       .select(*STAY_KEYS, "_end", "_k.key_kind", "_k.key").filter("key is not null")
-    seen = union_all([keyed_source(s) for s in sources]).join(bridge, ["key_kind", "key"]).filter(F.col("starttime") <= F.col("_end"))
-    return drop_all_duplicated(to_event_schema(seen))
+    A patient's event is a row of every one of the patient's units, so these rows are counted before they meet
+    the units, once a patient, and what comes out of that join is final: it is never shuffled.  Events by stay or
+    admission meet their units first (a bridge of two rows a unit) and are counted with their units; one
+    aggregation by (patient, event) then puts them beside the patient's events.  What a unit gets from both is
+    there more than once.  A unit that occurs several times counts as often as its end lets it see the event.
+    Events and units with a null key meet nothing; a patient's key that many events share is split by AQE."""
+    keys = [F.col(k).cast(EVENT_SCHEMA[k].dataType).alias(k) for k in STAY_KEYS]
+    units = population.select(*keys, F.col(end_col).alias("_end")).groupBy(*STAY_KEYS).agg(F.collect_list("_end").alias("_ends"))
+    sees = F.size(F.filter("_ends", lambda end: end >= F.col("starttime"))).cast("bigint")
+    rows = union_all([keyed_source(s) for s in sources]).filter("key is not null")
+    narrow = F.array(*[F.struct(F.lit(k).alias("key_kind"), F.col(k).cast("bigint").alias("key")) for k in STAY_KEYS if k != "subject_id"])
+    bridge = units.select("*", F.explode(narrow).alias("_k")).select(*STAY_KEYS, "_ends", "_k.*").filter("key is not null")
+    near = (rows.filter("key_kind <> 'subject_id'").join(bridge, ["key_kind", "key"]).withColumn("_n", sees).filter("_n > 0")
+            .groupBy(*STAY_KEYS, *KEYED_FIELDS).agg(F.sum("_n").alias("_n"))
+            .select(F.col("subject_id").cast("bigint").alias("key"), *KEYED_FIELDS, F.struct("hadm_id", "stay_id", "_n").alias("_unit")))
+    wide = rows.filter("key_kind = 'subject_id'").select("key", *KEYED_FIELDS, F.lit(None).cast(near.schema["_unit"].dataType).alias("_unit"))
+    events = wide.union(near).groupBy("key", *KEYED_FIELDS).agg(F.count_if(F.col("_unit").isNull()).alias("_wide"),
+                                                                F.collect_list("_unit").alias("_near"))
+    # One read of the events: those of units only go by the join, which keeps them, and bring their own units.
+    of = units.select(F.col("subject_id").cast("bigint").alias("_subject"), F.struct("hadm_id", "stay_id").alias("_of"), "_ends")
+    met = events.filter("_wide < 2").join(of, (F.col("key") == F.col("_subject")) & (F.col("_wide") == 1), "left")
+    unit = lambda u: F.struct(u["hadm_id"].alias("hadm_id"), u["stay_id"].alias("stay_id"))
+    also = F.exists("_near", lambda u: unit(u).eqNullSafe(unit(F.col("_of"))))
+    got = (F.when(F.col("_wide") == 0, F.transform(F.filter("_near", lambda u: u["_n"] == 1), unit))
+           .when(F.col("_subject").isNotNull() & (sees == 1) & ~also, F.array(unit(F.col("_of")))))
+    return to_event_schema(met.select(F.col("key").alias("subject_id"), *KEYED_FIELDS, F.explode(got).alias("_unit"))
+                           .select("subject_id", "_unit.*", *KEYED_FIELDS))
 
 
 def static_flags(units: DataFrame, flags: Mapping[str, F.Column]) -> DataFrame:

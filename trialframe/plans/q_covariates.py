@@ -54,7 +54,8 @@ def sources(spark, sf_dir, pop):
               .select("starttime", "_e.*").withColumn("label", F.col("code")))
 
     part = read_table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    lines = X.order_lines(spark, sf_dir).join(part, "l_partkey")
+    seen = pop.select("subject_id").distinct()              # orders of other customers reach no unit
+    lines = X.order_lines(spark, sf_dir).join(seen, "subject_id", "left_semi").join(part, "l_partkey")
     from_lines = _explode(lines, ["subject_id"], [
         _event("lineitem", "l_quantity", "l_shipdate", F.col("l_quantity")),
         _event("lineitem", "l_extendedprice", "l_shipdate", F.col("l_extendedprice")),
@@ -63,7 +64,7 @@ def sources(spark, sf_dir, pop):
         *[_event("drug", "vasopressors", "l_shipdate", (F.col(c) > 0).cast("int"), label=F.lit(c)) for c in ("l_discount", "l_tax")],
         *[_event("medication", c, "l_shipdate", F.col("l_quantity"), label=F.col("p_name"),
                  when=F.lower("p_name").rlike("|".join(p))) for c, p in DRUG_CLASSES.items()]])
-    orders = X.order_stays(spark, sf_dir)
+    orders = X.order_stays(spark, sf_dir).join(seen, "subject_id", "left_semi")
     flag = {c: F.expr(f"CASE WHEN {e} THEN 1 ELSE 0 END") for c, e in ORDER_FLAGS.items()}
     from_orders = _explode(orders, ["subject_id"], [
         *[_event("comorbidity", c, "intime", v, when=(v == 1) | F.lit(c == "large")) for c, v in flag.items()],
