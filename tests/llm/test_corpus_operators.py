@@ -125,6 +125,43 @@ def test_components(spark):
 
 # --- decontamination
 
+def test_tables_of_known_size_have_few_files(spark, monkeypatch):
+    """The files of a small table follow its rows, not the shuffle partitions."""
+    from trialframe.llm import common
+    from trialframe.llm import components as comp
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    written = {}
+
+    def spy(df, name, *args):
+        out = common.shared_table(df, name, *args)
+        written.setdefault(name, []).append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(comp, "shared_table", spy)
+    monkeypatch.setattr(jac, "shared_table", spy)
+    texts = [(i, " ".join(f"w{i // 4}x{j}" for j in range(30)) + (f" y{i}" if i % 2 else "")) for i in range(80)]
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "24")
+        edges = spark.createDataFrame([(i, i + 1) for i in range(0, 300) if i % 50], "a long, b long")
+        got = {r["node"]: r["root"] for r in components(edges).collect()}
+        assert got == {i: max(1, (i - 1) // 50 * 50 + 1) for i in range(1, 301)}
+        assert written["edges"][0] > 12 and max(written["edges"][1:]) == 1
+        written.clear()
+        df = spark.createDataFrame(texts, "doc_id long, text string")
+        found = {r["doc_id"]: r["component_id"] for r in jac.near_duplicates(df, "doc_id", "text").collect()}
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+    assert found == {i: i // 4 * 4 for i in range(80)}
+    for name in ("seed-pairs", "seed-sets", "known", "fine-pairs", "components"):
+        assert max(written[name]) == 1
+    assert len(written["classes"]) == 1 and written["edges"][0] == 1
+    few = common.shared_table(spark.range(50).repartition(10), "few", 50, 20)       # every row, whatever the bound
+    assert len(few.inputFiles()) == 3 and few.count() == 50
+    assert common.shared_table(spark.range(50).repartition(10), "few", 0).count() == 50
+
+
 def test_decontamination_equals_brute_force(spark):
     rng = random.Random(9)
     vocab = [f"t{i}" for i in range(600)] + ["the", "of", "a"] * 30
